@@ -1,6 +1,24 @@
 """DuckDB SQL for the corpus queries that SQL can express."""
 
+_WORDS = "list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
+
 ORACLES: dict[str, str] = {
+    "op1_decontamination": f"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS w FROM documents),
+        b AS (SELECT item_id, row_number() OVER () AS i, {_WORDS} AS w FROM benchmark),
+        bs AS (
+            SELECT DISTINCT item_id, i, least(len(w), 5) AS n, array_to_string(w[p:p + least(len(w), 5) - 1], ' ') AS s
+            FROM (SELECT *, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM b WHERE len(w) > 0)
+        ),
+        ds AS (
+            SELECT DISTINCT doc_id, r, n, array_to_string(w[p:p + n - 1], ' ') AS s
+            FROM (SELECT d.*, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM bs) WHERE len(w) >= n)
+        ),
+        sizes AS (SELECT i, count(*) AS n_shingles FROM bs GROUP BY i),
+        hits AS (SELECT doc_id, r, item_id, i, count(*) AS n_found FROM ds JOIN bs USING (n, s) GROUP BY ALL)
+        SELECT doc_id, item_id, n_found, n_shingles, n_found / n_shingles AS containment
+        FROM hits JOIN sizes USING (i) WHERE n_found >= 0.8 * n_shingles - 1e-9
+    """,
     "op8_exact_dedup": """
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AND nth = 1 AS kept, text_sha256
         FROM (
