@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from orefall.llm.common import table
 from orefall.llm.decontaminate import find_leaks
 from orefall.llm.exact_dedup import mark_copies
+from orefall.llm.near_dedup import near_classes
 from orefall.llm.packing import pack
 from orefall.llm.sharding import shard_by_bytes
 from orefall.llm.tokens import count_tokens
@@ -19,6 +20,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
@@ -36,5 +41,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op7_sharding, op8_exact_dedup, op9_token_counts, op10_packing)
+    f.__name__: f for f in (op1_decontamination, op6_near_dedup, op7_sharding, op8_exact_dedup, op9_token_counts, op10_packing)
 }
