@@ -141,3 +141,36 @@ def shingle_hashes(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np
             v = np.where(short & (k >= n[doc]), U(0), v)
         s += v
     return mix(s), out_at
+
+
+#: Counters in a row of a summed table.
+ROOM = 1 << 12
+
+
+def summed_counters(texts: DataFrame, count: Callable[[list[str], np.ndarray], None], size: int) -> np.ndarray:
+    """Sums of `size` counters over all rows of a one-column table of texts.
+
+    count adds a step's texts to an array. Each task sends its counters once, they are summed by block and salt and then by
+    block, and `size` numbers reach the driver, whatever the input.
+    """
+
+    def local(batches):
+        total = np.zeros(size, dtype=np.int64)
+        for b in batches:
+            t = b.column(0).to_pylist()
+            for i, j in steps(t):
+                count(t[i:j], total)
+        at = range(0, size, ROOM)
+        yield pa.RecordBatch.from_arrays([pa.array([i // ROOM for i in at], pa.int32()), pa.array([total[i : i + ROOM].astype("<i8").tobytes() for i in at], pa.binary())], ["block", "counts"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, dtype="<i8") for x in rows.column("counts").to_pylist())
+        return pa.table({"block": pa.array([rows.column("block")[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "block int, counts binary"
+    parts = texts.mapInArrow(local, schema).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(32)))
+    out = np.zeros(size, dtype=np.int64)
+    for r in parts.groupBy("block", "salt").applyInArrow(add, schema).groupBy("block").applyInArrow(add, schema).collect():
+        part = np.frombuffer(r["counts"], dtype="<i8")
+        out[r["block"] * ROOM : r["block"] * ROOM + len(part)] = part
+    return out

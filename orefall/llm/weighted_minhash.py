@@ -11,13 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orefall.llm.common import STEP_CHARS, U, mix, shingle_hashes, steps
+from orefall.llm.common import STEP_CHARS, U, mix, shingle_hashes, steps, summed_counters
 
 BANDS, ROWS = 10, 3
 #: Shingles in at least this share of the documents have an IDF below the ceiling.
 COMMON = 0.01
-#: Counters of the sketch that finds the common shingles' buckets; ROOM of them make a row.
-COUNTERS, ROOM = 1 << 18, 1 << 12
+#: Counters of the sketch that finds the common shingles' buckets.
+COUNTERS = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -62,27 +62,10 @@ def fit_idf(df: DataFrame, text: str, common: float = COMMON) -> Idf:
         return Idf(np.zeros(0, dtype=U), np.zeros(0))
     shift = U(64 - int(math.log2(COUNTERS)))
 
-    def sketch(batches):
-        total = np.zeros(COUNTERS, dtype=np.int64)
-        for b in batches:
-            t = b.column(0).to_pylist()
-            for i, j in steps(t):
-                h, _ = shingle_hashes(t[i:j])
-                total += np.bincount((h >> shift).astype(np.int64), minlength=COUNTERS)
-        yield _blocks(total)
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(ROOM, dtype=np.int64)
-        for x in table.column("counts").to_pylist():
-            total += np.frombuffer(x, dtype="<i8")
-        return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
-
-    schema = "block int, counts binary"
-    partial = texts.mapInArrow(sketch, schema).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(32)))
-    sums = partial.groupBy("block", "salt").applyInArrow(add, schema).groupBy("block").applyInArrow(add, schema)
-    counts = np.zeros(COUNTERS, dtype=np.int64)
-    for r in sums.collect():  # COUNTERS numbers, whatever the input
-        counts[r["block"] * ROOM : (r["block"] + 1) * ROOM] = np.frombuffer(r["counts"], dtype="<i8")
+    def sketch(some: list[str], total: np.ndarray) -> None:
+        total += np.bincount((shingle_hashes(some)[0] >> shift).astype(np.int64), minlength=COUNTERS)
+
+    counts = summed_counters(texts, sketch, COUNTERS)
     least = common * n
     heavy = counts >= least
     if not heavy.any():
@@ -110,10 +93,6 @@ def fit_idf(df: DataFrame, text: str, common: float = COMMON) -> Idf:
     return Idf(keys[order], weights[order])
 
 
-def _blocks(total: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(range(COUNTERS // ROOM), pa.int32()), pa.array([total[i : i + ROOM].astype("<i8").tobytes() for i in range(0, COUNTERS, ROOM)], pa.binary())], ["block", "counts"])
-
-
 @lru_cache(maxsize=1)
 def _quantiles() -> tuple[np.ndarray, np.ndarray]:
     """Quantiles of Gamma(2, 1), of 2**12 levels, and the logarithms of 2**16 levels."""
