@@ -2,15 +2,13 @@
 
 Equal texts are one node. Nodes that agree in a band of their signatures meet in a bucket. Small buckets, once for each
 distinct set of members, are resolved whole: a pair is compared unless earlier links join it. In larger buckets every member is
-compared with a few pivots, in chunks, so that no task gets the bucket and work grows with its members; and its members meet
-again in the finer buckets of two bands, then three and so on, until those are small. Links go through distributed connected
-components.
+compared with a few pivots, in chunks, so that no task gets the bucket; then the members that these links leave outside the
+bucket's main component are compared with all members, in blocks. So each pair of a bucket is compared or already connected,
+and work grows with the members times the few that stay outside. Links go through distributed connected components.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -21,10 +19,8 @@ from orefall.llm.components import components
 from orefall.llm.exact_dedup import drop_copies
 from orefall.llm.weighted_minhash import BANDS, Idf, distinct_shingles, fit_idf, signatures, weighted_jaccard
 
-#: Members that a bucket may have to be resolved whole; pivots of a larger one.
-WHOLE, PIVOTS = 64, 8
-#: Bands that two texts of similarity NEAR or more nearly always share; finer keys stop there.
-DEEPEST = 4
+#: Members that a bucket may have to be resolved whole; pivots of a larger one; members and open members in a group.
+WHOLE, PIVOTS, CHUNK, BLOCK = 64, 4, 128, 64
 
 
 def _node(text: Column) -> Column:
@@ -47,74 +43,100 @@ def _signed(df: DataFrame, text: str, key: str, idf: Idf) -> DataFrame:
 
 
 def _resolver(idf: Idf, least: float):
-    """Links of one group of at most a few hundred members. A group with a pivot compares the others with it alone."""
+    """Links of one group of at most a few hundred rows (node, t, side, comp, band, bands).
+
+    Without rows of side 1 all members are compared, else those of side 1 with the others. A pair is skipped if it is linked
+    already: by comp, or by this group's links. band is the band that the group shares (-1: not needed): a pair that agrees in
+    an earlier one is compared there.
+    """
 
     def run(t: pa.Table) -> pa.Table:
-        nodes, texts, pivot = t.column("node").to_pylist(), t.column("t").to_pylist(), t.column("pivot").to_pylist()
-        order = sorted(range(len(nodes)), key=lambda i: (not pivot[i], nodes[i]))
-        nodes, texts = [nodes[i] for i in order], [texts[i] for i in order]
-        n, left, right = len(nodes), [], []
+        nodes, texts, side, band = (t.column(c).to_pylist() for c in ("node", "t", "side", "band"))
+        comp, own = t.column("comp").to_pylist(), band[0]
+        bands = np.array(t.column("bands").to_pylist()) if own >= 0 else None
+        order = sorted(range(len(nodes)), key=lambda i: (nodes[i], side[i]))
         h, tf, at = distinct_shingles(texts)
         w = tf * idf.of(h)
-        size = np.concatenate([[0], np.cumsum(w)])[at]
-        size = np.diff(size)
-        group = list(range(n))
-        for i in range(1 if any(pivot) else n):
-            for j in range(i + 1, n):
-                lo, hi = sorted((size[i], size[j]))
-                if group[i] == group[j] or lo < least * hi - 1e-9:
+        size = np.diff(np.concatenate([[0], np.cumsum(w)])[at])
+        codes = {c: k for k, c in enumerate(dict.fromkeys(comp))}
+        group = np.array([codes[c] for c in comp])
+        stars, left, right = any(side), [], []
+        heads = [i for i in order if side[i]] if stars else order
+        for n, i in enumerate(heads):
+            for j in [k for k in order if not side[k]] if stars else order[n + 1 :]:
+                if group[i] == group[j] or min(size[i], size[j]) < least * max(size[i], size[j]) - 1e-9:
+                    continue
+                if own > 0 and (bands[i, :own] == bands[j, :own]).any():
                     continue
                 if weighted_jaccard(h, w, at, i, j) >= least - 1e-12:
                     left.append(nodes[i])
                     right.append(nodes[j])
-                    old, new = group[j], group[i]
-                    group = [new if g == old else g for g in group]
+                    group[group == group[j]] = group[i]
         return pa.table({"a": pa.array(left, pa.string()), "b": pa.array(right, pa.string())})
 
     return run
 
 
-def _groups(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """members (key, node), each pair once. Groups (gid, node, pivot) to compare, and the members of large buckets."""
-    counts = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    # Hot buckets are on the left side of this join, where Spark splits large partitions.
-    met = members.join(counts.select(F.col("key").alias("k"), "n"), F.col("key") == F.col("k")).drop("k")
+def _chunk(node: str, n: Column) -> Column:
+    return F.pmod(F.xxhash64(node), n)
+
+
+def _first_groups(met: DataFrame) -> DataFrame:
+    """Groups (gid, node, side) of the first round. met: (key, node, n), n members of the bucket, two or more."""
     small = met.where(F.col("n") <= WHOLE).groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("set"))  # at most WHOLE of them
     small = small.groupBy(F.md5(F.array_join("set", "").cast("binary")).alias("gid")).agg(F.first("set").alias("set"))
-    whole = small.select("gid", F.explode("set").alias("node"), F.lit(False).alias("pivot"))
+    whole = small.select("gid", F.explode("set").alias("node"), F.lit(0).alias("side"))
     large = met.where(F.col("n") > WHOLE)
-    pivots = large.groupBy("key").agg(F.max("n").alias("n"), *[F.min_by("node", F.xxhash64("node", F.lit(p))).alias(f"p{p}") for p in range(PIVOTS)])
-    pivots = pivots.select(F.col("key").alias("k"), F.explode(F.array_distinct(F.array(*[f"p{p}" for p in range(PIVOTS)]))).alias("pivot_node"), F.ceil(F.col("n") / (2 * WHOLE)).alias("chunks"))
-    dealt = large.join(pivots, F.col("key") == F.col("k")).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
-    gid = F.concat_ws("/", "pivot_node", "key", "chunk")
-    stars = dealt.where("node <> pivot_node").select(gid.alias("gid"), "node", F.lit(False).alias("pivot"))
-    chunk_rows = pivots.select("pivot_node", F.col("k").alias("key"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    heads = chunk_rows.select(gid.alias("gid"), F.col("pivot_node").alias("node"), F.lit(True).alias("pivot"))
-    return whole.union(stars).union(heads), large.select("node").distinct()
-
-
-def near_links(df: DataFrame, signed: DataFrame, idf: Idf, text: str, least: float) -> DataFrame:
-    """Verified links (a, b) between nodes, enough of them to connect what is similar."""
-    spark = df.sparkSession
+    pivots = large.groupBy("key").agg(*[F.min_by("node", F.xxhash64("node", F.lit(p))).alias(f"p{p}") for p in range(PIVOTS)])
+    pivots = pivots.select(F.col("key").alias("k"), F.explode(F.array_distinct(F.array(*[f"p{p}" for p in range(PIVOTS)]))).alias("pivot"))
+    pairs = large.join(pivots, F.col("key") == F.col("k")).where("node <> pivot").groupBy("pivot", "node").agg(F.max("n").alias("n"))
+    pairs = pairs.withColumn("gid", F.concat_ws("/", "pivot", _chunk("node", F.ceil(F.col("n") / CHUNK))))
+    heads = pairs.groupBy("gid").agg(F.first("pivot").alias("node")).select("gid", "node", F.lit(1).alias("side"))
+    return whole.union(pairs.select("gid", "node", F.lit(0).alias("side"))).union(heads)
+
+
+def _open_groups(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """Groups (gid, node, side, comp, band) that compare each open member of a large bucket with all its members, in blocks.
+
+    A member is open if it isn't in the component that has most members of its bucket.
+    """
+    large = met.where(F.col("n") > WHOLE).join(roots.withColumnRenamed("node", "r_node"), F.col("node") == F.col("r_node"), "left")
+    large = large.select("key", "band", "node", "n", F.coalesce("root", "node").alias("comp"))
+    main = large.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all"))
+    main = main.where(F.col("top.c") < F.col("all")).select(F.col("key").alias("k"), F.col("top.comp").alias("main"), F.ceil(F.col("all") / CHUNK).alias("chunks"), F.ceil((F.col("all") - F.col("top.c")) / BLOCK).alias("blocks"))
+    rows = large.join(main, F.col("key") == F.col("k"))
+    every = F.sequence(F.lit(0).cast("long"), F.col("x") - 1)
+    heads = rows.where("comp <> main").withColumn("x", F.col("chunks")).select("*", F.explode(every).alias("chunk"), _chunk("node", F.col("blocks")).alias("block"), F.lit(1).alias("side"))
+    members = rows.withColumn("x", F.col("blocks")).select("*", _chunk("node", F.col("chunks")).alias("chunk"), F.explode(every).alias("block"), F.lit(0).alias("side"))
+    both = heads.select("key", "chunk", "block", "node", "side", "comp", "band").union(members.select("key", "chunk", "block", "node", "side", "comp", "band"))
+    return both.select(F.concat_ws("/", "key", "chunk", "block").alias("gid"), "node", "side", "comp", "band")
+
+
+def near_roots(df: DataFrame, signed: DataFrame, idf: Idf, text: str, least: float) -> DataFrame:
+    """(node, root) for each node that isn't the least of its component of verified links."""
     nodes = signed.where(F.exists("bands", lambda x: x != 0)).groupBy("node").agg(F.first("bands").alias("bands"))
-    level, groups, deep = 1, None, nodes
-    while True:
-        keys = [F.xxhash64(*[F.lit(i) for i in c], *[F.get("bands", F.lit(i)) for i in c]) for c in combinations(range(BANDS), level)]
-        members = stash(deep.select("node", F.explode(F.array(*keys)).alias("key")), f"buckets-{level}")
-        found, large = _groups(members)
-        groups = found if groups is None else groups.union(found)
-        level += 1
-        large = stash(large, f"large-{level}")
-        if level > DEEPEST or large.isEmpty():
-            break
-        deep = deep.join(large, "node", "left_semi")
-    groups = stash(groups, "groups")
-    needed = groups.select("node").distinct()
+    members = nodes.select("node", F.posexplode("bands").alias("band", "value")).select("node", "band", F.xxhash64("band", "value").alias("key"))
+    counts = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k"), "n")
+    # Hot buckets are on the left side of this join, where Spark splits large partitions.
+    met = stash(members.join(counts, F.col("key") == F.col("k")).drop("k"), "buckets")
+    groups = stash(_first_groups(met), "groups")
+    needed = met.select("node").distinct()
     texts = df.select(_node(F.col(text)).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(needed, "node", "left_semi")
-    texts = stash(texts.groupBy("node").agg(F.first("t").alias("t")), "texts")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    both = groups.join(texts, "node").repartition(4 * parts, "gid")
-    return both.groupBy("gid").applyInArrow(_resolver(idf, least), "a string, b string")
+    texts = texts.groupBy("node").agg(F.first("t").alias("t"))
+    texts = stash(texts.join(nodes, "node"), "texts")
+    parts = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = ["gid", "node", "t", "side", "comp", "band", "bands"]
+
+    def links(g: DataFrame) -> DataFrame:
+        rows = g.join(texts, "node").select(*columns).repartition(parts, "gid")
+        return stash(rows.groupBy("gid").applyInArrow(_resolver(idf, least), "a string, b string"), "links")
+
+    first = links(groups.withColumns({"comp": F.col("node"), "band": F.lit(-1)}))
+    roots = components(first)
+    if met.where(F.col("n") > WHOLE).isEmpty():
+        return roots
+    more = links(stash(_open_groups(met, roots), "open"))
+    return components(first.union(more))
 
 
 def near_classes(df: DataFrame, text: str = "text", key: str = "doc_id", least: float = NEAR) -> DataFrame:
@@ -126,7 +148,7 @@ def near_classes(df: DataFrame, text: str = "text", key: str = "doc_id", least:
     """
     idf = fit_idf(df, text)
     signed = stash(_signed(df, text, key, idf), "signed")
-    roots = components(near_links(df, signed, idf, text, least)).select(F.col("node").alias("n"), "root")
+    roots = near_roots(df, signed, idf, text, least).select(F.col("node").alias("n"), "root")
     rows = signed.select("doc_id", "node").join(roots, F.col("node") == F.col("n"), "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
     rows = stash(rows, "classes")
     best = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("node").alias("node"))
