@@ -13,6 +13,7 @@ from orefall.llm.exact_dedup import mark_copies
 from orefall.llm.language_id import identify
 from orefall.llm.near_dedup import near_classes
 from orefall.llm.packing import pack
+from orefall.llm.pii import find_personal_data
 from orefall.llm.quality import score_quality
 from orefall.llm.sharding import shard_by_bytes
 from orefall.llm.tokens import count_tokens
@@ -30,6 +31,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents"))
 
@@ -51,5 +56,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_language_id, op4_quality, op6_near_dedup, op7_sharding, op8_exact_dedup, op9_token_counts, op10_packing)
+    f.__name__: f for f in (op1_decontamination, op2_language_id, op4_quality, op5_pii, op6_near_dedup, op7_sharding, op8_exact_dedup, op9_token_counts, op10_packing)
 }
