@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from orefall.llm.common import NEAR, stash, steps
 from orefall.llm.components import components
-from orefall.llm.exact_dedup import drop_copies
 from orefall.llm.weighted_minhash import BANDS, Idf, distinct_shingles, fit_idf, signatures, weighted_jaccard
 
 #: Members that a bucket may have to be resolved whole; pivots of a larger one; members and open members in a group.
@@ -158,7 +157,8 @@ def near_classes(df: DataFrame, text: str = "text", key: str = "doc_id", least:
 
 
 def drop_near_copies(df: DataFrame, text: str = "text", key: str = "doc_id", least: float = NEAR) -> DataFrame:
-    """One row of each class of df, with all its columns. Exact copies go first, of which the largest key stays."""
-    one = stash(drop_copies(df, text, key), "distinct")
-    lost = near_classes(one, text, key, least).where(~F.col("kept")).select("text_md5")
-    return one.withColumn("_md5", _node(F.col(text))).join(lost, F.col("_md5") == F.col("text_md5"), "left_anti").drop("_md5")
+    """One row of each class of df, the one that near_classes keeps, with all its columns; of repeated rows one."""
+    kept = near_classes(df, text, key, least).where("kept").select(F.col("text_md5").alias("_k"), F.col("doc_id").alias("_d")).distinct()
+    rows = df.withColumn("_md5", _node(F.col(text)))
+    one = rows.join(kept, (F.col("_md5") == F.col("_k")) & F.col(key).eqNullSafe(F.col("_d")), "left_semi")
+    return one.dropDuplicates(["_md5", key]).drop("_md5")

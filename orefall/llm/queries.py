@@ -16,6 +16,7 @@ from orefall.llm.packing import pack
 from orefall.llm.pii import find_personal_data
 from orefall.llm.quality import score_quality
 from orefall.llm.sharding import shard_by_bytes
+from orefall.llm.site_style_tree import extract
 from orefall.llm.tokens import count_tokens
 
 
@@ -27,6 +28,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -56,5 +61,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_language_id, op4_quality, op5_pii, op6_near_dedup, op7_sharding, op8_exact_dedup, op9_token_counts, op10_packing)
+    f.__name__: f for f in (op1_decontamination, op2_language_id, op3_html_extraction, op4_quality, op5_pii, op6_near_dedup, op7_sharding, op8_exact_dedup, op9_token_counts, op10_packing)
 }
