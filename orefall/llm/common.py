@@ -40,6 +40,20 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of df as the one column _row, so that none of their names can clash with an operator's own."""
+    return F.struct(*[F.col(quoted(c)) for c in df.columns]).alias("_row")
+
+
+def rows_again(df: DataFrame, names: list[str]) -> DataFrame:
+    """The columns that whole_row put away."""
+    return df.select(*[F.col(f"_row.{quoted(c)}").alias(c) for c in names])
+
+
 def crc32_of(column: str) -> Column:
     """crc32 of a column's decimal text, as the split rules of the contracts use it."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

@@ -16,7 +16,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orefall.llm.common import NEAR, WORDS
+from orefall.llm.common import NEAR, WORDS, rows_again, whole_row
 
 #: Size partitions: items of up to so many shingles have so many minima. Items in the first are searched by all shingles.
 PARTITIONS = ((8, 8), (64, 8), (512, 12), (1 << 62, 16))
@@ -126,7 +126,5 @@ def find_leaks(df: DataFrame, items: DataFrame, text: str = "text", key: str = "
 
 def drop_leaks(df: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
     """The rows of df whose text holds no item of the benchmark, with all their columns."""
-    names = df.columns
-    plain = df.select(F.struct(*[F.col(c) for c in names]).alias("_row"), F.col(text).alias("_text"))
-    clean = contained_items(plain, items, text="_text", **options).where(F.size("_items") == 0)
-    return clean.select(*[F.col(f"_row.`{c}`").alias(c) for c in names])
+    plain = df.select(whole_row(df), F.col(text).alias("_text"))
+    return rows_again(contained_items(plain, items, text="_text", **options).where(F.size("_items") == 0), df.columns)

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from orefall.llm.common import quoted
+
 SALTS = 16
 
 
@@ -58,20 +60,19 @@ def drop_copies(df: DataFrame, text: str = "text", key: str = "doc_id", salts: i
 
     Null text equals empty text; of rows with the same key and text the one whose other columns sort last stays.
     """
-    names = df.columns
-    ordered = F.struct(F.col(key).isNotNull().alias("has"), F.col(key).alias("id"), F.xxhash64(*[F.col(c) for c in names]).alias("row"))
+    t = F.coalesce(F.col(text), F.lit(""))
+    every = [F.col(quoted(c)) for c in df.columns]
     keyed = df.select(
-        F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("_digest"),
+        F.sha2(t, 256).alias("_digest"),
         F.pmod(F.spark_partition_id(), F.lit(salts)).alias("_salt"),
-        F.coalesce(F.col(text), F.lit("")).alias("_text"),
-        ordered.alias("_order"),
-        F.struct(*[F.col(c) for c in names if c != text], F.col(text).isNull().alias("_null_text")).alias("_rest"),
+        t.alias("_text"),
+        F.struct(F.col(key).isNotNull().alias("has"), F.col(key).alias("id"), F.xxhash64(*every).alias("row")).alias("_order"),
+        F.struct(*[c for c, n in zip(every, df.columns) if n != text], F.col(text).isNull().alias("_null_text")).alias("_rest"),
     )
     won = _combined(
         keyed,
         [F.max_by("_rest", "_order").alias("_rest"), F.max("_order").alias("_order")],
         [F.max_by("_rest", "_order").alias("_rest")],
     )
-    restored = {c: F.col(f"_rest.`{c}`") for c in names if c != text}
-    restored[text] = F.when(~F.col("_rest._null_text"), F.col("_text"))
-    return won.select(*[restored[c].alias(c) for c in names])
+    kept_text = F.when(~F.col("_rest._null_text"), F.col("_text"))
+    return won.select(*[(kept_text if c == text else F.col(f"_rest.{quoted(c)}")).alias(c) for c in df.columns])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orefall.llm.boosted_trees import Forest, fit
-from orefall.llm.common import STEP_CHARS, crc32_of, stash, steps, word_hashes
+from orefall.llm.common import STEP_CHARS, crc32_of, rows_again, stash, steps, whole_row, word_hashes
 
 #: Labelled documents that the trees are fitted on at most, those whose keys hash lowest.
 FIT_ROWS = 20_000
@@ -143,13 +143,10 @@ def score_quality(df: DataFrame, labels: DataFrame, text: str = "text", key: str
 
 def keep_good(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of df that score 0.5 or more, with all their columns."""
-    names = df.columns
     plain = df.select(F.col(key).alias("doc_id"), F.col(text).alias("t"))
     stats = stash(with_statistics(plain, "t"), "quality-stats")
     forest = train(stats, labels, ~held_out("doc_id"))
-    rows = df.select(F.struct(*[F.col(c) for c in names]).alias("_row"), F.col(text).alias("_text"))
-    kept = keep_by(rows, forest)
-    return kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in names])
+    return rows_again(keep_by(df.select(whole_row(df), F.col(text).alias("_text")), forest), df.columns)
 
 
 def keep_by(rows: DataFrame, forest: Forest) -> DataFrame:
