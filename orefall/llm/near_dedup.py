@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orefall.llm.common import NEAR, stash, steps
+from orefall.llm.common import NEAR, rows_again, stash, steps, whole_row
 from orefall.llm.components import components
 from orefall.llm.weighted_minhash import BANDS, Idf, distinct_shingles, fit_idf, signatures, weighted_jaccard
 
@@ -159,6 +159,6 @@ def near_classes(df: DataFrame, text: str = "text", key: str = "doc_id", least:
 def drop_near_copies(df: DataFrame, text: str = "text", key: str = "doc_id", least: float = NEAR) -> DataFrame:
     """One row of each class of df, the one that near_classes keeps, with all its columns; of repeated rows one."""
     kept = near_classes(df, text, key, least).where("kept").select(F.col("text_md5").alias("_k"), F.col("doc_id").alias("_d")).distinct()
-    rows = df.withColumn("_md5", _node(F.col(text)))
-    one = rows.join(kept, (F.col("_md5") == F.col("_k")) & F.col(key).eqNullSafe(F.col("_d")), "left_semi")
-    return one.dropDuplicates(["_md5", key]).drop("_md5")
+    rows = df.select(whole_row(df), _node(F.col(text)).alias("_md5"), F.col(key).alias("_key"))
+    one = rows.join(kept, (F.col("_md5") == F.col("_k")) & F.col("_key").eqNullSafe(F.col("_d")), "left_semi")
+    return rows_again(one.dropDuplicates(["_md5", "_key"]), df.columns)
