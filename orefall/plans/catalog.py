@@ -1,27 +1,8 @@
 """All registered queries of the engine and the SQL each is checked against."""
 
-from __future__ import annotations
+from orefall.plans import retrieval  # noqa: F401  registers its queries
+from orefall.plans.registry import ORACLES, QUERIES
 
-from collections.abc import Callable
+FLAGSHIP = "j5_bm25_visible"
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = "e2_document_frequency"
-
-
-def register(name: str, sql: str | None = None):
-    def put(fn):
-        QUERIES[name] = fn
-        if sql:
-            ORACLES[name] = sql
-        return fn
-
-    return put
-
-
-@register("e2_document_frequency", "SELECT l_returnflag AS term, count(*) AS df FROM lineitem GROUP BY 1")
-def e2_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_returnflag").alias("term")).agg(F.count("*").alias("df"))
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
