@@ -19,7 +19,7 @@ from orefall.llm.components import components
 from orefall.llm.weighted_minhash import BANDS, Idf, distinct_shingles, fit_idf, signatures, weighted_jaccard
 
 #: Members that a bucket may have to be resolved whole; pivots of a larger one; members and open members in a group.
-WHOLE, PIVOTS, CHUNK, BLOCK = 64, 4, 128, 64
+WHOLE, PIVOTS, CHUNK, BLOCK = 64, 4, 512, 256
 
 
 def _node(text: Column) -> Column:
