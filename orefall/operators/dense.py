@@ -83,7 +83,7 @@ def in_cells(vectors: DataFrame, centres: np.ndarray, key: str = "node_id", vect
     return rows.mapInArrow(run, f"{key} {vectors.schema[key].dataType.simpleString()}, v array<double>, cell int")
 
 
-def approximate(queries: DataFrame, vectors: DataFrame, k: int, centres: np.ndarray, probes: int = 4, key: str = "node_id", vector: str = "embedding") -> DataFrame:
+def approximate(queries: DataFrame, vectors: DataFrame, k: int, centres: np.ndarray, probes: int = 12, key: str = "node_id", vector: str = "embedding") -> DataFrame:
     """(query_id, key, score, rank) among the vectors of each query's `probes` nearest cells; every vector is indexed."""
     from orefall.functions.vectors import cosine
 

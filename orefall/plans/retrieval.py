@@ -173,7 +173,7 @@ def g1_nearest_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j7_agreement_of_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of the exact ten that the inverted lists find, for every query."""
     v, q = vectors(spark, sf_dir), asked_vectors(spark, sf_dir)
-    near = dense.approximate(q, v, 10, dense.cells(v, 16), probes=8).select("query_id", "node_id")
+    near = dense.approximate(q, v, 10, dense.cells(v, 16)).select("query_id", "node_id")
     both = _dense(spark, sf_dir).join(near.withColumn("hit", F.lit(1)), ["query_id", "node_id"], "left")
     return both.groupBy("query_id").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("agreement"))
 
