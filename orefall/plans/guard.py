@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import threading
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,12 +20,8 @@ READS = frozenset(
 )
 
 
-def _children(node) -> list:
-    return [node.children().apply(i) for i in range(node.children().size())]
-
-
-def _inner(node) -> list:
-    return [node.innerChildren().apply(i) for i in range(node.innerChildren().size())]
+def _seq(items) -> list:
+    return [items.apply(i) for i in range(items.size())]
 
 
 def relations(spark: SparkSession, sql: str) -> set[str]:
@@ -40,32 +37,17 @@ def relations(spark: SparkSession, sql: str) -> set[str]:
         if kind not in READS:
             raise CodedError("not_a_select", f"{kind} is not allowed")
         if kind == "UnresolvedRelation":
-            name = ".".join(node.multipartIdentifier().apply(i) for i in range(node.multipartIdentifier().size()))
+            name = ".".join(_seq(node.multipartIdentifier()))
             if name.lower() not in known:
                 found.add(name)
         if kind == "UnresolvedWith":
-            for i in range(node.cteRelations().size()):
-                pair = node.cteRelations().apply(i)
+            for pair in _seq(node.cteRelations()):
                 name = pair._1().lower()
                 inside = known | {name} if node.allowRecursion() else known
                 walk(pair._2(), inside)
                 known = known | {name}
-        for child in _children(node):
+        for child in [*_seq(node.children()), *_seq(node.subqueries())]:
             walk(child, known)
-        exprs = node.expressions()
-        for i in range(exprs.size()):
-            _expression(exprs.apply(i), known)
-
-    def _expression(e, known: frozenset[str]) -> None:
-        if "plan" in {m.getName() for m in e.getClass().getMethods()} and e.getClass().getName().endswith(("Subquery", "ListQuery", "Exists", "Expression", "LateralSubquery")):
-            try:
-                inner = e.plan()
-            except Exception:
-                inner = None
-            if inner is not None:
-                walk(inner, known)
-        for child in _children(e):
-            _expression(child, known)
 
     walk(plan, frozenset())
     return found
@@ -85,25 +67,31 @@ class Answer:
 class Guard:
     """Runs statements over named DataFrames in a session of its own, in which no other table exists."""
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], settings: Settings = Settings()) -> None:
-        self.spark, self.settings, self.tables = spark.newSession(), settings, {n.lower(): n for n in tables}
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame | Callable[[], DataFrame]], settings: Settings = Settings()) -> None:
+        """tables: DataFrames, or functions that give them when a statement first reads them."""
+        self.spark, self.settings = spark.newSession(), settings
+        self.tables, self.known = {n.lower(): (n, df) for n, df in tables.items()}, set()
         self.spark.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", "true")
-        self.plans = tables
-        for name, df in tables.items():
-            self._adopt(name, df)
 
-    def _adopt(self, name: str, df: DataFrame) -> None:
-        view = self.spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(self.spark._jsparkSession, df._jdf.queryExecution().logical())
-        DataFrame(view, self.spark).createOrReplaceTempView(f"`{name}`")
+    def _adopt(self, key: str) -> None:
+        if key not in self.known:
+            name, df = self.tables[key]
+            df = df if isinstance(df, DataFrame) else df()
+            view = self.spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(self.spark._jsparkSession, df._jdf.queryExecution().logical())
+            DataFrame(view, self.spark).createOrReplaceTempView("`" + name.replace("`", "``") + "`")
+            self.known.add(key)
 
     def plan(self, sql: str) -> DataFrame:
         """The capped plan of a statement; a coded error if it isn't one SELECT over the tables."""
         text = sql.strip().rstrip(";").strip()
         if not text:
             raise CodedError("empty_sql", "the statement is empty")
-        unknown = sorted(n for n in relations(self.spark, text) if n.lower() not in self.tables)
+        read = relations(self.spark, text)
+        unknown = sorted(n for n in read if n.lower() not in self.tables)
         if unknown:
             raise CodedError("permission_denied", f"tables that are not visible: {', '.join(unknown)}", 403)
+        for n in read:
+            self._adopt(n.lower())
         try:
             return self.spark.sql(text).limit(self.settings.sql_row_cap)
         except Exception as e:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -36,7 +38,7 @@ STATEMENTS = {
 
 def _statement(sql: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return Guard(spark, {n: t(spark, sf_dir, n) for n in TABLES}).plan(sql)
+        return Guard(spark, {n: partial(t, spark, sf_dir, n) for n in TABLES}).plan(sql)
 
     return run
 
