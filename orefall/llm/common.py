@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import unicodedata
 import uuid
@@ -10,6 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +73,24 @@ def steps(texts: list[str], most: int = STEP_CHARS) -> Iterator[tuple[int, int]]
         yield start, len(texts)
 
 
+def step_texts(column: pa.Array, most: int = STEP_CHARS) -> Iterator[list[str]]:
+    """A column's texts step by step, so that a batch is never held as Python strings as a whole."""
+    stops = np.concatenate([[0], np.cumsum(pc.utf8_length(column).to_numpy(zero_copy_only=False))])
+    start = 0
+    while start < len(column):
+        end = max(start + 1, int(np.searchsorted(stops, stops[start] + most, side="right")) - 1)
+        yield column.slice(start, end - start).to_pylist()
+        start = end
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the machine: a worker lives on after its tasks, and others need the executor's share."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def over_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -171,9 +191,8 @@ def summed_counters(texts: DataFrame, count: Callable[[list[str], np.ndarray], N
     def local(batches):
         total = np.zeros(size, dtype=np.int64)
         for b in batches:
-            t = b.column(0).to_pylist()
-            for i, j in steps(t):
-                count(t[i:j], total)
+            for some in step_texts(b.column(0)):
+                count(some, total)
         at = range(0, size, ROOM)
         yield pa.RecordBatch.from_arrays([pa.array([i // ROOM for i in at], pa.int32()), pa.array([total[i : i + ROOM].astype("<i8").tobytes() for i in at], pa.binary())], ["block", "counts"])
 

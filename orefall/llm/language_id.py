@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,12 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from orefall.llm.common import STEP_CHARS, U, crc32_of, steps, summed_counters, word_chars
+from orefall.llm.common import STEP_CHARS, U, crc32_of, step_texts, steps, summed_counters, word_chars
 
 #: Hashed features, and the longest n-gram.
 FEATURES, LONGEST = 1 << 16, 3
 #: The classifier is fitted on at most so many documents of each language, those whose keys hash lowest.
-FIT_ROWS = 1200
+FIT_ROWS = 1000
 #: Follow the regularised leader: learning rate, its smoothing, L1 and L2 penalties, passes over the sample.
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.02, 4
 #: L1-normalised TF-IDF values are small; this factor brings them near 1.
@@ -167,8 +168,11 @@ def fit(df: DataFrame, learn: Column, text: str = "text", lang: str = "lang", ke
     if not n:
         return None
     idf = np.log((1 + n) / (1 + counts[:FEATURES])) + 1
+    # Up to this limit Spark cuts each task's languages to fit_rows before the shuffle, and no text goes through it.
     nth = W.partitionBy("lang").orderBy("h")
-    sample = rows.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= fit_rows).orderBy("h").collect()
+    most = rows.select("lang", "h").withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= fit_rows).groupBy("lang").agg(F.max("h").alias("h")).collect()
+    chosen = reduce(lambda x, y: x | y, [(F.col("lang") == r["lang"]) & (F.col("h") <= r["h"]) for r in most])
+    sample = rows.where(chosen).orderBy("h").collect()
     langs = sorted({r["lang"] for r in sample})
     y = np.array([langs.index(r["lang"]) for r in sample])
     x = sparse([r["t"] for r in sample], idf)
@@ -192,13 +196,13 @@ def predict_language(df: DataFrame, model: Model | None, text: str = "text", key
 
     def run(batches):
         for b in batches:
-            texts, langs, score = b.column(b.num_columns - 1).to_pylist(), [], []
-            for i, j in steps(texts, STEP_CHARS // 2):
+            langs, score = [], []
+            for texts in step_texts(b.column(b.num_columns - 1), STEP_CHARS // 2):
                 if model is None:
-                    langs += [NONE] * (j - i)
-                    score += [0.0] * (j - i)
+                    langs += [NONE] * len(texts)
+                    score += [0.0] * len(texts)
                     continue
-                p, has = model.probabilities(texts[i:j])
+                p, has = model.probabilities(texts)
                 best = p.argmax(axis=1)
                 langs += [model.langs[k] if ok else NONE for k, ok in zip(best, has)]
                 score += np.where(has, p.max(axis=1), 0.0).clip(0, 1).tolist()
