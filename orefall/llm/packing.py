@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from orefall.llm.common import STEP_CHARS, stash, steps
+from orefall.llm.common import STEP_CHARS, stash, step_texts
 from orefall.llm.cutting_stock import Plan, solve
 from orefall.llm.word_ids import WordIds
 
@@ -44,12 +44,12 @@ def pieces(df: DataFrame, vocabulary: str, text: str, key: str, room: int, grain
         enc, part, seen = _ids(vocabulary), TaskContext.get().partitionId(), {}
         end = np.array([END], dtype="<u4").tobytes()
         for batch in batches:
-            texts, keys = batch.column(1).to_pylist(), []
+            keys: list[int] = []
             cols: list[list[int]] = [[] for _ in range(5)]
             start, length, crc, total, nth = cols
             row = 0
-            for a, b in steps(texts, 4 * STEP_CHARS):
-                flat, lens = enc.encode(texts[a:b])
+            for texts in step_texts(batch.column(1), 2 * STEP_CHARS):
+                flat, lens = enc.encode(texts)
                 packed, stop = memoryview(flat.tobytes()), 0
                 for size_of in lens.tolist():
                     ids = bytes(packed[4 * stop : 4 * (stop + size_of)]) + end

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orefall.llm.boosted_trees import Forest, fit
-from orefall.llm.common import STEP_CHARS, crc32_of, rows_again, stash, steps, whole_row, word_hashes
+from orefall.llm.common import STEP_CHARS, crc32_of, rows_again, stash, step_texts, whole_row, word_hashes
 
 #: Labelled documents that the trees are fitted on at most, those whose keys hash lowest.
 FIT_ROWS = 20_000
@@ -92,9 +92,8 @@ def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches):
         for b in batches:
-            texts = b.column(b.num_columns - 1).to_pylist()
-            x = np.concatenate([statistics(texts[i:j]) for i, j in steps(texts, STEP_CHARS // 2)] or [np.zeros((0, len(FEATURES)))])
-            stats = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * len(FEATURES), pa.int32()), pa.array(x.ravel(), pa.float64()))
+            x = np.concatenate([statistics(texts) for texts in step_texts(b.column(b.num_columns - 1), STEP_CHARS // 2)] or [np.zeros((0, len(FEATURES)))])
+            stats = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * len(FEATURES), pa.int32()), pa.array(x.ravel(), pa.float64()))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], stats], [*b.schema.names[:-1], "_stats"])
 
     return rows.mapInArrow(run, f"{kinds}, _stats array<double>")
@@ -146,7 +145,7 @@ def keep_good(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "
     plain = df.select(F.col(key).alias("doc_id"), F.col(text).alias("t"))
     stats = stash(with_statistics(plain, "t"), "quality-stats")
     forest = train(stats, labels, ~held_out("doc_id"))
-    return rows_again(keep_by(df.select(whole_row(df), F.col(text).alias("_text")), forest), df.columns)
+    return rows_again(keep_by(df.select(whole_row(df), F.coalesce(F.col(text), F.lit("")).alias("_text")), forest), df.columns)
 
 
 def keep_by(rows: DataFrame, forest: Forest) -> DataFrame:
@@ -154,8 +153,7 @@ def keep_by(rows: DataFrame, forest: Forest) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            texts = ["" if t is None else t for t in b.column(1).to_pylist()]
-            good = [forest.scores(statistics(texts[i:j])) >= 0.5 for i, j in steps(texts, STEP_CHARS // 2)]
+            good = [forest.scores(statistics(texts)) >= 0.5 for texts in step_texts(b.column(1), STEP_CHARS // 2)]
             yield b.filter(pa.array(np.concatenate(good) if good else [], pa.bool_()))
 
     return rows.mapInArrow(run, rows.schema)

@@ -5,11 +5,12 @@ from __future__ import annotations
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orefall.llm.bpe import TokenCounter
-from orefall.llm.common import STEP_CHARS, over_arrow, steps
+from orefall.llm.common import STEP_CHARS, over_arrow, step_texts
 
 
 @lru_cache(maxsize=2)
@@ -27,12 +28,12 @@ def count_tokens(df: DataFrame, vocabulary: str, text: str = "text", key: str =
     key_type = df.schema[key].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, n = batch.column(1).to_pylist(), []
+        n: list[int] = []
         counter = _counter(vocabulary)
-        for a, b in steps(texts, 4 * STEP_CHARS):
-            n += counter.count(texts[a:b]).tolist()
-        size = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        for texts in step_texts(batch.column(1), 2 * STEP_CHARS):
+            n += counter.count(texts).tolist()
+        size = pc.binary_length(batch.column(1)).cast(pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column(0), size, pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     rows = df.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     return over_arrow(rows, run, f"doc_id {key_type}, n_bytes long, n_tokens long, over_limit boolean")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orefall.llm.common import STEP_CHARS, U, mix, shingle_hashes, steps, summed_counters
+from orefall.llm.common import U, mix, shingle_hashes, step_texts, summed_counters
 
 BANDS, ROWS = 10, 3
 #: Shingles in at least this share of the documents have an IDF below the ceiling.
@@ -73,16 +73,9 @@ def fit_idf(df: DataFrame, text: str, common: float = COMMON) -> Idf:
 
     def exact(batches):
         for b in batches:
-            t = b.column(0).to_pylist()
-            for i, j in steps(t, 4 * STEP_CHARS):
-                found = []
-                for x, y in steps(t[i:j]):
-                    h, at = shingle_hashes(t[i + x : i + y])
-                    ok = heavy[(h >> shift).astype(np.int64)]
-                    doc = np.repeat(np.arange(y - x, dtype=np.int64), np.diff(at))[ok]
-                    pair = np.unique(np.stack([h[ok], doc.astype(U)]), axis=1) if ok.any() else np.zeros((2, 0), dtype=U)
-                    found.append(pair[0])
-                k, c = np.unique(np.concatenate(found), return_counts=True)
+            for some in step_texts(b.column(0)):
+                h, _, _ = distinct_shingles(some)
+                k, c = np.unique(h[heavy[(h >> shift).astype(np.int64)]], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c.astype(np.int64))], ["h", "n"])
 
     rows = texts.mapInArrow(exact, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()

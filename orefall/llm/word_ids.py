@@ -36,10 +36,11 @@ class WordIds:
     Texts that are not plain go to the library whole. A full memo is emptied, which costs time but changes no result.
     """
 
-    def __init__(self, path: str, memo: int = 1 << 20) -> None:
+    def __init__(self, path: str, words: int = 1 << 19, parts: int = 1 << 19) -> None:
+        """words, parts: sizes of the memos; they bound the memory of a task."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         self.lib = Tokenizer.from_file(path)
-        self.words, self.parts = RaggedMemo(memo), RaggedMemo(memo)
+        self.words, self.parts = RaggedMemo(words), RaggedMemo(parts)
         self.pattern = regex.compile(PRE_TOKENS)
         vocab = self.lib.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
