@@ -6,7 +6,7 @@ import os
 
 import numpy as np
 import regex
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from orefall.llm.ragged import RaggedMemo, coded, gather
 
@@ -36,10 +36,14 @@ class WordIds:
     Texts that are not plain go to the library whole. A full memo is emptied, which costs time but changes no result.
     """
 
-    def __init__(self, path: str, words: int = 1 << 19, parts: int = 1 << 19) -> None:
+    def __init__(self, path: str, words: int = 3 << 18, parts: int = 1 << 19) -> None:
         """words, parts: sizes of the memos; they bound the memory of a task."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         self.lib = Tokenizer.from_file(path)
+        # Pre-tokens are lower-case and split already: the same merges without the normaliser and the pattern.
+        self.merges = Tokenizer.from_file(path)
+        self.merges.normalizer = normalizers.Sequence([])
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.words, self.parts = RaggedMemo(words), RaggedMemo(parts)
         self.pattern = regex.compile(PRE_TOKENS)
         vocab = self.lib.get_vocab()
@@ -54,7 +58,7 @@ class WordIds:
         flat, lens = [np.zeros(0, dtype="<u4")], [np.zeros(0, dtype=np.int64)]
         for a in range(0, len(new), BLOCK):
             block = new[a : a + BLOCK]
-            ids = self._lib(" ".join(block))
+            ids = np.array(self.merges.encode_batch_fast([" ".join(block)], add_special_tokens=False)[0].ids, dtype="<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(block):
                 flat.append(ids)
