@@ -14,9 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orefall.llm.common import NEAR, rows_again, stash, steps, whole_row
+from orefall.llm.common import NEAR, STEP_CHARS, release, rows_again, stash, step_texts, whole_row
 from orefall.llm.components import components
-from orefall.llm.weighted_minhash import BANDS, Idf, distinct_shingles, fit_idf, signatures, weighted_jaccard
+from orefall.llm.weighted_minhash import BANDS, Idf, distinct_shingles_stepwise, fit_idf, signatures, weighted_jaccard
 
 #: Members that a bucket may have to be resolved whole; pivots of a larger one; members and open members in a group.
 WHOLE, PIVOTS, CHUNK, BLOCK = 64, 4, 512, 256
@@ -32,9 +32,8 @@ def _signed(df: DataFrame, text: str, key: str, idf: Idf) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            texts = b.column(2).to_pylist()
-            sig = np.concatenate([signatures(texts[i:j], idf) for i, j in steps(texts)] or [np.zeros((0, BANDS), dtype=np.int64)])
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * BANDS, pa.int32()), pa.array(sig.ravel()))
+            sig = np.concatenate([signatures(texts, idf) for texts in step_texts(b.column(2))] or [np.zeros((0, BANDS), dtype=np.int64)])
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * BANDS, pa.int32()), pa.array(sig.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), bands], ["doc_id", "node", "bands"])
 
     rows = df.select(F.col(key).alias("doc_id"), _node(F.col(text)).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("t"))
@@ -54,7 +53,7 @@ def _resolver(idf: Idf, least: float):
         comp, own = t.column("comp").to_pylist(), band[0]
         bands = np.array(t.column("bands").to_pylist()) if own >= 0 else None
         order = sorted(range(len(nodes)), key=lambda i: (nodes[i], side[i]))
-        h, tf, at = distinct_shingles(texts)
+        h, tf, at = distinct_shingles_stepwise(texts)
         w = tf * idf.of(h)
         size = np.diff(np.concatenate([[0], np.cumsum(w)])[at])
         codes = {c: k for k, c in enumerate(dict.fromkeys(comp))}
@@ -71,6 +70,8 @@ def _resolver(idf: Idf, least: float):
                     left.append(nodes[i])
                     right.append(nodes[j])
                     group[group == group[j]] = group[i]
+        if sum(map(len, texts)) > STEP_CHARS:
+            release()
         return pa.table({"a": pa.array(left, pa.string()), "b": pa.array(right, pa.string())})
 
     return run

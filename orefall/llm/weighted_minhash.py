@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orefall.llm.common import U, mix, shingle_hashes, step_texts, summed_counters
+from orefall.llm.common import U, mix, shingle_hashes, step_texts, steps, summed_counters
 
 BANDS, ROWS = 10, 3
 #: Shingles in at least this share of the documents have an IDF below the ceiling.
@@ -49,6 +49,14 @@ def distinct_shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return h[first], tf, np.searchsorted(doc[first], np.arange(len(texts) + 1)).astype(np.int64)
 
 
+def distinct_shingles_stepwise(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same in steps, so that only the shingles are held of all texts, not the arrays of their characters."""
+    parts = [distinct_shingles(texts[i:j]) for i, j in steps(texts)]
+    sizes = [np.diff(at) for _, _, at in parts]
+    at = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if parts else np.zeros(1)
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), at.astype(np.int64)
+
+
 def fit_idf(df: DataFrame, text: str, common: float = COMMON) -> Idf:
     """IDF of all documents: (1 + ln(N / df)) over its value at df = common * N, where it has its ceiling of 1.
 
