@@ -17,10 +17,19 @@ def ranking_metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame
     ranked: query_id, doc, rank. relevant: query_id, doc. A query without relevant documents has recall and NDCG one.
     """
     need = relevant.groupBy("query_id").agg(F.count("*").alias("n"))
-    hits = ranked.join(relevant, ["query_id", "doc"], "left_semi")
+    known = relevant.select("query_id", "doc", F.lit(True).alias("relevant")).distinct()
+    return judged_metrics(ranked.join(known, ["query_id", "doc"], "left"), need, k)
+
+
+def judged_metrics(judged: DataFrame, need: DataFrame, k: int) -> DataFrame:
+    """The same from a ranking that says which documents are relevant, and how many each query has.
+
+    judged: query_id, rank, relevant (null counts as false). need: query_id, n.
+    """
+    hit, top = F.col("relevant"), F.col("relevant") & (F.col("rank") <= k)
     gain = F.lit(1.0) / F.log2(F.col("rank") + 1)
-    found = hits.groupBy("query_id").agg(F.count(F.when(F.col("rank") <= k, True)).alias("h"), F.min("rank").alias("first"), F.sum(F.when(F.col("rank") <= k, gain)).alias("dcg"))
-    rows = ranked.select("query_id").distinct().join(need, "query_id", "left").join(found, "query_id", "left")
+    found = judged.groupBy("query_id").agg(F.count_if(top).alias("h"), F.min(F.when(hit, F.col("rank"))).alias("first"), F.sum(F.when(top, gain)).alias("dcg"))
+    rows = found.join(need, "query_id", "left")
     n, h = F.coalesce("n", F.lit(0)), F.coalesce("h", F.lit(0))
     ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(n, F.lit(k)), F.lit(1)).cast("int")), F.lit(0.0), lambda s, i: s + F.lit(1.0) / F.log2(i + 1))
     return rows.select(

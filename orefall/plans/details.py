@@ -104,8 +104,7 @@ def d16_rater_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("d17_relevance_join", f"WITH {RELEVANT} SELECT query_id, doc, d.rank FROM rel JOIN dense d USING (query_id) WHERE d.node_id = doc")
 def d17_relevance_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked, rel = _ranked(spark, sf_dir)
-    return ranked.join(rel, ["query_id", "doc"]).select("query_id", "doc", F.col("rank").cast("long").alias("rank"))
+    return _ranked(spark, sf_dir)[0].where("relevant").select("query_id", "doc", F.col("rank").cast("long").alias("rank"))
 
 
 @register("e3_term_frequency", f"WITH {NODES} SELECT node_id, max(freq) AS most FROM (SELECT node_id, term, count(*) AS freq FROM (SELECT node_id, unnest({TOKENS.format('content')}) AS term FROM nodes) GROUP BY ALL) GROUP BY node_id")
@@ -120,8 +119,7 @@ def e20_suite_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("e23_parent_child_ablation", f"WITH {RELEVANT} SELECT arm, round(avg(h), 6) AS mean, median(h) AS median FROM (SELECT 'child' AS arm, query_id, CAST(count(doc) AS DOUBLE) AS h FROM (SELECT DISTINCT query_id FROM dense) LEFT JOIN (SELECT d.query_id, doc FROM dense d JOIN rel r ON r.query_id = d.query_id AND r.doc = d.node_id) USING (query_id) GROUP BY 2 UNION ALL SELECT 'parent', query_id, CAST(count(DISTINCT doc // 4) AS DOUBLE) FROM (SELECT DISTINCT query_id FROM dense) LEFT JOIN (SELECT d.query_id, doc FROM dense d JOIN rel r ON r.query_id = d.query_id AND r.doc = d.node_id) USING (query_id) GROUP BY 2) GROUP BY arm")
 def e23_parent_child_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked, rel = _ranked(spark, sf_dir)
-    hits = ranked.select("query_id").distinct().join(ranked.join(rel, ["query_id", "doc"], "left_semi"), "query_id", "left")
+    hits = _ranked(spark, sf_dir)[0].withColumn("doc", F.when(F.col("relevant"), F.col("doc")))
     per = hits.groupBy("query_id").agg(F.count("doc").cast("double").alias("child"), F.countDistinct(F.expr("doc div 4")).cast("double").alias("parent"))
     arms = per.unpivot("query_id", ["child", "parent"], "arm", "h")
     return arms.groupBy("arm").agg(F.round(F.avg("h"), 6).alias("mean"), F.expr("percentile_cont(0.5) WITHIN GROUP (ORDER BY h)").alias("median"))
@@ -141,15 +139,15 @@ def f6_arm_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("f7_reciprocal_rank", f"WITH {RELEVANT} SELECT query_id, round(1.0 / min(d.rank), 6) AS reciprocal FROM rel JOIN dense d USING (query_id) WHERE d.node_id = doc GROUP BY 1")
 def f7_reciprocal_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked, rel = _ranked(spark, sf_dir)
-    return ranked.join(rel, ["query_id", "doc"], "left_semi").groupBy("query_id").agg(F.round(F.lit(1.0) / F.min("rank"), 6).alias("reciprocal"))
+    return _ranked(spark, sf_dir)[0].where("relevant").groupBy("query_id").agg(F.round(F.lit(1.0) / F.min("rank"), 6).alias("reciprocal"))
 
 
 @register("f9_complete_recall", f"WITH {RELEVANT} SELECT query_id, count(d.rank) = count(*) AS complete, round(count(d.rank) / count(*), 6) AS recall FROM rel r LEFT JOIN (SELECT query_id, node_id AS doc, rank FROM dense) d USING (query_id, doc) GROUP BY 1")
 def f9_complete_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked, rel = _ranked(spark, sf_dir)
-    rows = rel.join(ranked, ["query_id", "doc"], "left")
-    return rows.groupBy("query_id").agg((F.count("rank") == F.count("*")).alias("complete"), F.round(F.count("rank") / F.count("*"), 6).alias("recall"))
+    judged, need = _ranked(spark, sf_dir)
+    rows = need.join(judged.where("relevant").groupBy("query_id").agg(F.count("*").alias("h")), "query_id", "left")
+    h = F.coalesce("h", F.lit(0))
+    return rows.select("query_id", (h == F.col("n")).alias("complete"), F.round(h / F.col("n"), 6).alias("recall"))
 
 
 @register("g2_bm25_top", f"WITH {SEEN}, {QUERY_SET}, {BM25} SELECT query_id, node_id, rank FROM keyword WHERE rank <= 3")
@@ -286,9 +284,9 @@ def p14_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("p16_benchmark_arms", f"WITH {RELEVANT}, arms AS (SELECT 'dense' AS arm, query_id, node_id, rank FROM dense UNION ALL SELECT 'reverse', query_id, node_id, 11 - rank FROM dense) SELECT arm, round(avg(coalesce(r, 0)), 6) AS mrr FROM (SELECT arm, q.query_id, (SELECT max(1.0 / a2.rank) FROM arms a2 JOIN rel ON rel.query_id = a2.query_id AND rel.doc = a2.node_id WHERE a2.arm = a.arm AND a2.query_id = q.query_id) AS r FROM (SELECT DISTINCT arm FROM arms) a, (SELECT DISTINCT query_id FROM dense) q) GROUP BY arm")
 def p16_benchmark_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked, rel = _ranked(spark, sf_dir)
+    judged, need = _ranked(spark, sf_dir)
     out = None
-    for arm, rows in (("dense", ranked), ("reverse", ranked.withColumn("rank", 11 - F.col("rank")))):
-        one = metrics.ranking_metrics(rows, rel, 5).agg(F.round(F.avg("reciprocal_rank"), 6).alias("mrr")).select(F.lit(arm).alias("arm"), "mrr")
+    for arm, rows in (("dense", judged), ("reverse", judged.withColumn("rank", 11 - F.col("rank")))):
+        one = metrics.judged_metrics(rows, need, 5).agg(F.round(F.avg("reciprocal_rank"), 6).alias("mrr")).select(F.lit(arm).alias("arm"), "mrr")
         out = one if out is None else out.union(one)
     return out

@@ -73,47 +73,53 @@ METRIC = "m AS (SELECT q.query_id, coalesce(n, 0) AS n, coalesce(h, 0) AS h, fir
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    q = asked_vectors(spark, sf_dir)
-    ranked = dense.exact(q, vectors(spark, sf_dir), 10).select("query_id", F.col("node_id").alias("doc"), "rank")
-    rel = q.select("query_id", "query_label").join(vectors(spark, sf_dir).where("node_id < 100"), F.col("label") == F.col("query_label")).select("query_id", F.col("node_id").alias("doc"))
-    return ranked, rel
+    """Rankings (query_id, doc, rank, relevant), and how many relevant documents each query has (query_id, n).
+
+    Relevant are all vectors of the query's label: they are counted by label, and only ranked ones are judged one by one.
+    """
+    q, v = asked_vectors(spark, sf_dir), vectors(spark, sf_dir)
+    asked = q.select("query_id", "query_label")
+    ranked = dense.exact(q, v, 10).select("query_id", F.col("node_id").alias("doc"), "rank")
+    judged = ranked.join(v.select(F.col("node_id").alias("doc"), "label"), "doc").join(asked, "query_id")
+    judged = judged.select("query_id", "doc", "rank", F.coalesce(F.col("label") == F.col("query_label"), F.lit(False)).alias("relevant"))
+    sizes = v.groupBy("label").agg(F.count("*").alias("n"))
+    return judged, asked.join(sizes, F.col("label") == F.col("query_label")).select("query_id", "n")
 
 
 @register("p1_ranking_metrics", f"WITH {RELEVANT}, {METRIC} SELECT query_id, round(CASE WHEN n = 0 THEN 1 ELSE h / n END, 6) AS recall, round(h / 5, 6) AS precision, CAST(h > 0 AS DOUBLE) AS hit, CAST(h = n AS DOUBLE) AS complete, round(coalesce(1.0 / first, 0), 6) AS reciprocal_rank, round(CASE WHEN n = 0 THEN 1 ELSE dcg / (SELECT sum(1 / log2(i + 1)) FROM range(1, 6) r(i) WHERE i <= n) END, 6) AS ndcg FROM m")
 def p1_ranking_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = metrics.ranking_metrics(*_ranked(spark, sf_dir), 5)
+    m = metrics.judged_metrics(*_ranked(spark, sf_dir), 5)
     return m.select("query_id", *[(F.round(c, 6) if c not in ("hit", "complete") else F.col(c)).alias(c) for c in m.columns[1:]])
 
 
 @register("e14_metric_means", f"WITH {RELEVANT}, {METRIC} SELECT round(avg(CASE WHEN n = 0 THEN 1 ELSE h / n END), 6) AS recall, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr, round(avg(CAST(h > 0 AS DOUBLE)), 6) AS hit FROM m")
 def e14_metric_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = metrics.ranking_metrics(*_ranked(spark, sf_dir), 5)
+    m = metrics.judged_metrics(*_ranked(spark, sf_dir), 5)
     return m.agg(F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("reciprocal_rank"), 6).alias("mrr"), F.round(F.avg("hit"), 6).alias("hit"))
 
 
 @register("e15_metric_ceilings", f"WITH {RELEVANT}, n AS (SELECT query_id, count(*) AS n FROM rel GROUP BY 1) SELECT round(avg(least(5, n) / n), 6) AS recall_ceiling, round(avg(CAST(n <= 5 AS INT)), 6) AS complete_ceiling FROM n")
 def e15_metric_ceilings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _ranked(spark, sf_dir)[1].groupBy("query_id").agg(F.count("*").alias("n"))
+    n = _ranked(spark, sf_dir)[1]
     return n.agg(F.round(F.avg(F.least(F.lit(5), F.col("n")) / F.col("n")), 6).alias("recall_ceiling"), F.round(F.avg((F.col("n") <= 5).cast("int")), 6).alias("complete_ceiling"))
 
 
 @register("f10_smallest_covering_k", f"WITH {RELEVANT} SELECT r.query_id, CASE WHEN count(d.rank) = count(*) THEN max(d.rank) END AS k FROM rel r LEFT JOIN dense d ON d.query_id = r.query_id AND d.node_id = r.doc GROUP BY 1")
 def f10_smallest_covering_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked, rel = _ranked(spark, sf_dir)
-    rows = rel.join(ranked, ["query_id", "doc"], "left")
-    return rows.groupBy("query_id").agg(F.when(F.count("rank") == F.count("*"), F.max("rank")).cast("long").alias("k"))
+    judged, need = _ranked(spark, sf_dir)
+    hits = judged.where("relevant").groupBy("query_id").agg(F.count("*").alias("h"), F.max("rank").alias("last"))
+    return need.join(hits, "query_id", "left").select("query_id", F.when(F.col("h") == F.col("n"), F.col("last")).cast("long").alias("k"))
 
 
 @register("f8_ndcg", f"WITH {RELEVANT}, {METRIC} SELECT query_id, round(dcg, 6) AS dcg FROM m")
 def f8_ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked, rel = _ranked(spark, sf_dir)
-    hits = ranked.where("rank <= 5").join(rel, ["query_id", "doc"], "left_semi").groupBy("query_id").agg(F.sum(F.lit(1.0) / F.log2(F.col("rank") + 1)).alias("dcg"))
-    return ranked.select("query_id").distinct().join(hits, "query_id", "left").select("query_id", F.round(F.coalesce("dcg", F.lit(0.0)), 6).alias("dcg"))
+    gain = F.when(F.col("relevant") & (F.col("rank") <= 5), F.lit(1.0) / F.log2(F.col("rank") + 1))
+    return _ranked(spark, sf_dir)[0].groupBy("query_id").agg(F.round(F.coalesce(F.sum(gain), F.lit(0.0)), 6).alias("dcg"))
 
 
 @register("p2_mode_comparison", f"WITH {RELEVANT}, {METRIC} SELECT query_id % 3 AS category, round(avg(coalesce(1.0 / first, 0)), 6) AS vector, count(*) AS n FROM m GROUP BY 1")
 def p2_mode_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = metrics.ranking_metrics(*_ranked(spark, sf_dir), 5)
+    m = metrics.judged_metrics(*_ranked(spark, sf_dir), 5)
     return m.groupBy((F.col("query_id") % 3).alias("category")).agg(F.round(F.avg("reciprocal_rank"), 6).alias("vector"), F.count("*").alias("n"))
 
 
@@ -255,8 +261,7 @@ def p10_agreement_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("p11_ablation_arms", f"WITH {RELEVANT} SELECT arm, round(avg(hit), 6) AS hit FROM (SELECT a AS arm, q.query_id, CAST(count(r.doc) > 0 AS DOUBLE) AS hit FROM (SELECT unnest([1, 3, 10]) AS a), (SELECT DISTINCT query_id FROM dense) q LEFT JOIN dense d ON d.query_id = q.query_id AND d.rank <= a LEFT JOIN rel r ON r.query_id = d.query_id AND r.doc = d.node_id GROUP BY ALL) GROUP BY arm")
 def p11_ablation_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of questions with a hit for several depths, in one pass over the ranking."""
-    ranked, rel = _ranked(spark, sf_dir)
-    first = ranked.join(rel.withColumn("r", F.lit(True)), ["query_id", "doc"], "left").groupBy("query_id").agg(F.min(F.when(F.col("r"), F.col("rank"))).alias("first"))
+    first = _ranked(spark, sf_dir)[0].groupBy("query_id").agg(F.min(F.when(F.col("relevant"), F.col("rank"))).alias("first"))
     arms = first.select("query_id", "first", F.explode(F.array(F.lit(1), F.lit(3), F.lit(10))).alias("arm"))
     return arms.groupBy("arm").agg(F.round(F.avg(F.coalesce((F.col("first") <= F.col("arm")).cast("double"), F.lit(0.0))), 6).alias("hit"))
 
