@@ -58,14 +58,17 @@ def distinct_shingles_stepwise(texts: list[str]) -> tuple[np.ndarray, np.ndarray
 
 
 def fit_idf(df: DataFrame, text: str, common: float = COMMON) -> Idf:
-    """IDF of all documents: (1 + ln(N / df)) over its value at df = common * N, where it has its ceiling of 1.
+    """IDF of all distinct texts: (1 + ln(N / df)) over its value at df = common * N, where it has its ceiling of 1.
 
-    The first pass adds counters of a fixed size; a bucket's count is no less than any of its shingles' document frequency.
-    The second counts exactly the shingles of buckets that reach common * N. At most (mean distinct shingles) / common
-    shingles are common, however many documents there are, so that bringing those to the driver is bounded.
+    Copies count once, so that a text repeated often does not devalue what its near copies share with it. The first pass adds
+    counters of a fixed size over all rows; a bucket's count is no less than any of its shingles' document frequency. The second
+    takes the shingles of buckets that reach common * N, one list for each distinct text (by MD5), and counts them exactly. At
+    most (mean distinct shingles) / common shingles are common, however many documents there are, so that bringing those to the
+    driver is bounded.
     """
     texts = df.select(F.coalesce(F.col(text), F.lit("")).alias("t"))
-    n = texts.count()
+    node = F.unhex(F.md5(F.col("t").cast("binary")))
+    n = texts.select(node.alias("node")).distinct().count()
     if not n:
         return Idf(np.zeros(0, dtype=U), np.zeros(0))
     shift = U(64 - int(math.log2(COUNTERS)))
@@ -79,14 +82,26 @@ def fit_idf(df: DataFrame, text: str, common: float = COMMON) -> Idf:
     if not heavy.any():
         return Idf(np.zeros(0, dtype=U), np.zeros(0))
 
-    def exact(batches):
+    def common_of(batches):
         for b in batches:
-            for some in step_texts(b.column(0)):
-                h, _, _ = distinct_shingles(some)
-                k, c = np.unique(h[heavy[(h >> shift).astype(np.int64)]], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c.astype(np.int64))], ["h", "n"])
+            done = 0
+            for some in step_texts(b.column(1)):
+                h, _, at = distinct_shingles(some)
+                here = heavy[(h >> shift).astype(np.int64)]
+                upto = np.concatenate([[0], np.cumsum(here)])[at].astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(upto), pa.array(h[here].view(np.int64)))
+                full = pa.array(np.diff(upto) > 0)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(done, len(some)).filter(full), lists.filter(full)], ["node", "hs"])
+                done += len(some)
+
+    def counted(batches):
+        for b in batches:
+            k, c = np.unique(b.column(0).flatten().to_numpy(zero_copy_only=False), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c.astype(np.int64))], ["h", "n"])
 
-    rows = texts.mapInArrow(exact, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()
+    lists = texts.select(node.alias("node"), "t").mapInArrow(common_of, "node binary, hs array<bigint>")
+    lists = lists.groupBy("node").agg(F.first("hs").alias("hs")).select("hs")
+    rows = lists.mapInArrow(counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()
     keys = np.array([r["h"] for r in rows], dtype=np.int64).view(U)
     dfs = np.array([r["n"] for r in rows], dtype=np.float64)
     weights = np.minimum(1.0, (1 + np.log(n / np.maximum(dfs, 1))) / (1 + math.log(1 / common)))

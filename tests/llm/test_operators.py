@@ -274,6 +274,20 @@ def test_idf_is_that_of_all_documents(spark):
     assert idf.keys.tolist() == sorted(want) and np.allclose(idf.weights, [want[k] for k in sorted(want)])
 
 
+def test_idf_counts_copies_once(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = base.copy()
+    near[30] = "changed"
+    other = [prose(200 + i, 40) for i in range(160)]
+    texts = [" ".join(base)] * 80 + [" ".join(near)] + other
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    once = fit_idf(spark.createDataFrame([(t,) for t in sorted(set(texts))], "text string"), "text")
+    idf = fit_idf(df, "text")
+    assert idf.keys.tolist() == once.keys.tolist() and np.allclose(idf.weights, once.weights)
+    size = {r["doc_id"]: r["class_size"] for r in near_classes(df).collect()}
+    assert size[0] == 81 and size[80] == 81
+
+
 def test_samples_agree_as_often_as_texts_are_similar(spark):
     idf = fit_idf(spark.createDataFrame([("x",)], "text string"), "text")
     base = [f"v{i}" for i in range(400)]
