@@ -50,9 +50,10 @@ def b18_page_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("b20_query_metadata", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'TICKET-' || lpad(CAST(o_orderkey AS VARCHAR), 5, '0') ELSE '' END AS refs, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE '20' || lpad(CAST(o_orderkey % 30 AS VARCHAR), 2, '0') END AS years FROM orders WHERE o_orderkey < 90000")
 def b20_query_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    text = F.concat(F.lit("report 20"), F.lpad((k % 30).cast("string"), 2, "0"), F.when(k % 5 == 0, F.concat(F.lit(" ticket-"), F.lpad(k.cast("string"), 5, "0"))).otherwise(""))
-    q = t(spark, sf_dir, "orders").where("o_orderkey < 90000").select("o_orderkey", X.query_filters(text).alias("q"))
+    """A ticket code has five digits: a longer key is not cut to one, so that its question keeps its year."""
+    k, key = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    text = F.concat(F.lit("report 20"), F.lpad((k % 30).cast("string"), 2, "0"), F.when(k % 5 == 0, F.concat(F.lit(" ticket-"), F.lpad(key, F.greatest(F.length(key), F.lit(5)), F.lit("0")))).otherwise(""))
+    q = t(spark, sf_dir, "orders").select("o_orderkey", X.query_filters(text).alias("q"))
     return q.select("o_orderkey", F.array_join("q.document_refs", ",").alias("refs"), F.array_join("q.years", ",").alias("years"))
 
 
