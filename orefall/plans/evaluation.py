@@ -181,7 +181,7 @@ def f17_marginal_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("f18_repeated_queries", "SELECT conv_id, count(*) AS repeats FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id, left(lower(text), 12) ORDER BY turn) AS n FROM conversations) WHERE n > 1 GROUP BY 1")
 def f18_repeated_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = t(spark, sf_dir, "conversations").groupBy("conv_id", F.left(F.lower("text"), F.lit(12)).alias("q")).agg((F.count("*") - 1).alias("r"))
+    c = t(spark, sf_dir, "conversations").groupBy("conv_id", X.query_key(F.col("text")).alias("q")).agg((F.count("*") - 1).alias("r"))
     return c.where("r > 0").groupBy("conv_id").agg(F.sum("r").alias("repeats"))
 
 
@@ -303,7 +303,7 @@ def e11_context_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("n6_duplicate_suppression", "SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, left(lower(text), 12) ORDER BY turn) AS n FROM conversations) WHERE n > 1")
 def n6_duplicate_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by = W.partitionBy("conv_id", F.left(F.lower("text"), F.lit(12))).orderBy("turn")
+    by = W.partitionBy("conv_id", X.query_key(F.col("text"))).orderBy("turn")
     return t(spark, sf_dir, "conversations").withColumn("n", F.row_number().over(by)).where("n > 1").select("conv_id", "turn")
 
 
@@ -317,7 +317,7 @@ def n4_truncated_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("n9_string_grounding", "SELECT conv_id, turn, round(len(list_filter(w, lambda x: contains(upper(p), upper(x)))) / len(w), 6) AS share FROM (SELECT a.conv_id, a.turn, string_split(a.text, ' ')[1:12] AS w, u.text AS p FROM conversations a JOIN conversations u ON u.conv_id = a.conv_id AND u.turn = a.turn - 1 WHERE a.role = 'assistant')")
 def n9_string_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = t(spark, sf_dir, "conversations")
-    a = c.where("role = 'assistant'").select("conv_id", "turn", F.slice(F.split("text", " "), 1, 12).alias("w"))
+    a = c.where("role = 'assistant'").select("conv_id", "turn", F.split("text", " ").alias("w"))
     u = c.select(F.col("conv_id").alias("k"), (F.col("turn") + 1).alias("n"), F.upper("text").alias("p"))
     rows = a.join(u, (F.col("conv_id") == F.col("k")) & (F.col("turn") == F.col("n")))
     return rows.select("conv_id", "turn", F.round(F.size(F.filter("w", lambda x: F.contains(F.col("p"), F.upper(x)))) / F.size("w"), 6).alias("share"))
