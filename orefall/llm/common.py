@@ -6,6 +6,7 @@ import ctypes
 import sys
 import unicodedata
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -15,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests.
+#: Used only where the session names no shared folder and runs in one process on one machine, as in tests.
 LOCAL_SHARED = "/tmp/checkpoints"
 #: Words in a shingle, and the similarity from which two texts count as near copies.
 WORDS, NEAR = 5, 0.8
@@ -30,8 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir, or a folder of our own where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_SHARED).rstrip("/")
+    """The cluster's spark.checkpoint.dir. Where it is unset a local session has a folder of our own; a cluster is refused."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (named or LOCAL_SHARED).rstrip("/")
 
 
 def stash(df: DataFrame, label: str) -> DataFrame:
@@ -39,7 +43,44 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/orefall-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _STASHED[id(out)] = path
+    weakref.finalize(out, _STASHED.pop, id(out), None)
+    return out
+
+
+#: Folders of the tables that stash wrote, by the DataFrame that reads them.
+_STASHED: dict[int, str] = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of stashed tables that nothing reads any more."""
+    for df in tables:
+        path = _STASHED.pop(id(df), None)
+        if path:
+            jvm = df.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def level(h: Column) -> Column:
+    """Which sixteenth of a power of two a 63-bit hash lies in: 0 to 1008, and never less for a greater hash."""
+    return F.floor(F.log2(F.pmod(h, F.lit(2**62)).cast("double") + 1) * 16).cast("int")
+
+
+def highest_level(counts: list[tuple[int, int]], most: int) -> int:
+    """The highest level up to which (level, count) sum to `most` at most, the lowest of all at least; -1 without any.
+
+    Rows chosen so are a random sample by their keys, whatever the table's size: at least a half of `most`, unless rows that share
+    one key (and so one hash) are more than that.
+    """
+    best, total = -1, 0
+    for at, n in sorted(counts):
+        total += n
+        if best >= 0 and total > most:
+            break
+        best = at
+    return best
 
 
 def quoted(name: str) -> str:

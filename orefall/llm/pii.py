@@ -3,35 +3,43 @@
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orefall.llm import skip_chain
+from orefall.llm.common import highest_level, level, step_texts
 from orefall.llm.pii_base import ANY, KINDS, refused_and_found
 
-#: Tokens that the field is fitted on at most, those of the documents whose keys hash lowest.
+#: Examples that the field is fitted on at most, those of the documents whose keys hash lowest.
 FIT_TOKENS = 20_000
 
 
 def fit_field(df: DataFrame, text: str = "text", key: str = "doc_id", fit_tokens: int = FIT_TOKENS) -> skip_chain.Weights:
-    """Weights learned from the base spans of the documents."""
+    """Weights learned from the base spans of a bounded sample of documents.
 
-    def run(batches):
+    A first pass counts examples by level of the documents' hashes, a thousand numbers whatever the input; the second reads only
+    the documents up to the level that fit_tokens allows.
+    """
+
+    def counted(batches):
+        for b in batches:
+            n = [len(skip_chain.examples(t)) if ANY.search(t) else 0 for some in step_texts(b.column(1)) for t in some]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["lv", "n"])
+
+    def listed(batches):
         for b in batches:
-            keys, rows = [], []
-            for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if ANY.search(t):
-                    for n, e in enumerate(skip_chain.examples(t)):
-                        keys.append((h, n))
-                        rows.append(e)
-            cols = [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())]
-            cols += [pa.array([r[i] for r in rows], pa.list_(pa.int32())) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([r[4] for r in rows], pa.int32())], ["h", "n", "s", "b", "a", "f", "y"])
+            rows = [e for some in step_texts(b.column(1)) for t in some if ANY.search(t) for e in skip_chain.examples(t)]
+            cols = [pa.array([r[i] for r in rows], pa.list_(pa.int32())) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([r[4] for r in rows], pa.int32())], ["s", "b", "a", "f", "y"])
 
-    rows = df.select(F.xxhash64(F.col(key), F.col(text)).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(run, "h long, n long, s array<int>, b array<int>, a array<int>, f array<int>, y int")
-    return skip_chain.fit([tuple(r)[2:] for r in rows.orderBy("h", "n").limit(fit_tokens).collect()])
+    docs = df.select(level(F.xxhash64(F.col(key), F.col(text))).alias("lv"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    counts = docs.mapInArrow(counted, "lv int, n long").where("n > 0").groupBy("lv").agg(F.sum("n").alias("n")).collect()
+    top = highest_level([tuple(r) for r in counts], fit_tokens)
+    rows = docs.where(F.col("lv") <= top).mapInArrow(listed, "s array<int>, b array<int>, a array<int>, f array<int>, y int")
+    return skip_chain.fit([tuple(r) for r in rows.limit(fit_tokens).collect()])
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
@@ -41,8 +49,9 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 def find_personal_data(df: DataFrame, text: str = "text", key: str = "doc_id", weights: skip_chain.Weights | None = None) -> DataFrame:
     """One row for each row of df: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
-    The counts and the digest are those of the base spans; spans lists these and the added ones. Offsets are code points of
-    the whole text. Null text counts as empty and has no spans; repeated rows and null keys come back as they are; an empty
+    The counts and the digest are those of the base spans; spans lists these and the added ones. The field adds what a base
+    mention of the same document is repeated as in another form, and the mentions inside a run that no base pattern took as a
+    whole, such as two cards beside each other. Offsets are code points of the whole text. Null text counts as empty and has no spans; repeated rows and null keys come back as they are; an empty
     table gives no rows; other columns are ignored.
     """
     w = weights or fit_field(df, text, key)
@@ -52,7 +61,7 @@ def find_personal_data(df: DataFrame, text: str = "text", key: str = "doc_id", w
         for b in batches:
             counts: list[list[int]] = [[] for _ in KINDS]
             digest, spans = [], []
-            for t in b.column(1).to_pylist():
+            for t in chain.from_iterable(step_texts(b.column(1))):
                 found = refused_and_found(t)[1]
                 more = skip_chain.added(t, w) if ANY.search(t) else []
                 for c, kind in zip(counts, KINDS):

@@ -335,23 +335,73 @@ def test_personal_data(spark, odd, none):
 
 
 def test_distant_mentions_get_the_entity_label():
-    w = skip_chain.Weights(np.zeros((skip_chain.SHAPES, 5)), np.zeros((5, 5)), 3.0 * np.eye(5))
+    m = len(skip_chain.LABELS)
+    w = skip_chain.Weights(np.zeros((skip_chain.SHAPES, m)), np.zeros((m, m)), 3.0 * np.eye(m))
     w.shape[0, 0] = 2.0
     text = "write jo.smith7@example.com today. " + "x " * 500 + "later jo.smith7 replied, room 12"
     spans = skip_chain.added(text, w)
     assert [(text[a:b], k) for a, b, k in spans] == [("jo.smith7", "email")]
 
 
-def test_loopy_messages_equal_enumeration_on_a_chain():
+@pytest.fixture(scope="module")
+def field():
+    import pyarrow.parquet as pq
+
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()]
+    return skip_chain.fit([e for t in texts for e in skip_chain.examples(t)]), texts
+
+
+def test_fitted_skip_edges_find_what_the_chain_alone_misses(field):
+    w, texts = field
+    rng = np.random.default_rng(11)
+    hits, wrong, chain, planted = 0, 0, 0, 0
+    for n in range(60):
+        d = "".join(map(str, rng.integers(0, 10, 10)))
+        name, code = f"{''.join(rng.choice(list('abcdefgh'), 6))}.{rng.integers(10, 99)}", rng.integers(10**9, 10**10)
+        body = f"call +1 ({d[:3]}) {d[3:6]}-{d[6:]} or {name}@mail.example.com. {prose(n, 400)} then {d} and {name} again, code {code}, room {n}, {code}"
+        at = body.index("then ")
+        want = {(body.index(d, at), "phone"), (body.index(name, at), "email")}
+        got = {(a, k) for a, _, k in skip_chain.added(body, w)}
+        planted += len(want)
+        hits += len(got & want)
+        wrong += len(got - want)
+        chain += len({(a, k) for a, _, k in skip_chain.added(body, w, skips=False)} & want)
+    assert hits >= 0.9 * planted and wrong <= 0.05 * hits and chain == 0
+
+
+def test_mentions_in_refused_runs_are_found(field):
+    w, texts = field
+    text = "card 4785380592391139 4316522678525456 end +1 (663) 555-6869 4465758382889437 and 9870157079875996 9870157079875996"
+    assert refused_and_found(text)[1] == []
+    assert [text[a:b] for a, b, _ in skip_chain.added(text, w)] == ["4785380592391139", "4316522678525456", "+1 (663) 555-6869", "4465758382889437"]
+    more = [(t, s) for t in texts for s in skip_chain.added(t, w)]
+    assert more and all(re.fullmatch(r"[0-9]{16}", t[a:b]) and k == "card" for t, (a, b, k) in more)
+
+
+@pytest.mark.parametrize("text", ["a1 b22 c333", "a1 777 b22222 c333 b22222", "mail ab.cd9@x.org and ab.cd9 b22222 then b22222"])
+def test_loopy_messages_against_enumeration(text):
     rng = np.random.default_rng(1)
-    w = skip_chain.Weights(rng.normal(size=(skip_chain.SHAPES, 5)), rng.normal(size=(5, 5)), np.zeros((5, 5)))
-    text = "a1 b22 c333"
+    m = len(skip_chain.LABELS)
+    w = skip_chain.Weights(rng.normal(size=(skip_chain.SHAPES, m)) / 2, rng.normal(size=(m, m)) / 2, np.zeros((m, m)))
+    s = rng.normal(size=(m, m)) / 2
+    w.skip = (s + s.T) / 2
     tokens = skip_chain.tokens_of(text)
-    local = np.stack([w.shape[skip_chain.shape(text, t)].sum(axis=0) for t in tokens])
-    joint = np.exp(local[0][:, None, None] + local[1][None, :, None] + local[2][None, None, :] + w.chain[:, :, None] + w.chain[None, :, :])
+    chain, skip = skip_chain.edges(tokens)
+    local = np.stack([w.shape[skip_chain.shape_in(text, t)].sum(axis=0) for t in tokens])
+    for i, t in enumerate(tokens):
+        if t.fixed:
+            local[i] = np.where(np.arange(m) == t.label, 0.0, -50.0)
+    joint = np.zeros([m] * len(tokens))
+    for i in range(len(tokens)):
+        joint = joint + local[i].reshape([m if k == i else 1 for k in range(len(tokens))])
+    for pot, some in ((w.chain, chain), (w.skip, skip)):
+        for a, b in some:
+            joint = joint + pot.reshape([m if k in (a, b) else 1 for k in range(len(tokens))])
+    joint = np.exp(joint - joint.max())
     joint /= joint.sum()
-    want = np.stack([joint.sum(axis=(1, 2)), joint.sum(axis=(0, 2)), joint.sum(axis=(0, 1))])
-    assert np.allclose(w.marginals(text, tokens, rounds=200), want, atol=1e-3)
+    want = np.stack([joint.sum(axis=tuple(k for k in range(len(tokens)) if k != i)) for i in range(len(tokens))])
+    loops = len(chain) + len(skip) >= len(tokens)  # on a graph with loops the messages are an approximation
+    assert np.allclose(w.marginals(text, tokens, rounds=200), want, atol=0.05 if loops else 1e-3)
 
 
 def test_language(docs, odd, none):
