@@ -97,6 +97,17 @@ def rows_again(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"_row.{quoted(c)}").alias(c) for c in names])
 
 
+def apart(df: DataFrame, text: str) -> DataFrame:
+    """df as (_rest, _text): the text as it is and all other columns as one, so that Python gets each text once."""
+    rest = [F.col(quoted(c)) for c in df.columns if c != text]
+    return df.select(F.struct(*rest, F.lit(0).alias("_")).alias("_rest"), F.col(text).alias("_text"))
+
+
+def together(df: DataFrame, names: list[str], text: str) -> DataFrame:
+    """The columns that apart put away, in their order."""
+    return df.select(*[(F.col("_text") if c == text else F.col(f"_rest.{quoted(c)}")).alias(c) for c in names])
+
+
 def crc32_of(column: str) -> Column:
     """crc32 of a column's decimal text, as the split rules of the contracts use it."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

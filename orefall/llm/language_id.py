@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from orefall.llm.common import STEP_CHARS, U, crc32_of, step_texts, steps, summed_counters, word_chars
+from orefall.llm.common import STEP_CHARS, U, crc32_of, highest_level, level, step_texts, steps, summed_counters, word_chars
 
 #: Hashed features, and the longest n-gram.
 FEATURES, LONGEST = 1 << 16, 3
-#: The classifier is fitted on at most so many documents of each language, those whose keys hash lowest.
-FIT_ROWS = 1000
+#: The classifier is fitted on at most so many documents of each language, and of all languages.
+FIT_ROWS, FIT_TOTAL = 1000, 20_000
 #: Follow the regularised leader: learning rate, its smoothing, L1 and L2 penalties, passes over the sample.
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.02, 4
 #: L1-normalised TF-IDF values are small; this factor brings them near 1.
@@ -146,11 +145,11 @@ def temperature_of(z: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
-def fit(df: DataFrame, learn: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", fit_rows: int = FIT_ROWS) -> Model | None:
+def fit(df: DataFrame, learn: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", fit_rows: int = FIT_ROWS, fit_total: int = FIT_TOTAL) -> Model | None:
     """A model of the rows for which `learn` holds and text and lang are not null; None if there are none.
 
-    Document frequencies are those of all such rows. The weights are fitted on at most fit_rows of each language, a fifth of
-    them held back for the temperature.
+    Document frequencies are those of all such rows. The weights are fitted on at most fit_rows of each language and fit_total
+    of all, those whose keys have the lowest hash levels, a fifth of them held back for the temperature.
     """
     rows = df.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("lang"), F.xxhash64(F.col(key), F.col(lang)).alias("h"))
 
@@ -168,11 +167,14 @@ def fit(df: DataFrame, learn: Column, text: str = "text", lang: str = "lang", ke
     if not n:
         return None
     idf = np.log((1 + n) / (1 + counts[:FEATURES])) + 1
-    # Up to this limit Spark cuts each task's languages to fit_rows before the shuffle, and no text goes through it.
-    nth = W.partitionBy("lang").orderBy("h")
-    most = rows.select("lang", "h").withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= fit_rows).groupBy("lang").agg(F.max("h").alias("h")).collect()
-    chosen = reduce(lambda x, y: x | y, [(F.col("lang") == r["lang"]) & (F.col("h") <= r["h"]) for r in most])
-    sample = rows.where(chosen).orderBy("h").collect()
+    # Narrow keys are counted by language and hash level; the levels chosen are a small table that texts are joined with.
+    by_lang = defaultdict(list)
+    for r in rows.groupBy("lang", level(F.col("h")).alias("lv")).count().collect():
+        by_lang[r["lang"]].append((r["lv"], r["count"]))
+    most = max(2, min(fit_rows, fit_total // max(len(by_lang), 1)))
+    top = df.sparkSession.createDataFrame([(k, highest_level(v, most)) for k, v in by_lang.items()], "_lang string, _top int")
+    chosen = rows.join(top, (F.col("lang") == F.col("_lang")) & (level(F.col("h")) <= F.col("_top")))
+    sample = sorted(chosen.select("t", "lang", "h").limit(fit_total).collect(), key=lambda r: (r["h"], r["t"]))
     langs = sorted({r["lang"] for r in sample})
     y = np.array([langs.index(r["lang"]) for r in sample])
     x = sparse([r["t"] for r in sample], idf)

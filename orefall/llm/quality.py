@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orefall.llm.boosted_trees import Forest, fit
-from orefall.llm.common import STEP_CHARS, crc32_of, rows_again, stash, step_texts, whole_row, word_hashes
+from orefall.llm.common import STEP_CHARS, apart, crc32_of, highest_level, level, step_texts, together, word_hashes
 
-#: Labelled documents that the trees are fitted on at most, those whose keys hash lowest.
+#: Labelled documents that the trees are fitted on at most, those whose keys have the lowest hash levels.
 FIT_ROWS = 20_000
 FEATURES = (
     "log_chars", "log_words", "letters", "capitals", "digits", "symbols", "bars", "exclamations", "spaces", "stops", "commas",
@@ -84,44 +84,46 @@ def _distinct(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     return np.bincount(doc[first], minlength=n), most
 
 
-def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
-    """df without its text column's content: its other columns, and _stats, an array of FEATURES. Null text counts as empty."""
-    other = [c for c in df.columns if c != text]
-    rows = df.select(*[F.col(c) for c in other], F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_t")
+def _stepwise(column: pa.Array) -> np.ndarray:
+    """Statistics of a batch's texts, null as empty."""
+    parts = [statistics(["" if t is None else t for t in texts]) for texts in step_texts(column, STEP_CHARS // 2)]
+    return np.concatenate(parts or [np.zeros((0, len(FEATURES)))])
 
-    def run(batches):
-        for b in batches:
-            x = np.concatenate([statistics(texts) for texts in step_texts(b.column(b.num_columns - 1), STEP_CHARS // 2)] or [np.zeros((0, len(FEATURES)))])
-            stats = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * len(FEATURES), pa.int32()), pa.array(x.ravel(), pa.float64()))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], stats], [*b.schema.names[:-1], "_stats"])
-
-    return rows.mapInArrow(run, f"{kinds}, _stats array<double>")
 
-
-def train(stats: DataFrame, labels: DataFrame, learn: Column, fit_rows: int = FIT_ROWS) -> Forest:
-    """Trees for the labels of the rows of stats (doc_id, _stats) for which `learn` holds.
+def train(docs: DataFrame, labels: DataFrame, learn: Column, fit_rows: int = FIT_ROWS) -> Forest:
+    """Trees for the labels of the rows of docs (doc_id, t) for which `learn` holds, at most fit_rows of them.
 
     labels: doc_id, quality. Null labels are left out; a document with several labels has the one of their mean, 1 at one half.
+    Keys alone are counted by hash level; only the texts up to the level that fit_rows allows are read, and of them the
+    statistics, FEATURES numbers a row, go to the driver.
     """
+    hashed = F.xxhash64("doc_id")
     one = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
-    known = stats.where(learn).join(one, F.col("doc_id") == F.col("_id")).select("_stats", "y", F.xxhash64("doc_id").alias("h"))
-    rows = known.orderBy("h").limit(fit_rows).collect()
-    x = np.array([r["_stats"] for r in rows]).reshape(len(rows), len(FEATURES))
-    return fit(x, np.array([r["y"] for r in rows], dtype=np.float64))
+    known = docs.where(learn).join(one, F.col("doc_id") == F.col("_id"))
+    top = highest_level([tuple(r) for r in known.groupBy(level(hashed)).count().collect()], fit_rows)
+    sample = docs.where(learn & (level(hashed) <= top)).select("doc_id", "t").join(one.where(level(F.xxhash64("_id")) <= top), F.col("doc_id") == F.col("_id"))
+
+    def run(batches):
+        for b in batches:
+            x = _stepwise(b.column(2))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * len(FEATURES), pa.int32()), pa.array(x.ravel(), pa.float64()))], ["h", "y", "x"])
+
+    rows = sample.select(hashed.alias("h"), "y", "t").mapInArrow(run, "h long, y int, x array<double>").limit(fit_rows).collect()
+    rows = sorted(rows, key=lambda r: (r["h"], r["x"]))
+    return fit(np.array([r["x"] for r in rows]).reshape(len(rows), len(FEATURES)), np.array([r["y"] for r in rows], dtype=np.float64))
 
 
-def with_scores(stats: DataFrame, forest: Forest) -> DataFrame:
-    """stats with _stats replaced by score (0 to 1, higher: better)."""
-    names = [c for c in stats.columns if c != "_stats"]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stats.schema if f.name != "_stats")
+def with_scores(df: DataFrame, forest: Forest, text: str = "t") -> DataFrame:
+    """df with its text column replaced by score (0 to 1, higher: better), from the whole text; null text counts as empty."""
+    other = [f for f in df.schema if f.name != text]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in other)
 
     def run(batches):
         for b in batches:
-            x = b.column(b.num_columns - 1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(forest.scores(x), pa.float64())], [*b.schema.names[:-1], "score"])
+            scores = forest.scores(_stepwise(b.column(b.num_columns - 1)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores, pa.float64())], [*b.schema.names[:-1], "score"])
 
-    return stats.select(*names, "_stats").mapInArrow(run, f"{kinds}, score double")
+    return df.select(*[f.name for f in other], text).mapInArrow(run, f"{kinds}, score double")
 
 
 def held_out(key: str, folds: int = 3, fold: int = 1) -> Column:
@@ -131,29 +133,31 @@ def held_out(key: str, folds: int = 3, fold: int = 1) -> Column:
 def score_quality(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row for each row of df: doc_id, held_out, score, predicted. Labels of held-out rows are not learned.
 
-    Empty and null texts have the score that their statistics get; without labels every score is 0.5. Repeated rows and null
-    keys come back as they are; an empty table gives no rows; other columns are ignored.
+    Empty and null texts have the score that their statistics get; without labels every score is 0.5. Whole texts are read,
+    very long ones too; ties of a score with 0.5 count as 1. Repeated rows and null keys come back as they are; an empty table
+    gives no rows; other columns are ignored, whatever their names.
     """
-    stats = stash(with_statistics(df.select(F.col(key).alias("doc_id"), F.col(text).alias("t")), "t"), "quality-stats")
+    docs = df.select(F.col(key).alias("doc_id"), F.col(text).alias("t"))
     held = held_out("doc_id")
-    scored = with_scores(stats.withColumn("held_out", held).select("doc_id", "held_out", "_stats"), train(stats, labels, ~held))
+    scored = with_scores(docs.select("doc_id", held.alias("held_out"), "t"), train(docs, labels, ~held))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def keep_good(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of df that score 0.5 or more, with all their columns."""
-    plain = df.select(F.col(key).alias("doc_id"), F.col(text).alias("t"))
-    stats = stash(with_statistics(plain, "t"), "quality-stats")
-    forest = train(stats, labels, ~held_out("doc_id"))
-    return rows_again(keep_by(df.select(whole_row(df), F.coalesce(F.col(text), F.lit("")).alias("_text")), forest), df.columns)
+    """The rows of df that score 0.5 or more (ties stay), with all their columns, whatever their names.
+
+    Null and empty texts stay or go by the score that empty statistics get; repeated rows share their fate; without labels all
+    rows score 0.5 and stay; an empty table gives no rows; whole texts are read, very long ones too.
+    """
+    forest = train(df.select(F.col(key).alias("doc_id"), F.col(text).alias("t")), labels, ~held_out("doc_id"))
+    return together(keep_by(apart(df, text), forest), df.columns, text)
 
 
 def keep_by(rows: DataFrame, forest: Forest) -> DataFrame:
-    """The rows of (_row, _text) whose text scores 0.5 or more."""
+    """The rows of (_rest, _text) whose text scores 0.5 or more."""
 
     def run(batches):
         for b in batches:
-            good = [forest.scores(statistics(texts)) >= 0.5 for texts in step_texts(b.column(1), STEP_CHARS // 2)]
-            yield b.filter(pa.array(np.concatenate(good) if good else [], pa.bool_()))
+            yield b.filter(pa.array(forest.scores(_stepwise(b.column(1))) >= 0.5, pa.bool_()))
 
     return rows.mapInArrow(run, rows.schema)

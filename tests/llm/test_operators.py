@@ -435,6 +435,93 @@ def test_quality(spark, docs, odd, none):
     assert kept.columns == odd.columns
 
 
+def test_ftrl_against_a_plain_form():
+    """Weights of the array form equal those of one number after another."""
+    from orefall.llm import language_id as L
+
+    rng = np.random.default_rng(3)
+    rows = [(np.sort(rng.choice(40, 6, replace=False)), rng.random(6) * 3) for _ in range(30)]
+    y = rng.integers(0, 3, 30)
+    got, bias = L.train(rows, y, 3, epochs=2)
+    z, g2 = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(k):
+        if abs(z[k]) <= L.L1:
+            return 0.0
+        return -(z[k] - np.sign(z[k]) * L.L1) / ((L.BETA + g2[k] ** 0.5) / L.ALPHA + L.L2)
+
+    order = np.random.default_rng(7)
+    for _ in range(2):
+        for i in order.permutation(30):
+            x = [*zip(rows[i][0].tolist(), rows[i][1].tolist()), ("bias", 1.0)]
+            w = {(c, k): weight((c, k)) for c in range(3) for k, _ in x}
+            score = np.array([sum(w[c, k] * v for k, v in x) for c in range(3)])
+            p = np.exp(score - score.max())
+            p /= p.sum()
+            for c in range(3):
+                for k, v in x:
+                    g = (p[c] - (c == y[i])) * v
+                    s = ((g2[c, k] + g * g) ** 0.5 - g2[c, k] ** 0.5) / L.ALPHA
+                    z[c, k] += g - s * w[c, k]
+                    g2[c, k] += g * g
+    want = np.zeros_like(got)
+    for c, k in list(z):
+        if k != "bias":
+            want[c, k] = weight((c, k))
+    assert np.allclose(got, want) and np.allclose(bias, [weight((c, "bias")) for c in range(3)]) and (want != 0).any()
+
+
+def test_tfidf_against_a_plain_form():
+    from orefall.llm import language_id as L
+
+    idf = np.random.default_rng(1).random(L.FEATURES) + 1
+    texts = ["Ab c", "", "x1y", "ééé ab"]
+    for t, (k, v) in zip(texts, L.sparse(texts, idf)):
+        f, at, _ = L.grams([t])
+        count = collections.Counter(f.tolist())
+        total = sum(n * idf[i] for i, n in count.items())
+        assert dict(zip(k.tolist(), np.round(v, 9))) == {i: round(L.SCALE * n * idf[i] / total, 9) for i, n in count.items()}
+
+
+def test_first_split_against_every_split():
+    """The first tree's root is the best of all splits at the bins' edges, and arrays are walked as a plain tree is."""
+    from orefall.llm.boosted_trees import fit
+
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 9, (200, 3)).astype(float)
+    y = ((x[:, 1] > 4) ^ (rng.random(200) < 0.1)).astype(float)
+    forest = fit(x, y, trees=3, depth=2)
+    p = y.mean()
+    g, h = p - y, np.full(200, p * (1 - p))
+
+    def gain(mask):
+        return sum(g[m].sum() ** 2 / (h[m].sum() + 1.0) for m in (mask, ~mask))
+
+    best = max(((gain(x[:, j] <= t), j, t) for j in range(3) for t in np.unique(x[:, j])[:-1]), key=lambda b: b[0])
+    assert forest.feature[0, 0] == best[1] == 1
+    assert abs(gain(x[:, 1] <= forest.threshold[0, 0]) - best[0]) < 1e-9
+    for row, got in zip(x, forest.scores(x)):
+        z = forest.start
+        for f, t, v in zip(forest.feature, forest.threshold, forest.leaf):
+            node = 0
+            while node < 3:
+                node = 2 * node + (2 if row[f[node]] > t[node] else 1)
+            z += v[node - 3]
+        assert abs(got - 1 / (1 + np.exp(-z))) < 1e-12
+
+
+def test_levels_choose_bounded_samples(spark):
+    from orefall.llm.common import highest_level, level
+
+    df = spark.range(20000).select(F.xxhash64("id").alias("h"))
+    counts = [tuple(r) for r in df.groupBy(level(F.col("h"))).count().collect()]
+    assert all(0 <= k <= 1008 for k, _ in counts)
+    for most in (10, 500, 3000):
+        top = highest_level(counts, most)
+        assert most * 0.4 <= df.where(level(F.col("h")) <= top).count() <= most
+    assert highest_level([], 5) == -1 and highest_level([(7, 100)], 5) == 7
+
+
 def page(i, body, host="site.example"):
     return (i, f"https://{host}/p{i}", body)
 
