@@ -2,26 +2,29 @@
 
 Jaccard similarity says little when a short item lies inside a long document, so minima are taken of the item alone: if a
 document holds a share t of an item's shingles, it lacks all of k independent minima of the item with a chance of about
-(1 - t) ** k, however long the document is. Items are partitioned by size. A partition has its own number of minima, small
-items are searched by all their shingles, and documents with too few shingles to hold any item of a partition skip it.
-Candidates are then verified by exact containment of shingles. All of it happens inside a document's row, so that nothing is
-shuffled and neither a frequent passage nor a document that holds many items can gather rows anywhere.
+(1 - t) ** k, however long the document is. Items are partitioned by size: a partition has its own number of minima, small
+items are searched by all their shingles, and documents with too few shingles to hold an item aren't compared with it.
+
+The minima of a block of items are a small table that the shingles of each document are looked up in, where they are made: the
+lookup is a broadcast hash join, whose build side is bounded by BLOCK, so that documents are never shuffled and neither a
+frequent passage nor a document that holds many items gathers rows anywhere. A hit is verified in its row by exact containment,
+once for each document and item: at the first of the item's minima that the document has. A larger benchmark is searched in
+several blocks, each a pass over the documents; nothing of the items goes to the driver but their number.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orefall.llm.common import NEAR, WORDS, rows_again, whole_row
+from orefall.llm.common import NEAR, WORDS, rows_again, stash, whole_row
 
 #: Size partitions: items of up to so many shingles have so many minima. Items in the first are searched by all shingles.
 PARTITIONS = ((8, 8), (64, 8), (512, 12), (1 << 62, 16))
-#: Minima that one block of a partition holds; a larger partition is searched in several blocks.
-BLOCK = 2048
+#: 64-bit numbers (minima and shingles) that the items of one block have together, about; a longer item is a block of its own.
+BLOCK = 1 << 21
 
 
 def pinned(c: Column) -> Column:
@@ -40,91 +43,80 @@ def shingles_of(words: Column, width: int) -> Column:
     return F.array_distinct(F.slice(runs, 1, F.greatest(F.size(words) - (width - 1), F.lit(0))))
 
 
-def _mixed(h: int, k: int) -> int:
-    x = (h * 0x9E3779B97F4A7C15 + (k + 1) * 0xD6E8FEB86659FD93) & (2**64 - 1)
-    x = ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) & (2**64 - 1)
-    return x ^ (x >> 29)
+def minima(shingles: Column) -> Column:
+    """The shingles by which an item is searched: the least under each of its partition's hash functions, or all of few."""
 
+    def least(k: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.array_min(F.transform(shingles, lambda h: F.struct(F.xxhash64(h, i).alias("r"), h.alias("h"))))["h"])
 
-def minima(shingles: list[int]) -> list[int]:
-    """The shingles by which an item is searched: the least under each of its partition's hash functions."""
-    most, k = next(p for p in PARTITIONS if len(shingles) <= p[0])
-    if most == PARTITIONS[0][0]:
-        return shingles
-    return list(dict.fromkeys(min(shingles, key=lambda h: _mixed(h, i)) for i in range(k)))
+    out = shingles
+    for (below, _), (most, k) in zip(PARTITIONS, PARTITIONS[1:]):
+        out = F.when((F.size(shingles) > below) & (F.size(shingles) <= most), F.array_distinct(least(k))).otherwise(out)
+    return out
 
 
-def _array(values: list[int]) -> Column:
-    return F.expr("array(" + ",".join(f"{v}L" if v != -(2**63) else "(-9223372036854775807L - 1L)" for v in values) + ")")
-
-
-def contained_items(df: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", share: float = NEAR, words: int = WORDS) -> DataFrame:
-    """df with a column _items: array of struct(item, n_found, n_shingles), the items of which the row's text holds `share` or more.
-
-    An item of fewer than `words` words is one shingle of all its words. Items without words are in no text, null and empty
-    texts hold no item. Repeated items are each reported. items is the stated query set; its shingles are brought to the driver.
-    """
+def indexed(items: DataFrame, item_key: str, item_text: str, words: int) -> DataFrame:
+    """(item, width, shingles, minima) of the items with words; an item of fewer than `words` words has its own width."""
     w = F.col("_w")
-    listed = (
-        items.select(F.col(item_key).alias("k"), pinned(words_of(F.col(item_text))).alias("_w"))
-        .where(F.size("_w") > 0)
-        .select("k", F.least(F.size(w), F.lit(words)).alias("n"), F.coalesce(*[F.when(F.size(w) >= n if n == words else F.size(w) == n, shingles_of(w, n)) for n in range(1, words + 1)]).alias("s"))
-        .collect()
-    )
-    key_type = items.schema[item_key].dataType.simpleString()
-    empty = F.expr(f"cast(array() as array<struct<item:{key_type},n_found:int,n_shingles:int>>)")
-    parts: dict[tuple[int, int], list] = defaultdict(list)
-    for r in sorted(listed, key=lambda r: (r["n"], len(r["s"]))):
-        parts[r["n"], next(i for i, p in enumerate(PARTITIONS) if len(r["s"]) <= p[0])].append(r)
-    rows = df.withColumn("_words", pinned(words_of(F.col(text))))
-    rows = rows.withColumns({f"_sh{n}": pinned(shingles_of(F.col("_words"), n)) for n in sorted({n for n, _ in parts})})
-    found: list[str] = []
-    for (n, _), members in sorted(parts.items()):
-        blocks, held = [[]], 0
-        for r in members:
-            m = minima(list(r["s"]))
-            if held and held + len(m) > BLOCK:
-                blocks.append([])
-                held = 0
-            blocks[-1].append((r, m))
-            held += len(m)
-        for block in blocks:
-            rows = rows.withColumn(f"_hit{len(found)}", _hits(F.col(f"_sh{n}"), block, share, empty, key_type))
-            found.append(f"_hit{len(found)}")
-    out = rows.withColumn("_items", pinned(F.concat(*[F.col(c) for c in found]) if found else empty))
-    return out.drop("_words", *{f"_sh{n}" for n, _ in parts}, *found)
-
-
-def _hits(sh: Column, block: list, share: float, empty: Column, key_type: str) -> Column:
-    owners: dict[int, list[int]] = defaultdict(list)
-    for i, (_, m) in enumerate(block):
-        for h in m:
-            owners[h].append(i)
-    least = min(max(1, math.ceil(share * len(r["s"]) - 1e-9)) for r, _ in block)
-    index = _array(list(owners))
-    owner = F.map_from_arrays(index, F.expr("array(" + ",".join(f"array({','.join(map(str, o))})" for o in owners.values()) + ")"))
-    own = F.array(*[_array(list(r["s"])) for r, _ in block])
-    names = F.array(*[F.lit(r["k"]).cast(key_type) for r, _ in block])
-    near = F.array_distinct(F.flatten(F.transform(F.array_intersect(sh, index), lambda h: F.element_at(owner, h))))
-
-    def held(i: Column) -> Column:
-        return F.struct(F.get(names, i).alias("item"), F.size(F.array_intersect(F.get(own, i), sh)).alias("n_found"), F.size(F.get(own, i)).alias("n_shingles"))
-
-    checked = F.filter(F.transform(near, held), lambda x: x["n_found"] >= F.lit(share) * x["n_shingles"] - 1e-9)
-    return F.when((F.size(sh) >= least) & F.arrays_overlap(sh, index), checked).otherwise(empty)
-
-
-def find_leaks(df: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """One row for each document and benchmark item in it: doc_id, item_id, n_found, n_shingles, containment.
-
-    Repeated documents have rows of their own, null keys stay null. Options as for contained_items.
+    rows = items.select(F.col(item_key).alias("item"), pinned(words_of(F.col(item_text))).alias("_w")).where(F.size(w) > 0)
+    made = F.coalesce(*[F.when(F.size(w) >= n if n == words else F.size(w) == n, shingles_of(w, n)) for n in range(1, words + 1)])
+    rows = rows.select("item", F.least(F.size(w), F.lit(words)).alias("width"), pinned(made).alias("shingles"))
+    return rows.withColumn("minima", pinned(minima(F.col("shingles"))))
+
+
+def _hits(docs: DataFrame, items: DataFrame, width: int, share: float) -> DataFrame:
+    """(doc columns, item, n_found, n_shingles) for a block of items of one width. docs has _words and columns of its own."""
+    own = [c for c in docs.columns if c != "_words"]
+    least = items.select(F.explode("minima").alias("_at"), "item", "minima", "shingles")
+    rows = docs.withColumn("_sh", pinned(shingles_of(F.col("_words"), width)))
+    met = rows.select(*own, "_sh", F.explode("_sh").alias("_h")).join(F.broadcast(least), F.col("_h") == F.col("_at"))
+    met = met.where((F.size("_sh") >= F.lit(share) * F.size("shingles") - 1e-9) & (F.get(F.array_intersect("minima", "_sh"), F.lit(0)) == F.col("_h")))
+    found = met.select(*own, "item", pinned(F.size(F.array_intersect("shingles", "_sh"))).alias("n_found"), F.size("shingles").alias("n_shingles"))
+    return found.where(F.col("n_found") >= F.lit(share) * F.col("n_shingles") - 1e-9)
+
+
+def _found(docs: DataFrame, items: DataFrame, item_key: str, item_text: str, share: float, words: int) -> DataFrame:
+    """_hits of all items. docs: the columns to keep and _text."""
+    index = stash(indexed(items, item_key, item_text, words).withColumn("block", F.xxhash64("item", "shingles")), "items")
+    sizes = index.groupBy("width").agg(F.sum(F.size("shingles") * F.size("minima") + F.size("minima") * (F.size("minima") + 1)).alias("n")).collect()  # at most `words` rows
+    rows = docs.select(*[c for c in docs.columns if c != "_text"], pinned(words_of(F.col("_text"))).alias("_words"))
+    out = None
+    for width, n in sorted(tuple(r) for r in sizes):
+        blocks = math.ceil(n / BLOCK)
+        for i in range(blocks):
+            part = index.where((F.col("width") == width) & (F.pmod("block", F.lit(blocks)) == i))
+            hit = _hits(rows, part, width, share)
+            out = hit if out is None else out.unionByName(hit)
+    if out is None:
+        kind = items.schema[item_key].dataType.simpleString()
+        out = docs.drop("_text").limit(0).select("*", F.lit(None).cast(kind).alias("item"), F.lit(0).alias("n_found"), F.lit(0).alias("n_shingles"))
+    return out
+
+
+def digest_of(text: str) -> Column:
+    return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+
+
+def find_leaks(df: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text", share: float = NEAR, words: int = WORDS) -> DataFrame:
+    """One row for each document and benchmark item of which its text holds `share` or more of the shingles: doc_id, item_id,
+    n_found, n_shingles, containment.
+
+    An item of fewer than `words` words is one shingle of all its words. Items without words (null, empty) are in no text; null
+    and empty texts hold no item. Whole texts are searched, however long. Repeated documents and repeated items have rows of
+    their own each, null keys stay null, a share that is just reached counts. Empty tables on either side give no rows; other
+    columns are ignored, whatever their names.
     """
-    rows = contained_items(df.select(F.col(key).alias("doc_id"), F.col(text).alias("_text")), items, text="_text", **options)
-    hit = rows.where(F.size("_items") > 0).select("doc_id", F.explode("_items").alias("x"))
-    return hit.select("doc_id", F.col("x.item").alias("item_id"), F.col("x.n_found").cast("long").alias("n_found"), F.col("x.n_shingles").cast("long").alias("n_shingles"), (F.col("x.n_found") / F.col("x.n_shingles")).alias("containment"))
+    found = _found(df.select(F.col(key).alias("doc_id"), F.col(text).alias("_text")), items, item_key, item_text, share, words)
+    return found.select("doc_id", F.col("item").alias("item_id"), F.col("n_found").cast("long").alias("n_found"), F.col("n_shingles").cast("long").alias("n_shingles"), (F.col("n_found") / F.col("n_shingles")).alias("containment"))
+
 
+def drop_leaks(df: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", share: float = NEAR, words: int = WORDS) -> DataFrame:
+    """The rows of df whose text holds no item of the benchmark, with all their columns, whatever their names.
 
-def drop_leaks(df: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The rows of df whose text holds no item of the benchmark, with all their columns."""
-    plain = df.select(whole_row(df), F.col(text).alias("_text"))
-    return rows_again(contained_items(plain, items, text="_text", **options).where(F.size("_items") == 0), df.columns)
+    Rows are told by SHA-256 of their text: equal texts hold the same items. Null and empty texts stay, repeated rows stay or go
+    together, null keys don't matter; without items all rows stay, and an empty table gives none.
+    """
+    found = _found(df.select(F.col(text).alias("_text"), digest_of(text).alias("_digest")), items, item_key, item_text, share, words)
+    gone = stash(found.select("_digest").distinct(), "leaks")
+    plain = df.select(whole_row(df), digest_of(text).alias("_digest"))
+    return rows_again(plain.join(gone, "_digest", "left_anti"), df.columns)

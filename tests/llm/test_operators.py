@@ -208,7 +208,7 @@ def test_leaks(odd, none, benchmark):
 def test_item_blocks_and_hot_passages(spark, monkeypatch):
     import orefall.llm.decontaminate as m
 
-    monkeypatch.setattr(m, "BLOCK", 10)
+    monkeypatch.setattr(m, "BLOCK", 600)
     items = spark.createDataFrame([(i, prose(100 + i, 30)) for i in range(12)], "item_id long, text string")
     rows = [(i, f"start {prose(500 + i, 3000)} {prose(100 + i % 12, 30)} {prose(900 + i, 50)}") for i in range(24)]
     got = {(r["doc_id"], r["item_id"]) for r in find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
