@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from orefall.llm.common import quoted
+from orefall.llm.common import quoted, stash
 
 SALTS = 16
 
@@ -26,25 +26,33 @@ def _combined(keyed: DataFrame, aggs: list, again: list) -> DataFrame:
 def mark_copies(df: DataFrame, text: str = "text", key: str = "doc_id", salts: int = SALTS) -> DataFrame:
     """One row for each row of df: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Null text counts as empty. Of equal texts the row with the largest key stays, rows without a key come last; keep_id is
-    null only where no row of a group has a key. Of rows that repeat key and text exactly one is kept. An empty table gives
+    Null text counts as empty; whole texts are compared, very long ones too. Rows are told their group by digest only after it has
+    been seen that no two texts share it; texts that do are told apart by themselves. Of equal texts the row with the largest key
+    stays, rows without a key come last; keep_id is null only where no row of a group has a key. Of rows that repeat key and text exactly one is kept. An empty table gives
     an empty result; other columns of df are ignored, whatever their names.
     """
     base = df.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     keyed = base.withColumns({"_digest": F.sha2("_text", 256), "_salt": F.pmod(F.spark_partition_id(), F.lit(salts))})
-    winners = _combined(
-        keyed,
-        [F.max("_id").alias("_keep"), F.count("*").alias("_n")],
-        [F.max("_keep").alias("keep_id"), F.sum("_n").alias("group_size")],
-    ).select(F.col("_digest").alias("_wd"), F.xxhash64("_text").alias("_wf"), "keep_id", "group_size")
-    rows = base.select("_id", F.sha2("_text", 256).alias("_digest"), F.xxhash64("_text").alias("_print"))
-    # The join has the hot digests on its left side only, where Spark splits large partitions.
-    marked = rows.join(winners, (F.col("_digest") == F.col("_wd")) & (F.col("_print") == F.col("_wf")))
+    aggs = [F.max("_id").alias("_keep"), F.count("*").alias("_n")], [F.max("_keep").alias("keep_id"), F.sum("_n").alias("group_size")]
+    won = stash(_combined(keyed, *aggs).select(F.col("_digest").alias("_wd"), "keep_id", "group_size"), "winners")
+    # The winners are one for each text. A digest that only one of them has stands for its text exactly; others need the texts.
+    shared = won.groupBy("_wd").count().where("count > 1").select(F.col("_wd").alias("_sd"))
+    rows = keyed.select("_id", "_digest")
+    if shared.isEmpty():
+        # The join has the hot digests on its left side only, where Spark splits large partitions.
+        marked = rows.join(won, F.col("_digest") == F.col("_wd")).withColumn("_print", F.lit(0).cast("long"))
+    else:
+        one = won.join(shared, F.col("_wd") == F.col("_sd"), "left_anti")
+        marked = rows.join(one, F.col("_digest") == F.col("_wd")).withColumn("_print", F.lit(0).cast("long"))
+        few = keyed.join(shared, F.col("_digest") == F.col("_sd"), "left_semi")
+        again = _combined(few, *aggs).select(F.col("_digest").alias("_wd"), F.col("_text").alias("_wt"), "keep_id", "group_size")
+        told = few.join(again, (F.col("_digest") == F.col("_wd")) & (F.col("_text") == F.col("_wt")))
+        marked = marked.union(told.select("_id", "_digest", "_wd", "keep_id", "group_size", F.xxhash64("keep_id", "_text").alias("_print")))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    one = W.partitionBy("_digest", "_print", "_id").orderBy(F.lit(1))
+    nth = W.partitionBy("_digest", "_print", "_id").orderBy(F.lit(1))
     return (
         marked.repartition(parts, "_digest", "_print", "_id")
-        .withColumn("_nth", F.row_number().over(one))
+        .withColumn("_nth", F.row_number().over(nth))
         .select(
             F.col("_id").alias("doc_id"),
             "keep_id",
@@ -58,7 +66,9 @@ def mark_copies(df: DataFrame, text: str = "text", key: str = "doc_id", salts: i
 def drop_copies(df: DataFrame, text: str = "text", key: str = "doc_id", salts: int = SALTS) -> DataFrame:
     """The rows of df that stay, with all their columns: of equal texts the one with the largest key.
 
-    Null text equals empty text; of rows with the same key and text the one whose other columns sort last stays.
+    Null text equals empty text; rows without a key come last; of rows with the same key and text the one with the greatest
+    xxhash64 of all columns stays. Whole texts are compared, very long ones too. An empty table gives an empty one; other columns
+    may have any names.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     every = [F.col(quoted(c)) for c in df.columns]
