@@ -245,17 +245,28 @@ def summed_counters(texts: DataFrame, count: Callable[[list[str], np.ndarray], N
         for b in batches:
             for some in step_texts(b.column(0)):
                 count(some, total)
-        at = range(0, size, ROOM)
-        yield pa.RecordBatch.from_arrays([pa.array([i // ROOM for i in at], pa.int32()), pa.array([total[i : i + ROOM].astype("<i8").tobytes() for i in at], pa.binary())], ["block", "counts"])
+        yield pa.RecordBatch.from_arrays(counter_blocks(total), ["block", "counts"])
+
+    return summed_blocks(texts.mapInArrow(local, "block int, counts binary"), size)
+
+
+def counter_blocks(total: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Counters as rows (block, counts) of ROOM each, for summed_blocks."""
+    at = range(0, len(total), ROOM)
+    return pa.array([i // ROOM for i in at], pa.int32()), pa.array([total[i : i + ROOM].astype("<i8").tobytes() for i in at], pa.binary())
+
+
+def summed_blocks(parts: DataFrame, size: int) -> np.ndarray:
+    """Sums of the rows (block, counts) of all tasks."""
 
     def add(rows: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x, dtype="<i8") for x in rows.column("counts").to_pylist())
         return pa.table({"block": pa.array([rows.column("block")[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
     schema = "block int, counts binary"
-    parts = texts.mapInArrow(local, schema).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(32)))
+    salted = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(32)))
     out = np.zeros(size, dtype=np.int64)
-    for r in parts.groupBy("block", "salt").applyInArrow(add, schema).groupBy("block").applyInArrow(add, schema).collect():
+    for r in salted.groupBy("block", "salt").applyInArrow(add, schema).groupBy("block").applyInArrow(add, schema).collect():
         part = np.frombuffer(r["counts"], dtype="<i8")
         out[r["block"] * ROOM : r["block"] * ROOM + len(part)] = part
     return out

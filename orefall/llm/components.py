@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orefall.llm.common import stash
+from orefall.llm.common import discard, stash
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,7 +19,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = stash(large, "large-star")
         low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m")
         small = large.join(low, large["a"] == low["k"]).select("a", "b", "m")
-        e = stash(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select(F.col("k").alias("a"), F.col("m").alias("b"))).distinct(), "small-star")
+        last, e = e, stash(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select(F.col("k").alias("a"), F.col("m").alias("b"))).distinct(), "small-star")
+        discard(last, large)
         r = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         now = (r["n"], r["s"])
         if now == before:

@@ -2,9 +2,10 @@
 
 Equal texts are one node. Nodes that agree in a band of their signatures meet in a bucket. Small buckets, once for each
 distinct set of members, are resolved whole: a pair is compared unless earlier links join it. In larger buckets every member is
-compared with a few pivots, in chunks, so that no task gets the bucket; then the members that these links leave outside the
-bucket's main component are compared with all members, in blocks. So each pair of a bucket is compared or already connected,
-and work grows with the members times the few that stay outside. Links go through distributed connected components.
+compared with a few pivots, in chunks, so that no task gets the bucket. Members that these links leave outside the bucket's main
+component are open: buckets with open members are split by the bands of a second, independent family of signatures, and so
+again with a third, which parts the dissimilar and keeps the similar together. What is open in a large bucket after the last
+family is compared with all its members, in blocks. Links go through distributed connected components.
 """
 
 from __future__ import annotations
@@ -14,44 +15,41 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orefall.llm.common import NEAR, STEP_CHARS, release, rows_again, stash, step_texts, whole_row
+from orefall.llm.common import NEAR, STEP_CHARS, discard, release, rows_again, stash, step_texts, whole_row
 from orefall.llm.components import components
 from orefall.llm.weighted_minhash import BANDS, Idf, distinct_shingles_stepwise, fit_idf, signatures, weighted_jaccard
 
-#: Members that a bucket may have to be resolved whole; pivots of a larger one; members and open members in a group.
-WHOLE, PIVOTS, CHUNK, BLOCK = 64, 4, 512, 256
+#: Members that a bucket may have to be resolved whole; pivots of a larger one; members and open members in a group; families of
+#: signatures.
+WHOLE, PIVOTS, CHUNK, BLOCK, FAMILIES = 64, 4, 512, 256, 3
 
 
 def _node(text: Column) -> Column:
     return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
-def _signed(df: DataFrame, text: str, key: str, idf: Idf) -> DataFrame:
-    """doc_id, node, bands."""
-    key_type = df.schema[key].dataType.simpleString()
+def _signed(rows: DataFrame, idf: Idf, family: int = 0) -> DataFrame:
+    """rows (key columns, t) with t replaced by bands, the text's signature of a family."""
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "t")
 
     def run(batches):
         for b in batches:
-            sig = np.concatenate([signatures(texts, idf) for texts in step_texts(b.column(2))] or [np.zeros((0, BANDS), dtype=np.int64)])
+            sig = np.concatenate([signatures(texts, idf, family=family) for texts in step_texts(b.column(b.num_columns - 1))] or [np.zeros((0, BANDS), dtype=np.int64)])
             bands = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * BANDS, pa.int32()), pa.array(sig.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), bands], ["doc_id", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], bands], [*b.schema.names[:-1], "bands"])
 
-    rows = df.select(F.col(key).alias("doc_id"), _node(F.col(text)).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    return rows.mapInArrow(run, f"doc_id {key_type}, node string, bands array<bigint>")
+    return rows.mapInArrow(run, f"{kinds}, bands array<bigint>")
 
 
 def _resolver(idf: Idf, least: float):
-    """Links of one group of at most a few hundred rows (node, t, side, comp, band, bands).
+    """Links of one group of at most a few hundred rows (gid, node, t, side, comp).
 
     Without rows of side 1 all members are compared, else those of side 1 with the others. A pair is skipped if it is linked
-    already: by comp, or by this group's links. band is the band that the group shares (-1: not needed): a pair that agrees in
-    an earlier one is compared there.
+    already: by comp, or by this group's links.
     """
 
     def run(t: pa.Table) -> pa.Table:
-        nodes, texts, side, band = (t.column(c).to_pylist() for c in ("node", "t", "side", "band"))
-        comp, own = t.column("comp").to_pylist(), band[0]
-        bands = np.array(t.column("bands").to_pylist()) if own >= 0 else None
+        nodes, texts, side, comp = (t.column(c).to_pylist() for c in ("node", "t", "side", "comp"))
         order = sorted(range(len(nodes)), key=lambda i: (nodes[i], side[i]))
         h, tf, at = distinct_shingles_stepwise(texts)
         w = tf * idf.of(h)
@@ -64,8 +62,6 @@ def _resolver(idf: Idf, least: float):
             for j in [k for k in order if not side[k]] if stars else order[n + 1 :]:
                 if group[i] == group[j] or min(size[i], size[j]) < least * max(size[i], size[j]) - 1e-9:
                     continue
-                if own > 0 and (bands[i, :own] == bands[j, :own]).any():
-                    continue
                 if weighted_jaccard(h, w, at, i, j) >= least - 1e-12:
                     left.append(nodes[i])
                     right.append(nodes[j])
@@ -95,48 +91,83 @@ def _first_groups(met: DataFrame) -> DataFrame:
     return whole.union(pairs.select("gid", "node", F.lit(0).alias("side"))).union(heads)
 
 
-def _open_groups(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """Groups (gid, node, side, comp, band) that compare each open member of a large bucket with all its members, in blocks.
+def _met(members: DataFrame, *useful: Column) -> DataFrame:
+    """members (key, node, ...) of the buckets with two members or more, of which `useful` holds, as (key, node, n)."""
+    counts = members.groupBy("key").agg(F.count("*").alias("n"), *useful).where("n > 1")
+    counts = counts.where("useful") if useful else counts
+    # Hot buckets are on the left side of this join, where Spark splits large partitions.
+    return members.join(counts.select(F.col("key").alias("k"), "n"), F.col("key") == F.col("k")).select("key", "node", "n")
+
 
-    A member is open if it isn't in the component that has most members of its bucket.
-    """
-    large = met.where(F.col("n") > WHOLE).join(roots.withColumnRenamed("node", "r_node"), F.col("node") == F.col("r_node"), "left")
-    large = large.select("key", "band", "node", "n", F.coalesce("root", "node").alias("comp"))
+def _with_comp(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows with comp, the component that a node is in so far."""
+    known = roots.select(F.col("node").alias("r_node"), "root")
+    return rows.join(known, F.col("node") == F.col("r_node"), "left").withColumn("comp", F.coalesce("root", "node")).drop("r_node", "root")
+
+
+def _opened(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, node, comp, main, chunks, blocks) of the large buckets with open members: those outside the component that has most
+    members of the bucket, which is main."""
+    large = _with_comp(met.where(F.col("n") > WHOLE), roots)
     main = large.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all"))
     main = main.where(F.col("top.c") < F.col("all")).select(F.col("key").alias("k"), F.col("top.comp").alias("main"), F.ceil(F.col("all") / CHUNK).alias("chunks"), F.ceil((F.col("all") - F.col("top.c")) / BLOCK).alias("blocks"))
-    rows = large.join(main, F.col("key") == F.col("k"))
+    return large.join(main, F.col("key") == F.col("k")).select("key", "node", "comp", "main", "chunks", "blocks")
+
+
+def _split(opened: DataFrame, texts: DataFrame, idf: Idf, family: int) -> DataFrame:
+    """The buckets of opened, split by the bands of a family: (key, node, n) where members of several components meet."""
+    some = opened.select(F.col("node").alias("_n")).distinct()
+    signed = _signed(texts.join(some, F.col("node") == F.col("_n"), "left_semi").select("node", "t"), idf, family)
+    bands = signed.select(F.col("node").alias("_n"), "bands")
+    members = opened.select("key", "node", "comp").join(bands, F.col("node") == F.col("_n")).select("key", "node", "comp", F.posexplode("bands").alias("band", "value"))
+    members = stash(members.select(F.xxhash64("key", "band", "value").alias("key"), "node", "comp"), "split")
+    return _met(members, (F.min("comp") != F.max("comp")).alias("useful"))
+
+
+def _blocks(opened: DataFrame) -> DataFrame:
+    """Groups (gid, node, side) that compare each open member of a bucket with all its members, in blocks."""
     every = F.sequence(F.lit(0).cast("long"), F.col("x") - 1)
-    heads = rows.where("comp <> main").withColumn("x", F.col("chunks")).select("*", F.explode(every).alias("chunk"), _chunk("node", F.col("blocks")).alias("block"), F.lit(1).alias("side"))
-    members = rows.withColumn("x", F.col("blocks")).select("*", _chunk("node", F.col("chunks")).alias("chunk"), F.explode(every).alias("block"), F.lit(0).alias("side"))
-    both = heads.select("key", "chunk", "block", "node", "side", "comp", "band").union(members.select("key", "chunk", "block", "node", "side", "comp", "band"))
-    return both.select(F.concat_ws("/", "key", "chunk", "block").alias("gid"), "node", "side", "comp", "band")
+    heads = opened.where("comp <> main").withColumn("x", F.col("chunks")).select("*", F.explode(every).alias("chunk"), _chunk("node", F.col("blocks")).alias("block"), F.lit(1).alias("side"))
+    members = opened.withColumn("x", F.col("blocks")).select("*", _chunk("node", F.col("chunks")).alias("chunk"), F.explode(every).alias("block"), F.lit(0).alias("side"))
+    both = heads.select("key", "chunk", "block", "node", "side").union(members.select("key", "chunk", "block", "node", "side"))
+    return both.select(F.concat_ws("/", "key", "chunk", "block").alias("gid"), "node", "side")
 
 
 def near_roots(df: DataFrame, signed: DataFrame, idf: Idf, text: str, least: float) -> DataFrame:
     """(node, root) for each node that isn't the least of its component of verified links."""
     nodes = signed.where(F.exists("bands", lambda x: x != 0)).groupBy("node").agg(F.first("bands").alias("bands"))
-    members = nodes.select("node", F.posexplode("bands").alias("band", "value")).select("node", "band", F.xxhash64("band", "value").alias("key"))
-    counts = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k"), "n")
-    # Hot buckets are on the left side of this join, where Spark splits large partitions.
-    met = stash(members.join(counts, F.col("key") == F.col("k")).drop("k"), "buckets")
-    groups = stash(_first_groups(met), "groups")
+    members = nodes.select("node", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("key"), "node")
+    met = stash(_met(members), "buckets")
     needed = met.select("node").distinct()
     texts = df.select(_node(F.col(text)).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(needed, "node", "left_semi")
-    texts = texts.groupBy("node").agg(F.first("t").alias("t"))
-    texts = stash(texts.join(nodes, "node"), "texts")
+    texts = stash(texts.groupBy("node").agg(F.first("t").alias("t")), "texts")
     parts = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    columns = ["gid", "node", "t", "side", "comp", "band", "bands"]
 
-    def links(g: DataFrame) -> DataFrame:
-        rows = g.join(texts, "node").select(*columns).repartition(parts, "gid")
+    def links(groups: DataFrame) -> DataFrame:
+        rows = groups.join(texts, "node").select("gid", "node", "t", "side", "comp").repartition(parts, "gid")
         return stash(rows.groupBy("gid").applyInArrow(_resolver(idf, least), "a string, b string"), "links")
 
-    first = links(groups.withColumns({"comp": F.col("node"), "band": F.lit(-1)}))
-    roots = components(first)
-    if met.where(F.col("n") > WHOLE).isEmpty():
-        return roots
-    more = links(stash(_open_groups(met, roots), "open"))
-    return components(first.union(more))
+    groups = stash(_first_groups(met), "groups")
+    found = links(groups.withColumn("comp", F.col("node")))
+    roots = components(found)
+    for family in range(1, FAMILIES + 1):
+        discard(groups)
+        opened = stash(_opened(met, roots), "open")
+        discard(met)
+        if opened.isEmpty():
+            discard(opened)
+            break
+        if family < FAMILIES:
+            met = stash(_split(opened, texts, idf, family), "buckets")
+            groups = stash(_first_groups(met), "groups")
+        else:
+            groups = stash(_blocks(opened), "groups")
+        more = links(_with_comp(groups, roots))
+        discard(opened, roots)
+        found = found.union(more)
+        roots = components(found)
+    discard(texts)
+    return roots
 
 
 def near_classes(df: DataFrame, text: str = "text", key: str = "doc_id", least: float = NEAR) -> DataFrame:
@@ -147,10 +178,12 @@ def near_classes(df: DataFrame, text: str = "text", key: str = "doc_id", least:
     Null text counts as empty; texts without words are in a class only with their exact copies. An empty table gives no rows.
     """
     idf = fit_idf(df, text)
-    signed = stash(_signed(df, text, key, idf), "signed")
+    texts = df.select(F.col(key).alias("doc_id"), _node(F.col(text)).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    signed = stash(_signed(texts, idf), "signed")
     roots = near_roots(df, signed, idf, text, least).select(F.col("node").alias("n"), "root")
     rows = signed.select("doc_id", "node").join(roots, F.col("node") == F.col("n"), "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
     rows = stash(rows, "classes")
+    discard(signed)
     best = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("node").alias("node"))
     classes = rows.groupBy(F.col("root").alias("r")).agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.min(best).alias("best"))
     kept = F.col("doc_id").eqNullSafe(F.col("best.id")) & (F.col("node") == F.col("best.node"))
@@ -158,7 +191,11 @@ def near_classes(df: DataFrame, text: str = "text", key: str = "doc_id", least:
 
 
 def drop_near_copies(df: DataFrame, text: str = "text", key: str = "doc_id", least: float = NEAR) -> DataFrame:
-    """One row of each class of df, the one that near_classes keeps, with all its columns; of repeated rows one."""
+    """One row of each class of df, the one that near_classes keeps, with all its columns, whatever their names.
+
+    Of rows that repeat key and text one stays, whichever; null text counts as empty, and rows without words stay once for each
+    distinct text; null keys come last in their class. Whole texts are compared, very long ones too; an empty table gives none.
+    """
     kept = near_classes(df, text, key, least).where("kept").select(F.col("text_md5").alias("_k"), F.col("doc_id").alias("_d")).distinct()
     rows = df.select(whole_row(df), _node(F.col(text)).alias("_md5"), F.col(key).alias("_key"))
     one = rows.join(kept, (F.col("_md5") == F.col("_k")) & F.col("_key").eqNullSafe(F.col("_d")), "left_semi")

@@ -11,11 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orefall.llm.common import U, mix, shingle_hashes, step_texts, steps, summed_counters
+from orefall.llm.common import U, counter_blocks, discard, mix, shingle_hashes, stash, step_texts, steps, summed_blocks
 
 BANDS, ROWS = 10, 3
 #: Shingles in at least this share of the documents have an IDF below the ceiling.
 COMMON = 0.01
+#: Minima by which near copies are counted together, and the share of all distinct texts from which a shared one counts.
+GROUPS, HOT = 3, 0.001
 #: Counters of the sketch that finds the common shingles' buckets.
 COUNTERS = 1 << 18
 
@@ -57,30 +59,74 @@ def distinct_shingles_stepwise(texts: list[str]) -> tuple[np.ndarray, np.ndarray
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), at.astype(np.int64)
 
 
+def minima(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """GROUPS least hashes of each text of distinct_shingles (texts by GROUPS), each under a hash function of its own; 0 for none."""
+    out = np.zeros((len(at) - 1, GROUPS), dtype=np.int64)
+    full = np.flatnonzero(np.diff(at))
+    for k in range(GROUPS if len(full) else 0):
+        x = mix(h ^ U((k + 1) * 0xA0761D6478BD642F & (2**64 - 1)))
+        out[full, k] = np.minimum.reduceat(x, at[:-1][full]).view(np.int64)
+    return out
+
+
+def shares(least: np.ndarray, hot: dict[int, int]) -> np.ndarray:
+    """What each text counts: one over the greatest number of distinct texts that it shares a minimum with."""
+    size = np.array([max(hot.get(x, 1) for x in row) for row in least.tolist()], dtype=np.float64)
+    return 1.0 / size if len(size) else np.zeros(0)
+
+
 def fit_idf(df: DataFrame, text: str, common: float = COMMON) -> Idf:
     """IDF of all distinct texts: (1 + ln(N / df)) over its value at df = common * N, where it has its ceiling of 1.
 
-    Copies count once, so that a text repeated often does not devalue what its near copies share with it. The first pass adds
-    counters of a fixed size over all rows; a bucket's count is no less than any of its shingles' document frequency. The second
-    takes the shingles of buckets that reach common * N, one list for each distinct text (by MD5), and counts them exactly. At
-    most (mean distinct shingles) / common shingles are common, however many documents there are, so that bringing those to the
-    driver is bounded.
+    Copies and near copies count together as about one text, so that a group doesn't devalue what its own members share: a text
+    counts one over the number of distinct texts with which it shares one of GROUPS minima, if these are at least HOT of all
+    (two texts share a minimum with a chance of their similarity, so that nearly all of a group of near copies share one, and of
+    texts that have a passage in common few). N and df are sums of these counts.
+
+    The first pass adds counters of a fixed size over all rows and keeps each text's minima; a counter is no less than any of
+    its shingles' document frequency. At most GROUPS / HOT minima are shared that widely. The second pass takes the shingles of
+    counters that reach common * N, one list for each distinct text (by MD5), and sums them exactly. At most (mean distinct
+    shingles) / common shingles are common, however many documents there are, so that bringing those to the driver is bounded.
     """
     texts = df.select(F.coalesce(F.col(text), F.lit("")).alias("t"))
     node = F.unhex(F.md5(F.col("t").cast("binary")))
-    n = texts.select(node.alias("node")).distinct().count()
-    if not n:
-        return Idf(np.zeros(0, dtype=U), np.zeros(0))
     shift = U(64 - int(math.log2(COUNTERS)))
+    none = Idf(np.zeros(0, dtype=U), np.zeros(0))
 
-    def sketch(some: list[str], total: np.ndarray) -> None:
-        total += np.bincount((shingle_hashes(some)[0] >> shift).astype(np.int64), minlength=COUNTERS)
-
-    counts = summed_counters(texts, sketch, COUNTERS)
-    least = common * n
-    heavy = counts >= least
+    def first(batches):
+        total = np.zeros(COUNTERS, dtype=np.int64)
+        for b in batches:
+            done = 0
+            for some in step_texts(b.column(1)):
+                h, tf, at = distinct_shingles(some)
+                total += np.bincount((h >> shift).astype(np.int64), minlength=COUNTERS)
+                rows = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * GROUPS, pa.int32()), pa.array(minima(h, at).ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(done, len(some)), rows, pa.nulls(len(some), pa.int32()), pa.nulls(len(some), pa.binary())], names)
+                done += len(some)
+        blocks, parts = counter_blocks(total)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(blocks), pa.binary()), pa.nulls(len(blocks), pa.list_(pa.int64())), blocks, parts], names)
+
+    names = ["node", "least", "block", "counts"]
+    kept = stash(texts.select(node.alias("node"), "t").mapInArrow(first, "node binary, least array<bigint>, block int, counts binary"), "minima")
+    nodes = stash(kept.where("node is not null").groupBy("node").agg(F.first("least").alias("least")).select("least"), "minima-once")
+    distinct = nodes.count()
+    if not distinct:
+        return none
+    pairs = nodes.select(F.posexplode("least").alias("k", "v")).where("v <> 0").groupBy("k", "v").count()
+    hot = {r["v"]: r["count"] for r in pairs.where(F.col("count") >= max(2, HOT * distinct)).collect()}
+
+    def weighed(batches):
+        for b in batches:
+            least = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, GROUPS)
+            yield pa.RecordBatch.from_arrays([pa.array([shares(least, hot).sum()], pa.float64())], ["n"])
+
+    n = float(nodes.mapInArrow(weighed, "n double").agg(F.sum("n")).first()[0])
+    counts = summed_blocks(kept.where("block is not null").select("block", "counts"), COUNTERS)
+    discard(nodes, kept)
+    least_df = common * n
+    heavy = counts >= least_df
     if not heavy.any():
-        return Idf(np.zeros(0, dtype=U), np.zeros(0))
+        return none
 
     def common_of(batches):
         for b in batches:
@@ -91,20 +137,22 @@ def fit_idf(df: DataFrame, text: str, common: float = COMMON) -> Idf:
                 upto = np.concatenate([[0], np.cumsum(here)])[at].astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(upto), pa.array(h[here].view(np.int64)))
                 full = pa.array(np.diff(upto) > 0)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(done, len(some)).filter(full), lists.filter(full)], ["node", "hs"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(done, len(some)).filter(full), lists.filter(full), pa.array(shares(minima(h, at), hot)).filter(full)], ["node", "hs", "share"])
                 done += len(some)
 
     def counted(batches):
         for b in batches:
-            k, c = np.unique(b.column(0).flatten().to_numpy(zero_copy_only=False), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c.astype(np.int64))], ["h", "n"])
-
-    lists = texts.select(node.alias("node"), "t").mapInArrow(common_of, "node binary, hs array<bigint>")
-    lists = lists.groupBy("node").agg(F.first("hs").alias("hs")).select("hs")
-    rows = lists.mapInArrow(counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()
+            size = np.diff(b.column(0).offsets.to_numpy())
+            k, back = np.unique(b.column(0).flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+            c = np.bincount(back, np.repeat(b.column(1).to_numpy(), size), len(k))
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], ["h", "n"])
+
+    lists = texts.select(node.alias("node"), "t").mapInArrow(common_of, "node binary, hs array<bigint>, share double")
+    lists = lists.groupBy("node").agg(F.first("hs").alias("hs"), F.first("share").alias("share")).select("hs", "share")
+    rows = lists.mapInArrow(counted, "h long, n double").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least_df).collect()
     keys = np.array([r["h"] for r in rows], dtype=np.int64).view(U)
-    dfs = np.array([r["n"] for r in rows], dtype=np.float64)
-    weights = np.minimum(1.0, (1 + np.log(n / np.maximum(dfs, 1))) / (1 + math.log(1 / common)))
+    dfs = np.round(np.array([r["n"] for r in rows], dtype=np.float64), 6)
+    weights = np.minimum(1.0, (1 + np.log(n / np.maximum(dfs, 1e-9))) / (1 + math.log(1 / common)))
     order = np.argsort(keys)
     return Idf(keys[order], weights[order])
 
@@ -123,8 +171,8 @@ def _quantiles() -> tuple[np.ndarray, np.ndarray]:
     return inverse(1 << 12), np.round(np.log(inverse(1 << 16)), 9)
 
 
-def signatures(texts: list[str], idf: Idf, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """bands hashes for each text (texts by bands, signed); 0 throughout for a text without words.
+def signatures(texts: list[str], idf: Idf, bands: int = BANDS, rows: int = ROWS, family: int = 0) -> np.ndarray:
+    """bands hashes for each text (texts by bands, signed); 0 throughout for a text without words. Families are independent.
 
     Improved consistent weighted sampling: for weight w and hash function k, r and c are Gamma(2, 1) and b uniform by the
     shingle's hash, t = floor(ln w / r + b), and the shingle with the least ln a = ln c - r (t - b + 1) is the sample. ln a
@@ -142,7 +190,7 @@ def signatures(texts: list[str], idf: Idf, bands: int = BANDS, rows: int = ROWS)
     w_odd = w[odd]
     for b in range(bands):
         acc = np.full(len(full), b + 1, dtype=U)
-        for k in range(b * rows, (b + 1) * rows):
+        for k in range((family * bands + b) * rows, (family * bands + b + 1) * rows):
             x = (h ^ U((k + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))) * U(0xD6E8FEB86659FD93)
             x ^= x >> U(32)
             x *= U(0xD6E8FEB86659FD93)

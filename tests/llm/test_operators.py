@@ -26,7 +26,7 @@ from orefall.llm.quality import keep_good, score_quality
 from orefall.llm.sharding import shard_by_bytes
 from orefall.llm.site_style_tree import extract
 from orefall.llm.tokens import count_tokens
-from orefall.llm.weighted_minhash import distinct_shingles, fit_idf, signatures, weighted_jaccard
+from orefall.llm.weighted_minhash import distinct_shingles, fit_idf, minima, signatures, weighted_jaccard
 
 WORDS = "the of river stone light under carries morning seven paper house garden window silver market road".split()
 BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -268,12 +268,35 @@ def test_idf_is_that_of_all_documents(spark):
     df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(7)
     idf = fit_idf(df, "text", common=0.05)
     h, _, at = distinct_shingles(texts)
-    dfs = collections.Counter(h.tolist())
-    n = len(texts)
+    least = minima(h, at)
+    sizes = collections.Counter((k, v) for row in least.tolist() for k, v in enumerate(row) if v)
+    share = [1 / max(sizes[k, v] if v and sizes[k, v] >= 2 else 1 for k, v in enumerate(row)) for row in least.tolist()]
+    dfs = collections.Counter()
+    for i, s in enumerate(share):
+        for x in h[at[i] : at[i + 1]].tolist():
+            dfs[x] += s
+    n = sum(share)
     want = {k: min(1.0, (1 + np.log(n / c)) / (1 + np.log(20))) for k, c in dfs.items() if c >= 0.05 * n}
     assert idf.keys.tolist() == sorted(want) and np.allclose(idf.weights, [want[k] for k in sorted(want)])
 
 
+@pytest.mark.parametrize("part", [0.05, 0.34])
+def test_a_hot_group_of_variants_is_one_class(spark, part):
+    """Distinct texts that differ in one word from each other's base, up to a third of all: none is lost."""
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(int(600 * part)):
+        t = base.copy()
+        t[int(rng.integers(0, 60))] = f"edit{i}"
+        texts.append(" ".join(t))
+    many = len(texts)
+    texts += [" ".join(f"o{x}" for x in rng.integers(0, 3000, 60)) for _ in range(600 - many)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    sizes = collections.Counter(r["class_id"] for r in near_classes(df).collect())
+    assert sizes[0] == many and len(sizes) == 600 - many + 1
+
+
 def test_idf_counts_copies_once(spark):
     base = [f"w{i}" for i in range(60)]
     near = base.copy()
