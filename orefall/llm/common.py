@@ -245,7 +245,7 @@ def summed_counters(texts: DataFrame, count: Callable[[list[str], np.ndarray], N
         for b in batches:
             for some in step_texts(b.column(0)):
                 count(some, total)
-        yield pa.RecordBatch.from_arrays(counter_blocks(total), ["block", "counts"])
+        yield pa.RecordBatch.from_arrays([*counter_blocks(total)], ["block", "counts"])
 
     return summed_blocks(texts.mapInArrow(local, "block int, counts binary"), size)
 
