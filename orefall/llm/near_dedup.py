@@ -1,11 +1,11 @@
 """Near duplicates by improved consistent weighted sampling, banded, verified by weighted Jaccard similarity.
 
 Equal texts are one node. Nodes that agree in a band of their signatures meet in a bucket. Small buckets, once for each
-distinct set of members, are resolved whole: a pair is compared unless earlier links join it. In larger buckets every member is
-compared with a few pivots, in chunks, so that no task gets the bucket. Members that these links leave outside the bucket's main
-component are open: buckets with open members are split by the bands of a second, independent family of signatures, and so
-again with a third, which parts the dissimilar and keeps the similar together. What is open in a large bucket after the last
-family is compared with all its members, in blocks. Links go through distributed connected components.
+distinct set of members, are resolved whole. In larger buckets every member is compared with the most central one, in chunks, so
+that no task gets the bucket. Members that these links leave outside the bucket's main component are open: they are compared with
+all members, in blocks. Where very many are open, the bucket is first split by the bands of a second, independent family of
+signatures, and so again with a third, which parts dissimilar members and keeps similar ones together, so that the work isn't the
+square of such a bucket. Links go through distributed connected components.
 """
 
 from __future__ import annotations
@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 
 from orefall.llm.common import NEAR, STEP_CHARS, discard, release, rows_again, stash, step_texts, whole_row
 from orefall.llm.components import components
-from orefall.llm.weighted_minhash import BANDS, Idf, distinct_shingles_stepwise, fit_idf, signatures, weighted_jaccard
+from orefall.llm.weighted_minhash import BANDS, Idf, close_pairs, distinct_shingles_stepwise, fit_idf, signatures
 
-#: Members that a bucket may have to be resolved whole; pivots of a larger one; members and open members in a group; families of
-#: signatures.
-WHOLE, PIVOTS, CHUNK, BLOCK, FAMILIES = 64, 4, 512, 256, 3
+#: Members that a bucket may have to be resolved whole; members and open members in a group; open members from which a bucket is
+#: split; families of signatures.
+WHOLE, CHUNK, BLOCK, WIDE, FAMILIES = 64, 512, 256, 4096, 3
 
 
 def _node(text: Column) -> Column:
@@ -44,25 +44,23 @@ def _signed(rows: DataFrame, idf: Idf, family: int = 0) -> DataFrame:
 def _resolver(idf: Idf, least: float):
     """Links of one group of at most a few hundred rows (gid, node, t, side, comp).
 
-    Without rows of side 1 all members are compared, else those of side 1 with the others. A pair is skipped if it is linked
-    already: by comp, or by this group's links.
+    Without rows of side 1 all members are compared, else those of side 1 with the others. Pairs that are linked already, by comp
+    or by this group's links, give no link.
     """
 
     def run(t: pa.Table) -> pa.Table:
         nodes, texts, side, comp = (t.column(c).to_pylist() for c in ("node", "t", "side", "comp"))
-        order = sorted(range(len(nodes)), key=lambda i: (nodes[i], side[i]))
         h, tf, at = distinct_shingles_stepwise(texts)
-        w = tf * idf.of(h)
-        size = np.diff(np.concatenate([[0], np.cumsum(w)])[at])
         codes = {c: k for k, c in enumerate(dict.fromkeys(comp))}
         group = np.array([codes[c] for c in comp])
-        stars, left, right = any(side), [], []
-        heads = [i for i in order if side[i]] if stars else order
-        for n, i in enumerate(heads):
-            for j in [k for k in order if not side[k]] if stars else order[n + 1 :]:
-                if group[i] == group[j] or min(size[i], size[j]) < least * max(size[i], size[j]) - 1e-9:
-                    continue
-                if weighted_jaccard(h, w, at, i, j) >= least - 1e-12:
+        order = sorted(range(len(nodes)), key=lambda i: (nodes[i], side[i]))
+        heads = np.array([i for i in order if side[i]] or order)
+        others = np.array([i for i in order if not side[i]])
+        near = close_pairs(h, tf, at, idf, heads, others, least)
+        left, right = [], []
+        for row, i in zip(near, heads):
+            for j in others[row]:
+                if group[j] != group[i]:
                     left.append(nodes[i])
                     right.append(nodes[j])
                     group[group == group[j]] = group[i]
@@ -83,8 +81,10 @@ def _first_groups(met: DataFrame) -> DataFrame:
     small = small.groupBy(F.md5(F.array_join("set", "").cast("binary")).alias("gid")).agg(F.first("set").alias("set"))
     whole = small.select("gid", F.explode("set").alias("node"), F.lit(0).alias("side"))
     large = met.where(F.col("n") > WHOLE)
-    pivots = large.groupBy("key").agg(*[F.min_by("node", F.xxhash64("node", F.lit(p))).alias(f"p{p}") for p in range(PIVOTS)])
-    pivots = pivots.select(F.col("key").alias("k"), F.explode(F.array_distinct(F.array(*[f"p{p}" for p in range(PIVOTS)]))).alias("pivot"))
+    # The most central member, which meets most others over all buckets: the one the others were made from, if there is one.
+    central = large.groupBy("node").agg(F.sum("n").alias("c")).withColumnRenamed("node", "c_node")
+    central = large.join(central, F.col("node") == F.col("c_node"))
+    pivots = central.groupBy(F.col("key").alias("k")).agg(F.max_by("node", F.struct("c", F.xxhash64("node"))).alias("pivot"))
     pairs = large.join(pivots, F.col("key") == F.col("k")).where("node <> pivot").groupBy("pivot", "node").agg(F.max("n").alias("n"))
     pairs = pairs.withColumn("gid", F.concat_ws("/", "pivot", _chunk("node", F.ceil(F.col("n") / CHUNK))))
     heads = pairs.groupBy("gid").agg(F.first("pivot").alias("node")).select("gid", "node", F.lit(1).alias("side"))
@@ -106,12 +106,12 @@ def _with_comp(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _opened(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, node, comp, main, chunks, blocks) of the large buckets with open members: those outside the component that has most
+    """(key, node, comp, main, chunks, blocks, opens) of the large buckets with open members: those outside the component that has most
     members of the bucket, which is main."""
     large = _with_comp(met.where(F.col("n") > WHOLE), roots)
     main = large.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all"))
-    main = main.where(F.col("top.c") < F.col("all")).select(F.col("key").alias("k"), F.col("top.comp").alias("main"), F.ceil(F.col("all") / CHUNK).alias("chunks"), F.ceil((F.col("all") - F.col("top.c")) / BLOCK).alias("blocks"))
-    return large.join(main, F.col("key") == F.col("k")).select("key", "node", "comp", "main", "chunks", "blocks")
+    main = main.where(F.col("top.c") < F.col("all")).select(F.col("key").alias("k"), F.col("top.comp").alias("main"), F.ceil(F.col("all") / CHUNK).alias("chunks"), F.ceil((F.col("all") - F.col("top.c")) / BLOCK).alias("blocks"), (F.col("all") - F.col("top.c")).alias("opens"))
+    return large.join(main, F.col("key") == F.col("k")).select("key", "node", "comp", "main", "chunks", "blocks", "opens")
 
 
 def _split(opened: DataFrame, texts: DataFrame, idf: Idf, family: int) -> DataFrame:
@@ -151,21 +151,22 @@ def near_roots(df: DataFrame, signed: DataFrame, idf: Idf, text: str, least: flo
     found = links(groups.withColumn("comp", F.col("node")))
     roots = components(found)
     for family in range(1, FAMILIES + 1):
-        discard(groups)
         opened = stash(_opened(met, roots), "open")
-        discard(met)
+        discard(groups, met)
         if opened.isEmpty():
-            discard(opened)
             break
-        if family < FAMILIES:
-            met = stash(_split(opened, texts, idf, family), "buckets")
-            groups = stash(_first_groups(met), "groups")
-        else:
-            groups = stash(_blocks(opened), "groups")
-        more = links(_with_comp(groups, roots))
+        wide = opened.where(F.col("opens") > WIDE) if family < FAMILIES else opened.limit(0)
+        some = _blocks(opened.join(wide.select(F.col("key").alias("w")).distinct(), F.col("key") == F.col("w"), "left_anti"))
+        more = not wide.isEmpty()
+        if more:
+            met = stash(_split(wide, texts, idf, family), "buckets")
+            some = some.unionByName(_first_groups(met))
+        groups = stash(some, "groups")
+        found = found.union(links(_with_comp(groups, roots)))
         discard(opened, roots)
-        found = found.union(more)
         roots = components(found)
+        if not more:
+            break
     discard(texts)
     return roots
 

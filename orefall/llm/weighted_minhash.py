@@ -18,6 +18,8 @@ BANDS, ROWS = 10, 3
 COMMON = 0.01
 #: Minima by which near copies are counted together, and the share of all distinct texts from which a shared one counts.
 GROUPS, HOT = 3, 0.001
+#: Items that one step of a comparison holds.
+COLUMNS = 1 << 12
 #: Counters of the sketch that finds the common shingles' buckets.
 COUNTERS = 1 << 18
 
@@ -216,3 +218,36 @@ def weighted_jaccard(h: np.ndarray, w: np.ndarray, at: np.ndarray, i: int, j: in
     same = h[b][pos] == h[a] if at[j + 1] > at[j] else np.zeros(at[i + 1] - at[i], dtype=bool)
     shared = np.minimum(w[a][same], w[b][pos[same]]).sum()
     return float(shared / (total - shared))
+
+
+def close_pairs(h: np.ndarray, tf: np.ndarray, at: np.ndarray, idf: Idf, heads: np.ndarray, others: np.ndarray, least: float) -> np.ndarray:
+    """Which of the texts `heads` are of weighted Jaccard `least` or more with which of `others` (heads by others).
+
+    A shingle's n-th occurrence in a text is an item of its own, so that the lesser of two counts is a number of shared items and
+    all sums come from products of 0-1 matrices, COLUMNS items at a time. Pairs that rounding could turn are computed exactly.
+    """
+    weight = idf.of(h)
+    w = tf * weight
+    size = np.diff(np.concatenate([[0], np.cumsum(w)])[at])
+    first = np.concatenate([[0], np.cumsum(tf)])
+    nth = np.arange(first[-1]) - np.repeat(first[:-1], tf)
+    item = mix(np.repeat(h, tf) ^ (nth.astype(U) * U(0xE7037ED1A0B428DB)))
+    text = np.repeat(np.repeat(np.arange(len(at) - 1), np.diff(at)), tf)
+    _, column, count = np.unique(item, return_inverse=True, return_counts=True)
+    met = count[column] > 1  # others are in one text alone
+    column = np.unique(column[met], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    column, text, value = column[order], text[met][order], np.repeat(weight, tf)[met][order].astype(np.float32)
+    shared = np.zeros((len(heads), len(others)))
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        x, y = np.searchsorted(column, [a, a + COLUMNS])
+        m = np.zeros((len(at) - 1, min(COLUMNS, int(column[-1]) + 1 - a)), dtype=np.float32)
+        m[text[x:y], column[x:y] - a] = 1.0
+        scale = np.zeros(m.shape[1], dtype=np.float32)
+        scale[column[x:y] - a] = value[x:y]
+        shared += (m[heads] * scale) @ m[others].T
+    union = size[heads][:, None] + size[others][None, :] - shared
+    close = shared >= least * union
+    for i, j in np.argwhere(np.abs(shared - least * union) < 1e-4 * union):
+        close[i, j] = weighted_jaccard(h, w, at, heads[i], others[j]) >= least - 1e-12
+    return close

@@ -242,12 +242,13 @@ def near_rows(seed, groups, each, words=120, edits=3):
     return rows
 
 
-@pytest.mark.parametrize("whole", [64, 4])
-def test_near_classes(spark, odd, none, whole, monkeypatch):
+@pytest.mark.parametrize("whole, wide", [(64, 4096), (4, 4096), (4, 3)])
+def test_near_classes(spark, odd, none, whole, wide, monkeypatch):
     import orefall.llm.near_dedup as m
 
     monkeypatch.setattr(m, "WHOLE", whole)
     monkeypatch.setattr(m, "CHUNK", 2 * whole)
+    monkeypatch.setattr(m, "WIDE", wide)
     texts = near_rows(5, 6, 14) + [prose(i, 60) for i in range(20)]
     rows = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(texts)], "doc_id long, text string").union(odd.select("doc_id", "text"))
     data, idf = rows.collect(), fit_idf(rows, "text")
@@ -263,6 +264,20 @@ def test_near_classes(spark, odd, none, whole, monkeypatch):
     assert drop_near_copies(odd).columns == odd.columns
 
 
+def test_close_pairs_are_those_of_the_definition(monkeypatch):
+    import orefall.llm.weighted_minhash as m
+
+    monkeypatch.setattr(m, "COLUMNS", 50)
+    texts = near_rows(9, 4, 6, words=80, edits=2) + [" ".join(["again and again"] * n) for n in (30, 34, 60)] + [prose(i, 50) for i in range(5)]
+    h, tf, at = distinct_shingles(texts)
+    some = np.unique(h)[::7]
+    idf = m.Idf(some, np.random.default_rng(2).random(len(some)) * 0.8 + 0.2)
+    heads, others = np.arange(0, len(texts), 2), np.arange(len(texts))
+    want = {(i, j) for i in heads for j in others if i != j and weighted_jaccard(h, tf * idf.of(h), at, i, j) >= 0.8}
+    got = {(heads[a], j) for a, j in np.argwhere(m.close_pairs(h, tf, at, idf, heads, others, 0.8)) if heads[a] != j}
+    assert got == want and len(want) > 5
+
+
 def test_idf_is_that_of_all_documents(spark):
     texts = [f"common phrase of five words {prose(i, 30)}" for i in range(60)] + [prose(100 + i, 40) for i in range(60)]
     df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(7)
