@@ -42,7 +42,7 @@ def _signed(rows: DataFrame, idf: Idf, family: int = 0) -> DataFrame:
 
 
 def _resolver(idf: Idf, least: float):
-    """Links of one group of at most a few hundred rows (gid, node, t, side, comp).
+    """Links between the components of one group of at most a few hundred rows (gid, node, t, side, comp).
 
     Without rows of side 1 all members are compared, else those of side 1 with the others. Pairs that are linked already, by comp
     or by this group's links, give no link.
@@ -61,8 +61,8 @@ def _resolver(idf: Idf, least: float):
         for row, i in zip(near, heads):
             for j in others[row]:
                 if group[j] != group[i]:
-                    left.append(nodes[i])
-                    right.append(nodes[j])
+                    left.append(comp[i])
+                    right.append(comp[j])
                     group[group == group[j]] = group[i]
         if sum(map(len, texts)) > STEP_CHARS:
             release()
@@ -141,30 +141,29 @@ def near_roots(df: DataFrame, signed: DataFrame, idf: Idf, text: str, least: flo
     needed = met.select("node").distinct()
     texts = df.select(_node(F.col(text)).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(needed, "node", "left_semi")
     texts = stash(texts.groupBy("node").agg(F.first("t").alias("t")), "texts")
-    parts = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def links(groups: DataFrame) -> DataFrame:
         rows = groups.join(texts, "node").select("gid", "node", "t", "side", "comp").repartition(parts, "gid")
         return stash(rows.groupBy("gid").applyInArrow(_resolver(idf, least), "a string, b string"), "links")
 
-    groups = stash(_first_groups(met), "groups")
-    found = links(groups.withColumn("comp", F.col("node")))
+    found = links(_first_groups(met).withColumn("comp", F.col("node")))
     roots = components(found)
+    discard(found)
     for family in range(1, FAMILIES + 1):
         opened = stash(_opened(met, roots), "open")
-        discard(groups, met)
-        if opened.isEmpty():
+        discard(met)
+        most = opened.agg(F.max("opens")).first()[0]
+        if most is None:
             break
-        wide = opened.where(F.col("opens") > WIDE) if family < FAMILIES else opened.limit(0)
-        some = _blocks(opened.join(wide.select(F.col("key").alias("w")).distinct(), F.col("key") == F.col("w"), "left_anti"))
-        more = not wide.isEmpty()
+        more = most > WIDE and family < FAMILIES
+        groups = _blocks(opened.where(F.col("opens") <= WIDE) if more else opened)
         if more:
-            met = stash(_split(wide, texts, idf, family), "buckets")
-            some = some.unionByName(_first_groups(met))
-        groups = stash(some, "groups")
-        found = found.union(links(_with_comp(groups, roots)))
-        discard(opened, roots)
-        roots = components(found)
+            met = stash(_split(opened.where(F.col("opens") > WIDE), texts, idf, family), "buckets")
+            groups = groups.unionByName(_first_groups(met))
+        found = links(_with_comp(groups, roots))
+        before, roots = roots, components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found.distinct()))
+        discard(opened, before, found)
         if not more:
             break
     discard(texts)

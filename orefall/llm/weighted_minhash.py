@@ -21,7 +21,7 @@ GROUPS, HOT = 3, 0.001
 #: Items that one step of a comparison holds.
 COLUMNS = 1 << 12
 #: Counters of the sketch that finds the common shingles' buckets.
-COUNTERS = 1 << 18
+COUNTERS = 1 << 17
 
 
 @dataclass(frozen=True)

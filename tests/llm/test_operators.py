@@ -268,7 +268,7 @@ def test_close_pairs_are_those_of_the_definition(monkeypatch):
     import orefall.llm.weighted_minhash as m
 
     monkeypatch.setattr(m, "COLUMNS", 50)
-    texts = near_rows(9, 4, 6, words=80, edits=2) + [" ".join(["again and again"] * n) for n in (30, 34, 60)] + [prose(i, 50) for i in range(5)]
+    texts = near_rows(9, 4, 6, words=120, edits=1) + [" ".join(["again and again"] * n) for n in (30, 34, 60)] + [prose(i, 50) for i in range(5)]
     h, tf, at = distinct_shingles(texts)
     some = np.unique(h)[::7]
     idf = m.Idf(some, np.random.default_rng(2).random(len(some)) * 0.8 + 0.2)
@@ -336,7 +336,11 @@ def test_samples_agree_as_often_as_texts_are_similar(spark):
     assert abs((sig[0] == sig[1]).mean() - j) < 0.035
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [1 << 13, 0])
+def test_components(spark, small, monkeypatch):
+    import orefall.llm.components as m
+
+    monkeypatch.setattr(m, "SMALL", small)
     rng = np.random.default_rng(2)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5001 + i) for i in range(200)]
     group = {x: x for p in pairs for x in p}
