@@ -19,6 +19,15 @@ READS = frozenset(
     "Range UnresolvedTableValuedFunction AsOfJoin UnionLoop UnresolvedPivot UnresolvedUnpivot UnresolvedStarWithColumns ResolvedHint Deduplicate".split()
 )
 
+#: Groups of built-in functions that compute from their arguments alone (fixed list). Those of no such group (among them all that
+#: call Java, read files or the session, or fail on purpose) are refused, and so are functions that aren't built in.
+GROUPS = frozenset(
+    "agg_funcs array_funcs bitwise_funcs collection_funcs conditional_funcs conversion_funcs csv_funcs datetime_funcs generator_funcs hash_funcs "
+    "json_funcs lambda_funcs map_funcs math_funcs operator_funcs predicate_funcs string_funcs struct_funcs url_funcs variant_funcs window_funcs".split()
+)
+BUILT_IN = "org.apache.spark.sql.catalyst.expressions."
+TABLE_FUNCTIONS = frozenset("explode explode_outer posexplode posexplode_outer inline inline_outer stack".split())
+
 
 def _seq(items) -> list:
     return [items.apply(i) for i in range(items.size())]
@@ -31,11 +40,32 @@ def relations(spark: SparkSession, sql: str) -> set[str]:
     except Exception as e:
         raise CodedError("sql_failed", f"the statement cannot be parsed: {str(e).splitlines()[0]}") from e
     found: set[str] = set()
+    catalog = spark._jsparkSession.sessionState().catalog()
+    identifier = spark._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier
+
+    def checked(parts: list[str]) -> None:
+        name = ".".join(parts)
+        try:
+            info = catalog.lookupFunctionInfo(identifier(name)) if len(parts) == 1 else None
+        except Exception:
+            info = None
+        if info is None or info.getGroup() not in GROUPS or not info.getClassName().startswith(BUILT_IN):
+            raise CodedError("function_denied", f"the function {name} is not allowed", 403)
+
+    def expression(e) -> None:
+        if e.getClass().getSimpleName() == "UnresolvedFunction":
+            checked(_seq(e.nameParts()))
+        for child in _seq(e.children()):
+            expression(child)
 
     def walk(node, known: frozenset[str]) -> None:
         kind = node.getClass().getSimpleName().rstrip("$")
         if kind not in READS:
             raise CodedError("not_a_select", f"{kind} is not allowed")
+        if kind == "UnresolvedTableValuedFunction" and ".".join(_seq(node.name())).lower() not in TABLE_FUNCTIONS:
+            raise CodedError("function_denied", f"the function {'.'.join(_seq(node.name()))} is not allowed", 403)
+        for e in _seq(node.expressions()):
+            expression(e)
         if kind == "UnresolvedRelation":
             name = ".".join(_seq(node.multipartIdentifier()))
             if name.lower() not in known:

@@ -141,3 +141,22 @@ def test_attempts_are_counted_in_state(spark, tmp_path):
     q = windows.attempts(s).writeStream.outputMode("update").format("memory").queryName("a").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination()
     assert sorted((r["job_id"], r["attempt"], r["status"], r["wait"]) for r in spark.table("a").collect()) == [(1, 1, "uploaded", 5.0), (1, 2, "uploaded", 10.0), (1, 3, "dead_letter", None), (2, 1, "failed", None)]
+
+
+@pytest.mark.parametrize("sql", [
+    "SELECT reflect('java.lang.System','getProperty','user.home')", "SELECT java_method('java.lang.System','getenv','HOME')", "SELECT try_reflect('java.lang.System','exit','0')",
+    "SELECT n FROM mine WHERE n = (SELECT length(reflect('java.lang.System','getProperty','user.home')))", "SELECT transform(array(1), x -> reflect('a','b')) FROM mine",
+    "SELECT * FROM range(10)", "SELECT * FROM read_files('/etc/passwd')", "SELECT input_file_name() FROM mine", "SELECT current_user()", "SELECT raise_error('x')", "SELECT my.udf(n) FROM mine",
+    "SELECT n FROM mine ORDER BY reflect('java.lang.System','getProperty','user.home')", "SELECT sum(n) OVER (ORDER BY length(version())) FROM mine",
+])
+def test_guard_refuses_functions_beyond_plain_ones(spark, sql):
+    with pytest.raises(CodedError) as e:
+        Guard(spark, {"mine": spark.range(3).toDF("n")}).run(sql)
+    assert e.value.code == "function_denied"
+
+
+def test_guard_allows_plain_functions(spark):
+    g = Guard(spark, {"mine": spark.range(3).toDF("n")})
+    sql = "SELECT upper(substr('abc', 1, 2)) AS a, round(avg(n), 1) AS b, count(DISTINCT n) AS c, max(coalesce(n, 0)) AS d, size(transform(array(1, 2), x -> x + abs(-1))) AS e, max(date_add(DATE '2020-01-01', 1)) AS f FROM mine WHERE n IN (SELECT col FROM explode(array(0, 1, 2)))"
+    assert g.run(sql).rows[0][:5] == ("AB", 1.0, 3, 2, 2)
+    assert g.run("SELECT n, row_number() OVER (ORDER BY n DESC) AS r, CASE WHEN n > 1 THEN 'x' END AS c FROM mine ORDER BY n LIMIT 1").rows == [(0, 3, None)]
