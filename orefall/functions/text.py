@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -142,10 +144,24 @@ def identifiers(text: Column) -> Column:
     return F.array_distinct(F.transform(_all(text, IDENTIFIER), F.upper))
 
 
+# The four families of sentences that seem to instruct a model.
+INJECTION = (
+    r"ignore\s+(?:all\s+)?previous\s+instructions?",
+    r"(?:忽略|无视).{0,12}(?:之前|以上|系统).{0,8}(?:指令|提示)",
+    r"system\s*prompt|系统提示词|开发者消息|developer\s+message",
+    r"(?:泄露|输出|显示).{0,10}(?:密钥|密码|api\s*key|token)",
+)
+_INJECTION = re.compile("|".join(INJECTION), re.IGNORECASE)
+
+
 def injection_suspected(text: Column) -> Column:
     """Whether a passage seems to instruct the reader's model; such passages are flagged, not dropped."""
-    low = F.lower(text)
-    return low.rlike(r"ignore (all |any )?(previous|prior|above) (instructions|rules)") | low.rlike(r"(system|developer) prompt") | low.rlike(r"you are now ") | text.rlike(r"忽略(以上|之前|前面)(的)?(所有)?(指令|规则|要求)")
+    return text.rlike("(?iuU)" + "|".join(INJECTION))
+
+
+def seems_to_instruct(text: str) -> bool:
+    """injection_suspected of one passage outside of a plan."""
+    return bool(_INJECTION.search(text))
 
 
 def url_identity(url: Column) -> Column:

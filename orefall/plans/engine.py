@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from orefall.config import Settings, User
 from orefall.errors import CodedError
+from orefall.functions.text import seems_to_instruct
 from orefall.operators import grounding, wiki
 from orefall.operators.access import visible
 from orefall.plans.guard import Answer, Guard
@@ -55,11 +56,11 @@ class Engine:
         """Evidence of one tool call, numbered E<call>.<place>; passages that seem to instruct the model are marked."""
         if name == "vector_search":
             rows = self.search(user, arguments["query"], **{k: v for k, v in arguments.items() if k != "query"})
-            flagged = {"ignore previous", "ignore all previous", "system prompt"}
-            return [{"evidence_id": f"E{call}.{i}", "module": "vector", "location": r["filename"], "snippet": r["content"], "suspect": any(f in r["content"].lower() for f in flagged)} for i, r in enumerate(rows, start=1)]
+            return [{"evidence_id": f"E{call}.{i}", "module": "vector", "location": r["filename"], "snippet": r["content"], "suspect": seems_to_instruct(r["content"])} for i, r in enumerate(rows, start=1)]
         if name == "table_query":
             a = self.query(user, arguments["sql"])
-            return [{"evidence_id": f"E{call}.1", "module": "table", "location": a.sql, "snippet": "\n".join(str(dict(zip(a.columns, r))) for r in a.rows), "suspect": False}]
+            shown = "\n".join(str(dict(zip(a.columns, r))) for r in a.rows)
+            return [{"evidence_id": f"E{call}.1", "module": "table", "location": a.sql, "snippet": shown, "suspect": seems_to_instruct(shown)}]
         raise CodedError("unknown_tool", name)
 
     check_claims = staticmethod(grounding.check_claims)
