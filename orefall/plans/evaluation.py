@@ -68,7 +68,7 @@ def e13_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs(spark, sf_dir).groupBy("user_id").agg(F.round(F.count_if(F.col("status") == "failed") / F.count("*"), 6).alias("error_rate"))
 
 
-RELEVANT = f"{DENSE}, rel AS (SELECT DISTINCT query_id, v.vec_id AS doc FROM (SELECT DISTINCT query_id, query_label FROM dense) JOIN embeddings v ON v.label = query_label WHERE v.vec_id < 100)"
+RELEVANT = f"{DENSE}, rel AS (SELECT DISTINCT query_id, v.vec_id AS doc FROM (SELECT DISTINCT query_id, query_label FROM dense) JOIN embeddings v ON v.label = query_label)"
 METRIC = "m AS (SELECT q.query_id, coalesce(n, 0) AS n, coalesce(h, 0) AS h, first, coalesce(dcg, 0) AS dcg FROM (SELECT DISTINCT query_id FROM dense) q LEFT JOIN (SELECT query_id, count(*) AS n FROM rel GROUP BY 1) USING (query_id) LEFT JOIN (SELECT query_id, count(*) FILTER (rank <= 5) AS h, min(rank) AS first, sum(1 / log2(rank + 1)) FILTER (rank <= 5) AS dcg FROM dense JOIN rel USING (query_id) WHERE doc = node_id GROUP BY 1) USING (query_id))"
 
 
@@ -179,7 +179,7 @@ def f17_marginal_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("user_id", "day").agg(F.count_if(F.col("first") == F.col("day")).alias("fresh"))
 
 
-@register("f18_repeated_queries", "SELECT conv_id, count(*) AS repeats FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id, left(lower(text), 12) ORDER BY turn) AS n FROM conversations) WHERE n > 1 GROUP BY 1")
+@register("f18_repeated_queries", "SELECT conv_id, count(*) AS repeats FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id, regexp_replace(lower(text), '[\\s\\p{P}\\p{S}]', '', 'g') ORDER BY turn) AS n FROM conversations) WHERE n > 1 GROUP BY 1")
 def f18_repeated_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = t(spark, sf_dir, "conversations").groupBy("conv_id", X.query_key(F.col("text")).alias("q")).agg((F.count("*") - 1).alias("r"))
     return c.where("r > 0").groupBy("conv_id").agg(F.sum("r").alias("repeats"))
@@ -301,7 +301,7 @@ def e11_context_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n2_context_assembly(spark, sf_dir).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@register("n6_duplicate_suppression", "SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, left(lower(text), 12) ORDER BY turn) AS n FROM conversations) WHERE n > 1")
+@register("n6_duplicate_suppression", "SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, regexp_replace(lower(text), '[\\s\\p{P}\\p{S}]', '', 'g') ORDER BY turn) AS n FROM conversations) WHERE n > 1")
 def n6_duplicate_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = W.partitionBy("conv_id", X.query_key(F.col("text"))).orderBy("turn")
     return t(spark, sf_dir, "conversations").withColumn("n", F.row_number().over(by)).where("n > 1").select("conv_id", "turn")
@@ -314,7 +314,7 @@ def n4_truncated_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", F.when(F.right(a, F.lit(1)) == ":", F.concat_ws("\n", a, F.lit("claim"))).otherwise(a).alias("answer"))
 
 
-@register("n9_string_grounding", "SELECT conv_id, turn, round(len(list_filter(w, lambda x: contains(upper(p), upper(x)))) / len(w), 6) AS share FROM (SELECT a.conv_id, a.turn, string_split(a.text, ' ')[1:12] AS w, u.text AS p FROM conversations a JOIN conversations u ON u.conv_id = a.conv_id AND u.turn = a.turn - 1 WHERE a.role = 'assistant')")
+@register("n9_string_grounding", "SELECT conv_id, turn, round(len(list_filter(w, lambda x: contains(upper(p), upper(x)))) / len(w), 6) AS share FROM (SELECT a.conv_id, a.turn, string_split(a.text, ' ') AS w, u.text AS p FROM conversations a JOIN conversations u ON u.conv_id = a.conv_id AND u.turn = a.turn - 1 WHERE a.role = 'assistant')")
 def n9_string_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = t(spark, sf_dir, "conversations")
     a = c.where("role = 'assistant'").select("conv_id", "turn", F.split("text", " ").alias("w"))

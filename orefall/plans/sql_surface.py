@@ -28,10 +28,10 @@ STATEMENTS = {
     "h6_intersect_except": "(SELECT c_nationkey FROM customer WHERE c_acctbal > 9000 INTERSECT SELECT s_nationkey FROM supplier) EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey = 2",
     "e26_grouping_sets": "SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(grouping(o_orderstatus) AS BIGINT) AS g FROM orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderstatus), ())",
     "e26_rollup": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
-    "f21_frames": "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS s3, CAST(ntile(4) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS BIGINT) AS quarter, lag(o_orderkey) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS before FROM orders WHERE o_orderkey < 1000 ORDER BY o_orderkey LIMIT 190",
+    "f21_frames": "SELECT o_orderstatus, quarter, count(*) AS n, CAST(sum(CAST(round(s3 * 100) AS BIGINT)) AS BIGINT) AS cents, max(o_orderkey - before) AS widest FROM (SELECT o_orderkey, o_orderstatus, sum(o_totalprice) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS s3, CAST(ntile(4) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS BIGINT) AS quarter, lag(o_orderkey) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS before FROM orders) GROUP BY o_orderstatus, quarter",
     "d22_full_outer": "SELECT coalesce(c_nationkey, s_nationkey) AS nation, c, s FROM (SELECT c_nationkey, count(*) AS c FROM customer WHERE c_nationkey < 15 GROUP BY 1) FULL OUTER JOIN (SELECT s_nationkey, count(*) AS s FROM supplier WHERE s_nationkey > 8 GROUP BY 1) ON c_nationkey = s_nationkey",
     "l6_recursive": "WITH RECURSIVE up(n, x) AS (SELECT 1, 1 UNION ALL SELECT n + 1, x * 2 FROM up WHERE n < 12) SELECT n, x FROM up",
-    "l6_correlated_scalar": "SELECT p_partkey, p_retailprice FROM part p WHERE p_retailprice > (SELECT 1.0 * avg(q.p_retailprice) FROM part q WHERE q.p_brand = p.p_brand) ORDER BY p_partkey LIMIT 180",
+    "l6_correlated_scalar": "SELECT p_brand, count(*) AS n, round(min(p_retailprice), 2) AS least FROM part p WHERE p_retailprice > (SELECT 1.0 * avg(q.p_retailprice) FROM part q WHERE q.p_brand = p.p_brand) GROUP BY p_brand",
     "l6_self_join": "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
 }
 
