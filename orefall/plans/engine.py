@@ -11,7 +11,7 @@ from orefall.functions.text import seems_to_instruct
 from orefall.operators import grounding, wiki
 from orefall.operators.access import visible
 from orefall.plans.guard import Answer, Guard
-from orefall.plans.index import Cache
+from orefall.plans.index import Cache, Index
 from orefall.plans.retrieval import Options, Retriever
 
 TOOLS = [
@@ -21,12 +21,21 @@ TOOLS = [
 
 
 class Engine:
-    """nodes: as for Retriever. tables: name to (DataFrame, owner_id, visibility)."""
+    """nodes: as for Retriever, or a stored index, whose nodes, postings and version are read. tables: name to (DataFrame, owner_id, visibility)."""
 
-    def __init__(self, spark: SparkSession, nodes: DataFrame, tables: dict[str, tuple[DataFrame, str, str]] | None = None, settings: Settings = Settings(), version: str = "") -> None:
-        self.spark, self.nodes, self.tables, self.settings, self.version = spark, nodes, tables or {}, settings, version
+    def __init__(self, spark: SparkSession, nodes: DataFrame | Index, tables: dict[str, tuple[DataFrame, str, str]] | None = None, settings: Settings = Settings(), version: str = "") -> None:
+        self.spark, self.tables, self.settings, self._version = spark, tables or {}, settings, version
+        self.index, self._nodes = (nodes, None) if isinstance(nodes, Index) else (None, nodes)
         self.cache = Cache()
 
+    @property
+    def nodes(self) -> DataFrame:
+        return self.index.part("nodes") if self.index else self._nodes
+
+    @property
+    def version(self) -> str:
+        return self.index.version or "" if self.index else self._version
+
     def search(self, user: User, query: str, embedding: list[float] | None = None, **options) -> list[dict]:
         if not query.strip():
             raise CodedError("empty_query", "the question is empty")
@@ -35,7 +44,7 @@ class Engine:
         held = self.cache.get(key)
         if held is None:
             q = self.spark.createDataFrame([(1, query, embedding)], "query_id long, text string, embedding array<double>")
-            held = [r.asDict() for r in Retriever(self.nodes, user).plan(q, o).orderBy("rank").collect()]
+            held = [r.asDict() for r in Retriever(self.nodes, user, self.index).plan(q, o).orderBy("rank").collect()]
             self.cache.put(key, held)
         return held
 

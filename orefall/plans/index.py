@@ -18,7 +18,11 @@ from orefall.errors import CodedError
 from orefall.operators import lexical, segmentation
 
 PARTS = ("nodes", "parents", "postings", "lengths")
-BUCKETS = 64
+#: Columns by which searches are scoped, kept beside postings and lengths as far as the nodes have them.
+SCOPES = ("visibility", "owner_id", "source_name", "filename")
+
+
+POINTER = "current-"
 
 
 @dataclass(frozen=True)
@@ -29,15 +33,17 @@ class Signature:
 
 
 class Index:
-    """A folder with one sub-folder for each published version and a pointer to the current one.
+    """A folder with one sub-folder for each published version, and numbered pointers of which the highest is current.
 
-    All parts of a version are written before the pointer is, so that readers see a version whole or not at all, and a failed
-    write leaves the old one current. Files go through Spark's own file system calls, so that any store will do.
+    All parts of a version are written before its pointer is renamed into a place that is still free, so that readers see a
+    version whole or not at all, at no time none, and a failed write leaves the old one current. The version before stays for
+    those who read it; older ones are removed. Files go through Spark's own file system calls, so that any store will do.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
         jvm = spark._jvm
+        self._read: tuple[str | None, dict[str, DataFrame]] = (None, {})
         self._file = jvm.org.apache.hadoop.fs.Path
         self._fs = self._file(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -52,23 +58,46 @@ class Index:
             stream.close()
 
     def write_json(self, name: str, value: dict) -> None:
-        """Written aside, then renamed into place."""
+        """Written aside, then renamed into a place that must be free."""
         tmp, final = self._file(f"{self.path}/.{name}-{uuid.uuid4().hex}"), self._file(f"{self.path}/{name}")
         out = self._fs.create(tmp, True)
         out.write(bytearray(json.dumps(value, sort_keys=True, ensure_ascii=False).encode()))
         out.close()
-        self._fs.delete(final, False)
-        if not self._fs.rename(tmp, final):
+        if self._fs.exists(final) or not self._fs.rename(tmp, final):
+            self._fs.delete(tmp, False)
             raise CodedError("publish_failed", f"{name} could not be put into place", 500)
 
+    def _names(self, begin: str) -> list[str]:
+        if not self._fs.exists(self._file(self.path)):
+            return []
+        return sorted(n for f in self._fs.listStatus(self._file(self.path)) if (n := f.getPath().getName()).startswith(begin))
+
     @property
     def version(self) -> str | None:
-        return (self._read_json("current.json") or {}).get("version")
+        names = self._names(POINTER)
+        return self._read_json(names[-1])["version"] if names else None
+
+    def _point_to(self, version: str) -> None:
+        names = self._names(POINTER)
+        number = int(names[-1].removeprefix(POINTER)) + 1 if names else 1
+        self.write_json(f"{POINTER}{number:012}", {"version": version})
+        kept = {(self._read_json(n) or {}).get("version") for n in names[-1:]} | {version}
+        for gone in names[:-1]:
+            old = (self._read_json(gone) or {}).get("version")
+            if old and old not in kept:
+                self._fs.delete(self._file(f"{self.path}/{old}"), True)
+            self._fs.delete(self._file(f"{self.path}/{gone}"), False)
 
     def part(self, name: str) -> DataFrame:
-        if not self.version:
+        """A part of the current version; its schema is read once for each version."""
+        version = self.version
+        if not version:
             raise CodedError("empty_index", "nothing has been published", 404)
-        return self.spark.read.parquet(f"{self.path}/{self.version}/{name}")
+        if self._read[0] != version:
+            self._read = (version, {})
+        if name not in self._read[1]:
+            self._read[1][name] = self.spark.read.parquet(f"{self.path}/{version}/{name}")
+        return self._read[1][name]
 
     def check(self, own: Signature, adopt: bool = False) -> None:
         """Fails on another model's index, and on data without a signature unless it is adopted."""
@@ -84,12 +113,10 @@ class Index:
         version = f"v-{uuid.uuid4().hex}"
         for name in PARTS:
             df = parts[name]
-            if name == "postings":  # a term's postings lie together and are found by their bucket
-                df = df.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")).repartition("bucket")
-                df.sortWithinPartitions("term").write.partitionBy("bucket").parquet(f"{self.path}/{version}/{name}")
-            else:
-                df.write.parquet(f"{self.path}/{version}/{name}")
-        self.write_json("current.json", {"version": version})
+            if name == "postings":  # a term's postings lie together, and files know their least and greatest term; a frequent one has several
+                df = df.repartitionByRange(F.col("term"), F.col("node_id")).sortWithinPartitions("term", "node_id")
+            df.write.parquet(f"{self.path}/{version}/{name}")
+        self._point_to(version)
         return version
 
     def build(self, docs: DataFrame) -> str:
@@ -107,14 +134,19 @@ class Index:
         return self.publish(derived(self.part("nodes").join(gone.select(key).distinct(), key, "left_anti")))
 
     def postings_of(self, terms: list[str]) -> DataFrame:
-        """Postings of some terms; only their buckets are read."""
-        asked = self.spark.createDataFrame([(x,) for x in sorted(set(terms))], "term string")
-        buckets = [r[0] for r in asked.select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")).distinct().collect()]
-        return self.part("postings").where(F.col("bucket").isin(buckets)).join(asked, "term", "left_semi")
+        """Postings of some terms; files and row groups without them are skipped by their statistics."""
+        return self.part("postings").where(F.col("term").isin(sorted(set(terms))))
 
 
 def derived(nodes: DataFrame) -> dict[str, DataFrame]:
-    return {"nodes": nodes, "parents": segmentation.parents(nodes), "postings": lexical.postings(nodes), "lengths": lexical.stats(nodes)}
+    scopes = [c for c in SCOPES if c in nodes.columns]
+    by_node = nodes.select("node_id", *scopes)
+    return {
+        "nodes": nodes,
+        "parents": segmentation.parents(nodes),
+        "postings": lexical.postings(nodes).join(by_node, "node_id"),
+        "lengths": lexical.stats(nodes).join(by_node, "node_id"),
+    }
 
 
 class Cache:

@@ -14,9 +14,12 @@ from orefall.functions.text import content_hash, latin_tokens, tokens
 from orefall.functions.vectors import cosine, doubles, dot, norm, truncated
 from orefall.operators import dense, fusion, lexical
 from orefall.operators.access import business, scoped, visible
+from orefall.plans.index import Index
 from orefall.plans.registry import BM25, CALLER, COLLAPSED, DENSE, NODES, QUERY_SET, SEEN, TOKENS, asked_vectors, nodes, query_set, register, seen_nodes, t, vectors
 
 MODES = ("vector", "keyword", "hybrid")
+#: Terms that are looked for by value in the stored postings; more are joined.
+PUSHED = 256
 
 
 @dataclass(frozen=True)
@@ -47,22 +50,42 @@ class Options:
 
 
 class Retriever:
-    """Plans over nodes (node_id, filename, source_name, owner_id, visibility, content, embedding or none)."""
+    """Plans over nodes (node_id, filename, source_name, owner_id, visibility, content, embedding or none).
 
-    def __init__(self, nodes: DataFrame, user: User) -> None:
-        self.nodes = visible(nodes, user)
+    With a stored index the keyword arm reads its postings and lengths, never the content of nodes that aren't found.
+    """
 
-    def _arms(self, base: DataFrame, queries: DataFrame, o: Options) -> dict[str, DataFrame]:
+    def __init__(self, nodes: DataFrame, user: User, index: Index | None = None) -> None:
+        self.nodes, self.user, self.index = visible(nodes, user), user, index
+
+    @classmethod
+    def over(cls, index: Index, user: User) -> Retriever:
+        return cls(index.part("nodes"), user, index)
+
+    def _scored(self, base: DataFrame, queries: DataFrame, o: Options, filtered: bool) -> DataFrame:
+        terms = lexical.query_terms(queries)
+        if self.index is None:
+            return lexical.bm25(terms, lexical.postings(base), lexical.stats(base))
+
+        def part(df: DataFrame) -> DataFrame:
+            rows = scoped(visible(df, self.user), o.filename, o.source)
+            return rows.join(base.select("node_id"), "node_id", "left_semi") if filtered else rows
+
+        asked = terms.select("term").distinct().limit(PUSHED + 1).collect()  # few terms reach the files' statistics
+        postings = self.index.part("postings") if len(asked) > PUSHED else self.index.postings_of([r["term"] for r in asked])
+        return lexical.bm25(terms, part(postings), part(self.index.part("lengths")))
+
+    def _arms(self, base: DataFrame, queries: DataFrame, o: Options, filtered: bool = False) -> dict[str, DataFrame]:
         arms = {}
         if o.mode != "vector":
-            scored = lexical.bm25(lexical.query_terms(queries), lexical.postings(base), lexical.stats(base))
+            scored = self._scored(base, queries, o, filtered)
             arms["keyword"] = lexical.top(scored.withColumn("sort", F.round("score", 9)), o.fetch, score="sort").select("query_id", "node_id", "score", F.col("rank").cast("long").alias("rank"))
         if o.mode != "keyword":
             arms["dense"] = dense.exact(queries, base, o.fetch).select("query_id", "node_id", "score", F.col("rank").cast("long").alias("rank"))
         return arms
 
-    def _fused(self, base: DataFrame, queries: DataFrame, o: Options) -> tuple[dict[str, DataFrame], DataFrame]:
-        arms = self._arms(base, queries, o)
+    def _fused(self, base: DataFrame, queries: DataFrame, o: Options, filtered: bool = False) -> tuple[dict[str, DataFrame], DataFrame]:
+        arms = self._arms(base, queries, o, filtered)
         return arms, fusion.rrf(arms, tie="keyword" if "keyword" in arms else None) if len(arms) > 1 else next(iter(arms.values()))
 
     def plan(self, queries: DataFrame, o: Options = Options()) -> DataFrame:
@@ -73,7 +96,7 @@ class Retriever:
         """
         base = scoped(self.nodes, o.filename, o.source)
         filtered = o.filters and not (o.filename or o.source)
-        _, fused = self._fused(base.where(business(o.filters)) if filtered else base, queries, o)
+        _, fused = self._fused(base.where(business(o.filters)) if filtered else base, queries, o, bool(filtered))
         if filtered and o.fallback:
             missed = queries.join(fused.select("query_id").distinct(), "query_id", "left_anti")
             fused = fused.select("query_id", "node_id", "score", "rank").union(self._fused(base, missed, o)[1].select("query_id", "node_id", "score", "rank"))

@@ -1,5 +1,7 @@
 """Stored index, cache, providers, wiki and the engine's front."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -99,3 +101,36 @@ def test_engine(spark):
     with pytest.raises(CodedError):
         e.search(u, "  ")
     assert {r["source_name"] for r in e.domains(u).collect()} == {"s"} and e.describe(u)["mine"] == [("n", "bigint")]
+
+
+def test_search_reads_the_stored_index(spark, tmp_path):
+    """Same answers as over the nodes; the plan of a question reads postings and lengths, and content of what it found alone."""
+    from orefall.plans.retrieval import Options, Retriever
+
+    words = "alpha beta gamma delta epsilon zeta eta theta".split()
+    rng = np.random.default_rng(4)
+    rows = [(i, f"s{i % 3}", f"u{i % 4}", "public" if i % 2 else "private", f"f{i}.md", " ".join(rng.choice(words, 30)) + f" id-{i}") for i in range(60)]
+    ix = Index(spark, str(tmp_path / "ix"))
+    ix.build(spark.createDataFrame(rows, DOC))
+    user = User("u1")
+    q = spark.createDataFrame([(1, "alpha id-7"), (2, "beta gamma"), (3, "nothing here")], "query_id long, text string")
+    for o in (Options(mode="keyword"), Options(mode="keyword", source="s1"), Options(mode="keyword", filters={"filename": ["f1.md", "f9.md", "f2.md"]})):
+        plain = Retriever(ix.part("nodes"), user).plan(q, o).collect()
+        stored = Retriever.over(ix, user).plan(q, o)
+        assert sorted(map(str, stored.collect())) == sorted(map(str, plain)) and plain
+    r = Retriever.over(ix, user)
+    plan = r._arms(r.nodes, q, Options(mode="keyword"))["keyword"]._jdf.queryExecution().executedPlan().toString()
+    scans = re.findall(r"FileScan parquet \[(.*?)\] .*?DataFilters: \[(.*)", plan)
+    assert scans and not any("content" in columns for columns, _ in scans) and any("term" in columns and " IN (" in kept for columns, kept in scans)
+    e = Engine(spark, ix)
+    assert e.search(user, "id-7")[0]["filename"] == "f7.md" and e.version == ix.version
+
+
+def test_publishing_never_shows_an_empty_index(spark, tmp_path):
+    ix = Index(spark, str(tmp_path / "ix"))
+    versions = [ix.build(spark.createDataFrame(ROWS, DOC)) for _ in range(3)]
+    other = Index(spark, str(tmp_path / "ix"))
+    assert other.version == versions[-1] and sorted(ix._names("v-")) == sorted(versions[1:])  # the one before stays for its readers
+    with pytest.raises(CodedError):
+        ix.write_json(ix._names("current-")[-1], {"version": "x"})
+    assert other.version == versions[-1] and not ix._names(".current")
