@@ -65,12 +65,11 @@ COLLAPSED = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
 
 
 def query_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The benchmark's items as questions: their first eight words."""
-    words = F.slice(F.split(collapsed(F.col("text")), " "), 1, 8)
-    return t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("text"))
+    """The benchmark's items as questions, whole."""
+    return t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), collapsed(F.col("text")).alias("text"))
 
 
-QUERY_SET = "queries AS (SELECT item_id AS query_id, array_to_string(string_split(" + COLLAPSED.format("text") + ", ' ')[1:8], ' ') AS text FROM benchmark)"
+QUERY_SET = "queries AS (SELECT item_id AS query_id, " + COLLAPSED.format("text") + " AS text FROM benchmark)"
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
