@@ -103,10 +103,10 @@ def d2_postings_of_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("query_id").agg(F.count("*").alias("pairs"), F.sum("freq").alias("freq"))
 
 
-@register("d16_rater_alignment", "SELECT coalesce(l.doc_id, d.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing' WHEN d.doc_id IS NULL THEN 'unknown' ELSE 'aligned' END AS state FROM (SELECT * FROM labels WHERE doc_id % 7 <> 2) l FULL JOIN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) d USING (doc_id)")
+@register("d16_rater_alignment", "SELECT coalesce(l.doc_id, d.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing' WHEN d.doc_id IS NULL THEN 'unknown' ELSE 'aligned' END AS state FROM labels l FULL JOIN documents d USING (doc_id)")
 def d16_rater_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = t(spark, sf_dir, "labels").where("doc_id % 7 <> 2").select("doc_id", F.lit(True).alias("l"))
-    d = t(spark, sf_dir, "documents").where("doc_id % 2 = 0").select("doc_id", F.lit(True).alias("d"))
+    l = t(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("l"))
+    d = t(spark, sf_dir, "documents").select("doc_id", F.lit(True).alias("d"))
     return l.join(d, "doc_id", "full_outer").select("doc_id", F.when(F.col("l").isNull(), "missing").when(F.col("d").isNull(), "unknown").otherwise("aligned").alias("state"))
 
 
