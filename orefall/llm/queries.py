@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from orefall.llm.common import table
 from orefall.llm.decontaminate import find_leaks
 from orefall.llm.exact_dedup import mark_copies
+from orefall.llm.fill_in_middle import digests, fill_in_middle
+from orefall.llm.importance import resample
 from orefall.llm.language_id import identify
 from orefall.llm.near_dedup import near_classes
 from orefall.llm.packing import pack
@@ -18,6 +20,7 @@ from orefall.llm.quality import score_quality
 from orefall.llm.sharding import shard_by_bytes
 from orefall.llm.site_style_tree import extract
 from orefall.llm.tokens import count_tokens
+from orefall.llm.toxicity import score_toxicity
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +63,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_language_id, op3_html_extraction, op4_quality, op5_pii, op6_near_dedup, op7_sharding, op8_exact_dedup, op9_token_counts, op10_packing)
+    f.__name__: f
+    for f in (
+        op1_decontamination, op2_language_id, op3_html_extraction, op4_quality, op5_pii, op6_near_dedup, op7_sharding, op8_exact_dedup, op9_token_counts,
+        op10_packing, op11_toxicity, op12_fill_in_middle, op13_importance_resampling,
+    )
 }
