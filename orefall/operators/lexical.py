@@ -52,3 +52,46 @@ def top(scored: DataFrame, k: int, key: str = "node_id", score: str = "score") -
     """The k best of each query with their rank; ties by key. Spark cuts each task's groups to k before the shuffle."""
     best = W.partitionBy("query_id").orderBy(F.desc(score), F.asc(key))
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+#: Blocks of each query that are scored first; the score of their k-th node decides which others are read.
+FIRST_BLOCKS = 16
+
+
+def _gain(freq: Column, length: Column, avg_len: Column, k1: float, b: float) -> Column:
+    mean = F.when(avg_len == 0, F.lit(1.0)).otherwise(avg_len)
+    return freq * (k1 + 1) / (freq + k1 * (1 - b + b * length / mean))
+
+
+def top_by_blocks(terms: DataFrame, index: DataFrame, blocks: DataFrame, total: DataFrame, k: int, dead: DataFrame | None = None, first: int = FIRST_BLOCKS, k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, node_id, score, rank): the k best of each query as top(bm25(...)) gives them, with few of the postings scored.
+
+    index: segment, bucket, term, node_id, freq, node_terms. blocks: segment, bucket, term, n, most, shortest, the number of postings
+    of a term in a bucket with their greatest freq and least node_terms. total: one row (n, avg_len). dead: postings that
+    blocks still count but index lacks. All of what the caller may see, no more.
+
+    No node scores more than the sum of its bucket's bounds over the query's terms. The `first` buckets with the highest sums are
+    scored; then those others whose sum reaches the k-th score found, which no node of the remaining ones can.
+    """
+    asked = terms.join(blocks, "term")
+    df = blocks.groupBy("term").agg(F.sum("n").alias("df"))
+    if dead is not None:
+        df = df.unionByName(dead.groupBy("term").agg((-F.count("*")).alias("df"))).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+    weighed = df.crossJoin(F.broadcast(total)).select("term", idf(F.col("n"), F.col("df").cast("double")).alias("idf"), "avg_len")  # total is one row
+    bound = F.col("idf") * _gain(F.col("most"), F.col("shortest"), F.col("avg_len"), k1, b)
+    by_term = asked.join(weighed, "term").withColumn("bound", bound).groupBy("query_id", "segment", "bucket", "term").agg(F.max("bound").alias("bound"))
+    bounds = by_term.groupBy("query_id", "segment", "bucket").agg(F.sum("bound").alias("bound"))
+    places = bounds.withColumn("_place", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("bound"), "segment", "bucket")))
+
+    def scored(chosen: DataFrame) -> DataFrame:
+        wanted = chosen.select("query_id", "segment", "bucket").join(terms, "query_id").join(weighed, "term")
+        rows = index.join(wanted, ["segment", "bucket", "term"])
+        return rows.groupBy("query_id", "node_id").agg(F.sum(F.col("idf") * _gain(F.col("freq"), F.col("node_terms"), F.col("avg_len"), k1, b)).alias("score")).where("score > 0")
+
+    def best(rows: DataFrame) -> DataFrame:
+        return top(rows.withColumn("sort", F.round("score", 9)), k, score="sort").select("query_id", "node_id", "score", "rank")
+
+    ahead = best(scored(places.where(F.col("_place") <= first)))
+    kth = ahead.where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
+    rest = places.where(F.col("_place") > first).join(kth, "query_id", "left").where(F.col("kth").isNull() | (F.col("bound") >= F.col("kth") - 1e-6))
+    return best(ahead.drop("rank").unionByName(scored(rest)))

@@ -1,4 +1,4 @@
-"""The stored index: nodes, parents, postings and lengths, published together, checked against the embedding model."""
+"""The stored index: segments of nodes, parents, postings, block bounds and lengths, tombstones, and numbered manifests."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ import json
 import threading
 import time
 import uuid
-from collections import OrderedDict
-from dataclasses import asdict, dataclass
+from collections import OrderedDict, defaultdict
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,12 +17,17 @@ from pyspark.sql import functions as F
 from orefall.errors import CodedError
 from orefall.operators import lexical, segmentation
 
-PARTS = ("nodes", "parents", "postings", "lengths")
+PARTS = ("nodes", "parents", "postings", "blocks", "lengths", "totals")
 #: Columns by which searches are scoped, kept beside postings and lengths as far as the nodes have them.
-SCOPES = ("visibility", "owner_id", "source_name", "filename")
-
+SCOPES = ("visibility", "owner_id", "source_name", "filename", "document_id")
+#: The scopes that a block of postings never mixes, by which totals are kept.
+SEEN_BY = ("visibility", "owner_id")
 
 POINTER = "current-"
+#: Nodes that share a block of a term's postings, about.
+BLOCK = 64
+#: Segments of about one size, a power of TIER, that are merged once there are TIER of them.
+TIER = 4
 
 
 @dataclass(frozen=True)
@@ -32,12 +37,30 @@ class Signature:
     endpoint: str = ""
 
 
-class Index:
-    """A folder with one sub-folder for each published version, and numbered pointers of which the highest is current.
+@dataclass(frozen=True)
+class Manifest:
+    """What one version consists of: segments with their number of nodes, and folders of tombstones. number: of its pointer."""
 
-    All parts of a version are written before its pointer is renamed into a place that is still free, so that readers see a
-    version whole or not at all, at no time none, and a failed write leaves the old one current. The version before stays for
-    those who read it; older ones are removed. Files go through Spark's own file system calls, so that any store will do.
+    version: str
+    segments: dict[str, int]
+    tombstones: list[str] = field(default_factory=list)
+    number: int = 0
+
+    @property
+    def folders(self) -> set[str]:
+        return {*self.segments, *self.tombstones}
+
+
+class Index:
+    """A folder with a sub-folder for each segment and each set of tombstones, and numbered manifests of which the highest is current.
+
+    Adding documents writes one new segment, deleting some writes tombstones alone, and merging writes segments of about one size as one;
+    no other folder is touched. Statistics are sums over segments, less what tombstones take away, so that any history gives
+    the answers of a full rebuild. All folders of a version are written before its manifest is renamed into a place that is still
+    free: readers see a version whole or not at all, a failed write leaves the old one current, and of two writers that began
+    from the same version the second is refused. That needs a store whose rename refuses an existing target in one step,
+    as HDFS does; on others, and on a local disk, let one writer at a time work. The version before stays for those who read it; folders that
+    neither has are removed.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
@@ -47,6 +70,8 @@ class Index:
         self._file = jvm.org.apache.hadoop.fs.Path
         self._fs = self._file(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    # ---- manifests
+
     def _read_json(self, name: str) -> dict | None:
         p = self._file(f"{self.path}/{name}")
         if not self._fs.exists(p):
@@ -72,32 +97,38 @@ class Index:
             return []
         return sorted(n for f in self._fs.listStatus(self._file(self.path)) if (n := f.getPath().getName()).startswith(begin))
 
+    def _manifest(self, name: str) -> Manifest | None:
+        held = self._read_json(name)
+        return Manifest(**held, number=int(name.removeprefix(POINTER))) if held else None
+
     @property
-    def version(self) -> str | None:
+    def manifest(self) -> Manifest | None:
         names = self._names(POINTER)
-        return self._read_json(names[-1])["version"] if names else None
+        return self._manifest(names[-1]) if names else None
 
-    def _point_to(self, version: str) -> None:
-        names = self._names(POINTER)
-        number = int(names[-1].removeprefix(POINTER)) + 1 if names else 1
-        self.write_json(f"{POINTER}{number:012}", {"version": version})
-        kept = {(self._read_json(n) or {}).get("version") for n in names[-1:]} | {version}
-        for gone in names[:-1]:
-            old = (self._read_json(gone) or {}).get("version")
-            if old and old not in kept:
-                self._fs.delete(self._file(f"{self.path}/{old}"), True)
-            self._fs.delete(self._file(f"{self.path}/{gone}"), False)
+    @property
+    def version(self) -> str | None:
+        now = self.manifest
+        return now.version if now else None
 
-    def part(self, name: str) -> DataFrame:
-        """A part of the current version; its schema is read once for each version."""
-        version = self.version
-        if not version:
+    def _current(self) -> Manifest:
+        now = self.manifest
+        if now is None:
             raise CodedError("empty_index", "nothing has been published", 404)
-        if self._read[0] != version:
-            self._read = (version, {})
-        if name not in self._read[1]:
-            self._read[1][name] = self.spark.read.parquet(f"{self.path}/{version}/{name}")
-        return self._read[1][name]
+        return now
+
+    def _commit(self, before: Manifest | None, version: str, segments: dict[str, int], tombstones: list[str]) -> str:
+        """Make these folders the version after `before`; refused if there is another one by now."""
+        number = before.number + 1 if before else 1
+        self.write_json(f"{POINTER}{number:012}", {"version": version, "segments": segments, "tombstones": tombstones})
+        kept = {*segments, *tombstones} | (before.folders if before else set())
+        for name in self._names(POINTER):
+            if int(name.removeprefix(POINTER)) < number - 1:
+                old = self._manifest(name)
+                for gone in (old.folders if old else set()) - kept:
+                    self._fs.delete(self._file(f"{self.path}/{gone}"), True)
+                self._fs.delete(self._file(f"{self.path}/{name}"), False)
+        return version
 
     def check(self, own: Signature, adopt: bool = False) -> None:
         """Fails on another model's index, and on data without a signature unless it is adopted."""
@@ -109,42 +140,152 @@ class Index:
         if known is None:
             self.write_json("signature.json", asdict(own))
 
+    # ---- reading
+
+    def _table(self, folders: list[str], name: str) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.path}/{f}/{name}" for f in folders])
+
+    def _of(self, now: Manifest, name: str) -> DataFrame:
+        """A table of the version, read once for each version, so that its schema is too."""
+        if self._read[0] != now.version:
+            self._read = (now.version, {})
+        if name not in self._read[1]:
+            self._read[1][name] = self._table(now.tombstones, "dead") if name == "dead" else self._table(list(now.segments), name)
+        return self._read[1][name]
+
+    def raw(self, name: str) -> DataFrame:
+        """A part with the rows that tombstones take away."""
+        return self._of(self._current(), name)
+
+    def dead(self) -> DataFrame | None:
+        """The lengths rows that tombstones take away; None without any."""
+        now = self._current()
+        return self._of(now, "dead") if now.tombstones else None
+
+    def part(self, name: str) -> DataFrame:
+        """The live rows of a part of the current version."""
+        now = self._current()
+        rows, dead = self._of(now, name), self.dead()
+        if dead is None or name == "blocks":  # bounds hold for fewer nodes as well
+            return rows
+        if name == "parents":
+            return rows.join(self.part("nodes").select("parent_id").distinct(), "parent_id", "left_semi")
+        if name == "totals":
+            less = dead.groupBy(*[c for c in SEEN_BY if c in dead.columns]).agg((-F.count("*")).alias("nodes"), (-F.sum("term_count")).alias("terms"))
+            return rows.drop("segment").unionByName(less)
+        return rows.join(dead.select("segment", "node_id"), ["segment", "node_id"], "left_anti")
+
+    def postings_of(self, terms: list[str], name: str = "postings") -> DataFrame:
+        """Postings (or blocks) of some terms; files and row groups without them are skipped by their statistics."""
+        return self.part(name).where(F.col("term").isin(sorted(set(terms))))
+
+    # ---- writing
+
+    def _write(self, folder: str, name: str, df: DataFrame) -> None:
+        df.write.parquet(f"{self.path}/{folder}/{name}")
+
+    def _write_segment(self, parts: dict[str, DataFrame]) -> tuple[str, int]:
+        """A folder of its own with all parts; blocks and totals follow from postings and lengths."""
+        name = f"v-{uuid.uuid4().hex}"
+        mark = F.lit(name).alias("segment")
+        for part in ("nodes", "parents"):
+            self._write(name, part, parts[part].drop("segment").select("*", mark))
+        lengths = parts["lengths"].drop("segment", "bucket")
+        by = [c for c in SEEN_BY if c in lengths.columns]
+        many = lengths.groupBy(*by).agg(F.count("*").alias("_n"))
+        several = F.pmod(F.xxhash64("node_id"), F.ceil(F.col("_n") / BLOCK))
+        placed = lengths.join(many, by) if by else lengths.crossJoin(F.broadcast(many))  # without scopes, one row
+        self._write(name, "lengths", placed.withColumn("bucket", F.xxhash64(*by, several)).drop("_n").select("*", mark))
+        lengths = self._table([name], "lengths")
+        self._write(name, "totals", lengths.groupBy(*by).agg(F.count("*").alias("nodes"), F.sum("term_count").alias("terms")).select("*", mark))
+        # A term's postings lie together, and files know their least and greatest term; a frequent one has several.
+        found = parts["postings"].select("node_id", "term", "freq").join(lengths.withColumnRenamed("term_count", "node_terms"), "node_id")
+        self._write(name, "postings", found.repartitionByRange(F.col("term"), F.col("bucket")).sortWithinPartitions("term", "bucket", "node_id"))
+        blocks = self._table([name], "postings").groupBy("segment", "term", "bucket", *by).agg(F.count("*").alias("n"), F.max("freq").alias("most"), F.min("node_terms").alias("shortest"))
+        self._write(name, "blocks", blocks.repartitionByRange(F.col("term"), F.col("bucket")).sortWithinPartitions("term", "bucket"))
+        return name, self._table([name], "nodes").count()
+
+    def _write_dead(self, rows: DataFrame) -> list[str]:
+        """A folder of tombstones; none where no row would be in it."""
+        name = f"t-{uuid.uuid4().hex}"
+        self._write(name, "dead", rows)
+        if self._table([name], "dead").isEmpty():
+            self._fs.delete(self._file(f"{self.path}/{name}"), True)
+            return []
+        return [name]
+
     def publish(self, parts: dict[str, DataFrame]) -> str:
-        version = f"v-{uuid.uuid4().hex}"
-        for name in PARTS:
-            df = parts[name]
-            if name == "postings":  # a term's postings lie together, and files know their least and greatest term; a frequent one has several
-                df = df.repartitionByRange(F.col("term"), F.col("node_id")).sortWithinPartitions("term", "node_id")
-            df.write.parquet(f"{self.path}/{version}/{name}")
-        self._point_to(version)
-        return version
+        """One segment of nodes, parents, postings and lengths in place of everything."""
+        before = self.manifest
+        name, n = self._write_segment(parts)
+        return self._commit(before, name, {name: n}, [])
 
-    def build(self, docs: DataFrame) -> str:
-        """Publish everything from documents (document_id, source_name, owner_id, visibility, filename, text)."""
+    def _pieces(self, docs: DataFrame) -> DataFrame:
+        """Child nodes of documents (document_id, source_name, owner_id, visibility, filename, text)."""
         chunks = segmentation.hierarchy(docs).join(docs.select("document_id", "source_name", "owner_id", "visibility"), "document_id")
-        nodes = chunks.withColumn("node_id", F.sha2(F.concat_ws("\0", F.col("document_id").cast("string"), F.col("ordinal").cast("string"), "content_hash"), 256))
-        return self.publish(derived(nodes))
+        return chunks.withColumn("node_id", F.sha2(F.concat_ws("\0", F.col("document_id").cast("string"), F.col("ordinal").cast("string"), "content_hash"), 256))
 
-    def rebuild(self) -> str:
-        """The sparse side again from the stored nodes."""
-        return self.publish(derived(self.part("nodes")))
+    def build(self, docs: DataFrame) -> str:
+        """Publish everything from documents; what was there before goes."""
+        return self.publish(derived(self._pieces(docs)))
+
+    def add(self, docs: DataFrame) -> str:
+        """Put documents beside the others, in place of their earlier forms: one new segment, and tombstones for what it replaces."""
+        before = self._current()
+        gone = self.part("lengths").join(docs.select("document_id").distinct(), "document_id", "left_semi")
+        dead = self._write_dead(gone)
+        name, n = self._write_segment(derived(self._pieces(docs)))
+        return self._commit(before, name, before.segments | {name: n}, before.tombstones + dead)
 
     def delete(self, gone: DataFrame, key: str = "document_id") -> str:
-        """A version without the nodes of some documents, sources or ids, in all parts alike."""
-        return self.publish(derived(self.part("nodes").join(gone.select(key).distinct(), key, "left_anti")))
+        """A version without the nodes of some documents, sources or ids, in all parts alike: tombstones alone are written."""
+        before = self._current()
+        dead = self._write_dead(self.part("lengths").join(gone.select(key).distinct(), key, "left_semi"))
+        return self._commit(before, dead[0], before.segments, before.tombstones + dead) if dead else before.version
+
+    def prune(self, registry: DataFrame, key: str = "document_id") -> str:
+        """A version without the nodes whose document the registry does not have; all parts lose them in one commit."""
+        before = self._current()
+        dead = self._write_dead(self.part("lengths").join(registry.select(key).distinct(), key, "left_anti"))
+        return self._commit(before, dead[0], before.segments, before.tombstones + dead) if dead else before.version
+
+    def merge(self, everything: bool = False) -> str:
+        """Live rows of TIER or more segments of about one size as one segment, from the smallest size on; or of all segments.
+
+        Nothing is tokenised again. Tombstones go when no segment is left that they were written for.
+        """
+        before = self._current()
+        tiers = defaultdict(list)
+        for name, n in before.segments.items():
+            tiers[0 if everything else max(n, 1).bit_length() // 2].append(name)
+        chosen = next((v for _, v in sorted(tiers.items()) if len(v) >= (1 if everything else TIER)), None)
+        if chosen is None or (len(before.segments) == 1 and not before.tombstones):
+            return before.version
+        dead = self.dead()
+
+        def live(part: str) -> DataFrame:
+            rows = self._of(before, part).where(F.col("segment").isin(chosen))
+            return rows if dead is None else rows.join(dead.select("segment", "node_id"), ["segment", "node_id"], "left_anti")
+
+        parents = self._of(before, "parents").where(F.col("segment").isin(chosen)).join(live("nodes").select("segment", "parent_id").distinct(), ["segment", "parent_id"], "left_semi")
+        name, n = self._write_segment({"nodes": live("nodes"), "parents": parents, "postings": live("postings"), "lengths": live("lengths")})
+        rest = {k: v for k, v in before.segments.items() if k not in chosen}
+        left = []
+        if before.tombstones and rest:
+            left = self._write_dead(dead.where(F.col("segment").isin(list(rest))))
+        return self._commit(before, name, rest | {name: n}, left)
 
-    def postings_of(self, terms: list[str]) -> DataFrame:
-        """Postings of some terms; files and row groups without them are skipped by their statistics."""
-        return self.part("postings").where(F.col("term").isin(sorted(set(terms))))
+    def rebuild(self) -> str:
+        """Everything again from the stored nodes."""
+        return self.publish(derived(self.part("nodes").drop("segment")))
 
 
 def derived(nodes: DataFrame) -> dict[str, DataFrame]:
-    scopes = [c for c in SCOPES if c in nodes.columns]
-    by_node = nodes.select("node_id", *scopes)
+    by_node = nodes.select("node_id", *[c for c in SCOPES if c in nodes.columns])
     return {
         "nodes": nodes,
         "parents": segmentation.parents(nodes),
-        "postings": lexical.postings(nodes).join(by_node, "node_id"),
+        "postings": lexical.postings(nodes),
         "lengths": lexical.stats(nodes).join(by_node, "node_id"),
     }
 

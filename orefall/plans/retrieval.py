@@ -71,13 +71,28 @@ class Retriever:
             rows = scoped(visible(df, self.user), o.filename, o.source)
             return rows.join(base.select("node_id"), "node_id", "left_semi") if filtered else rows
 
-        asked = terms.select("term").distinct().limit(PUSHED + 1).collect()  # few terms reach the files' statistics
-        postings = self.index.part("postings") if len(asked) > PUSHED else self.index.postings_of([r["term"] for r in asked])
-        return lexical.bm25(terms, part(postings), part(self.index.part("lengths")))
+        return lexical.bm25(terms, part(self._asked(terms, "postings")), part(self.index.part("lengths")))
+
+    def _asked(self, terms: DataFrame, name: str) -> DataFrame:
+        """Postings or blocks of the asked terms: few of them reach the files' statistics, more are joined."""
+        asked = terms.select("term").distinct().limit(PUSHED + 1).collect()
+        return self.index.part(name) if len(asked) > PUSHED else self.index.postings_of([r["term"] for r in asked], name)
+
+    def _stored_best(self, queries: DataFrame, k: int) -> DataFrame:
+        """The k best of everything the user sees, from the stored blocks and postings."""
+        terms, dead = lexical.query_terms(queries), self.index.dead()
+        postings, blocks = (visible(self._asked(terms, n), self.user) for n in ("postings", "blocks"))
+        total = visible(self.index.part("totals"), self.user).agg(F.coalesce(F.sum("nodes"), F.lit(0)).cast("double").alias("n"), F.coalesce(F.sum("terms") / F.sum("nodes"), F.lit(0.0)).alias("avg_len"))
+        if dead is not None:
+            every = self.index.raw("postings").join(terms.select("term").distinct(), "term", "left_semi")
+            dead = visible(every, self.user).join(dead.select("segment", "node_id"), ["segment", "node_id"], "left_semi")
+        return lexical.top_by_blocks(terms, postings, blocks, total, k, dead)
 
     def _arms(self, base: DataFrame, queries: DataFrame, o: Options, filtered: bool = False) -> dict[str, DataFrame]:
         arms = {}
-        if o.mode != "vector":
+        if o.mode != "vector" and self.index is not None and not (filtered or o.filename or o.source):
+            arms["keyword"] = self._stored_best(queries, o.fetch).withColumn("rank", F.col("rank").cast("long"))
+        elif o.mode != "vector":
             scored = self._scored(base, queries, o, filtered)
             arms["keyword"] = lexical.top(scored.withColumn("sort", F.round("score", 9)), o.fetch, score="sort").select("query_id", "node_id", "score", F.col("rank").cast("long").alias("rank"))
         if o.mode != "keyword":
