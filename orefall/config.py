@@ -15,6 +15,7 @@ class Settings:
     parent_expansion: bool = False
     dimensions: int = 1024
     sql_row_cap: int = 200
+    sql_row_bytes: int = 1024 * 1024
     sql_timeout_ms: int = 5000
     max_steps: int = 6
     evidence_tokens: int = 4000

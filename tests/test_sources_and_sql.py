@@ -160,3 +160,30 @@ def test_guard_allows_plain_functions(spark):
     sql = "SELECT upper(substr('abc', 1, 2)) AS a, round(avg(n), 1) AS b, count(DISTINCT n) AS c, max(coalesce(n, 0)) AS d, size(transform(array(1, 2), x -> x + abs(-1))) AS e, max(date_add(DATE '2020-01-01', 1)) AS f FROM mine WHERE n IN (SELECT col FROM explode(array(0, 1, 2)))"
     assert g.run(sql).rows[0][:5] == ("AB", 1.0, 3, 2, 2)
     assert g.run("SELECT n, row_number() OVER (ORDER BY n DESC) AS r, CASE WHEN n > 1 THEN 'x' END AS c FROM mine ORDER BY n LIMIT 1").rows == [(0, 3, None)]
+
+
+@pytest.mark.parametrize("sql,code", [
+    ("SELECT IDENTIFIER('ref'||'lect')('java.lang.System','getProperty','user.home')", "function_denied"), ("SELECT IDENTIFIER('n') FROM mine", "function_denied"),
+    ("SELECT * FROM IDENTIFIER('mine')", "not_a_select"), ("WITH c AS (SELECT IDENTIFIER('n') FROM mine) SELECT * FROM c", "function_denied"),
+    ("SELECT n, max(n) OVER w FROM mine WINDOW w AS (PARTITION BY reflect('java.lang.System','setProperty','judge.x',cast(n as string)))", "function_denied"),
+    ("SELECT n FROM mine WHERE n IN (SELECT max(n) OVER w FROM mine WINDOW w AS (ORDER BY IDENTIFIER('version')()))", "function_denied"),
+    ("SELECT * FROM mine LATERAL VIEW java_method('java.lang.System','getenv') e AS y", "function_denied"),
+    ("SELECT sequence(1, 100000000)", "too_large"), ("SELECT sequence(1, n * 100000000) FROM mine", "too_large"), ("SELECT repeat('a', 1000000000)", "too_large"), ("SELECT repeat('a', n) FROM mine", "too_large"),
+    ("SELECT transform(sequence(1, 10000), x -> repeat('a', 10000))", "too_large"), ("SELECT lpad('a', 2000000, 'b')", "too_large"), ("SELECT array_repeat(1, 2000000)", "too_large"), ("SELECT space(2000000)", "too_large"),
+    ("SELECT collect_list(repeat('a', 100000)) FROM (SELECT 1 FROM mine, mine AS b, mine AS c)", "too_large"),
+])
+def test_guard_refuses_what_a_statement_hides_or_blows_up(spark, sql, code):
+    with pytest.raises(CodedError) as e:
+        Guard(spark, {"mine": spark.range(3).toDF("n")}).run(sql)
+    assert e.value.code == code
+    assert spark._jvm.java.lang.System.getProperty("judge.x") is None
+
+
+def test_guard_allows_windows_sequences_and_lambdas(spark):
+    g = Guard(spark, {"mine": spark.range(3).toDF("n")})
+    assert g.run("SELECT n, sum(n) OVER w AS s FROM mine WINDOW w AS (ORDER BY n) ORDER BY n").rows == [(0, 0), (1, 1), (2, 3)]
+    assert g.run("SELECT size(sequence(1, 10, 3)) AS a, repeat('ab', 2) AS b, lpad('7', 3, '0') AS c, size(sequence(DATE '2024-01-01', DATE '2024-01-05')) AS d").rows == [(4, "abab", "007", 5)]
+    assert g.run("SELECT n, n FROM mine ORDER BY n LIMIT 1").columns == ["n", "n"]
+    assert g.run("SELECT url_decode('a%20b') AS u, percentile_cont(0.5) WITHIN GROUP (ORDER BY n) AS p, named_struct('a', 1).a AS s, extract(year FROM DATE '2024-01-01') AS y FROM mine").rows == [("a b", 1.0, 1, 2024)]
+    assert g.run("SELECT e.y FROM mine LATERAL VIEW explode(array(1, 2)) e AS y WHERE n = 0 ORDER BY y").rows == [(1,), (2,)]
+    assert g.run("SELECT grouping(n) AS g, count(*) AS c FROM mine GROUP BY ROLLUP (n) HAVING count(*) > 1").rows == [(1, 3)]
