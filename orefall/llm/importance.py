@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from orefall.llm.common import stash
+from orefall.llm.common import discard, stash
 
 BUCKETS = 10_000
 #: Seed of the draw, the share drawn in per cent, and the words that a document needs to take part.
@@ -102,5 +102,8 @@ def resample(df: DataFrame, target: DataFrame, text: str = "text", key: str = "d
     leaves gains that only favour rare buckets; an empty table gives no rows; other columns are ignored, whatever their names.
     """
     gain = gains(df, target, text, target_text, runs=runs)
-    scored = weights(df, gain, text, key, runs).withColumn("score", perturbed(F.col("weight"), F.col("doc_id")))
-    return ranked(scored).select("doc_id", "n_features", "weight", "score", "rank")
+    # Narrow rows are written once: the range partitioning reads its input twice, which would score every text again.
+    scored = stash(weights(df, gain, text, key, runs).withColumn("score", perturbed(F.col("weight"), F.col("doc_id"))), "importance-scores")
+    out = ranked(scored).select("doc_id", "n_features", "weight", "score", "rank")
+    discard(scored)
+    return out
