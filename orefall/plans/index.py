@@ -39,11 +39,15 @@ class Signature:
 
 @dataclass(frozen=True)
 class Manifest:
-    """What one version consists of: segments with their number of nodes, and folders of tombstones. number: of its pointer."""
+    """What one version consists of: segments with their number of nodes, and folders of tombstones.
+
+    applied: the last batch of each stream that it holds. number: of its pointer.
+    """
 
     version: str
     segments: dict[str, int]
     tombstones: list[str] = field(default_factory=list)
+    applied: dict[str, int] = field(default_factory=dict)
     number: int = 0
 
     @property
@@ -117,10 +121,11 @@ class Index:
             raise CodedError("empty_index", "nothing has been published", 404)
         return now
 
-    def _commit(self, before: Manifest | None, version: str, segments: dict[str, int], tombstones: list[str]) -> str:
+    def _commit(self, before: Manifest | None, version: str, segments: dict[str, int], tombstones: list[str], applied: dict[str, int] | None = None) -> str:
         """Make these folders the version after `before`; refused if there is another one by now."""
         number = before.number + 1 if before else 1
-        self.write_json(f"{POINTER}{number:012}", {"version": version, "segments": segments, "tombstones": tombstones})
+        done = (before.applied if before else {}) | (applied or {})
+        self.write_json(f"{POINTER}{number:012}", {"version": version, "segments": segments, "tombstones": tombstones, "applied": done})
         kept = {*segments, *tombstones} | (before.folders if before else set())
         for name in self._names(POINTER):
             if int(name.removeprefix(POINTER)) < number - 1:
@@ -130,6 +135,19 @@ class Index:
                 self._fs.delete(self._file(f"{self.path}/{name}"), False)
         return version
 
+    def applied(self, stream: str) -> int:
+        """The last batch of a stream that the current version holds, -1 without any."""
+        now = self.manifest
+        return now.applied.get(stream, -1) if now else -1
+
+    def sweep(self) -> list[str]:
+        """Remove folders that neither the current version nor the one before names: what failed writes left. For the only writer."""
+        kept = set().union(*[m.folders for n in self._names(POINTER)[-2:] if (m := self._manifest(n))])
+        left = [n for n in [*self._names("v-"), *self._names("t-")] if n not in kept]
+        for name in left:
+            self._fs.delete(self._file(f"{self.path}/{name}"), True)
+        return left
+
     def check(self, own: Signature, adopt: bool = False) -> None:
         """Fails on another model's index, and on data without a signature unless it is adopted."""
         known = self._read_json("signature.json")
@@ -229,13 +247,19 @@ class Index:
         """Publish everything from documents; what was there before goes."""
         return self.publish(derived(self._pieces(docs)))
 
-    def add(self, docs: DataFrame) -> str:
-        """Put documents beside the others, in place of their earlier forms: one new segment, and tombstones for what it replaces."""
-        before = self._current()
-        gone = self.part("lengths").join(docs.select("document_id").distinct(), "document_id", "left_semi")
-        dead = self._write_dead(gone)
+    def add(self, docs: DataFrame, applied: dict[str, int] | None = None) -> str:
+        """Put documents beside the others, in place of their earlier forms: one new segment, and tombstones for what it replaces.
+
+        applied: stream and batch that the version then holds; a batch that it holds already is left alone.
+        """
+        before = self.manifest
+        if before and applied and all(before.applied.get(k, -1) >= v for k, v in applied.items()):
+            return before.version
+        dead = []
+        if before:
+            dead = self._write_dead(self.part("lengths").join(docs.select("document_id").distinct(), "document_id", "left_semi"))
         name, n = self._write_segment(derived(self._pieces(docs)))
-        return self._commit(before, name, before.segments | {name: n}, before.tombstones + dead)
+        return self._commit(before, name, (before.segments if before else {}) | {name: n}, (before.tombstones if before else []) + dead, applied)
 
     def delete(self, gone: DataFrame, key: str = "document_id") -> str:
         """A version without the nodes of some documents, sources or ids, in all parts alike: tombstones alone are written."""
