@@ -39,16 +39,19 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Layer:
-    """One direction over sequences sorted by falling length. rows: for each step and sequence, the row of `given` it takes in."""
+    """One direction over sequences sorted by falling length. rows: for each step and sequence, the row of `given` it takes in.
 
-    def __init__(self, given: np.ndarray, rows: np.ndarray, lens: np.ndarray, state: np.ndarray, backwards: bool, keep: bool = False):
+    last is the state that each sequence ends with, all its states at every step (if `every`).
+    """
+
+    def __init__(self, given: np.ndarray, rows: np.ndarray, lens: np.ndarray, state: np.ndarray, backwards: bool, keep: bool = False, every: bool = True):
         self.rows, self.state, h3 = rows, state, given.shape[1]
         self.h = h = h3 // 3
         steps = len(rows)
         alive = np.searchsorted(-lens, -np.arange(steps), side="left")
         self.order = [(t, int(alive[t])) for t in (range(steps - 1, -1, -1) if backwards else range(steps)) if alive[t]]
         self.last = np.zeros((rows.shape[1], h), given.dtype)
-        self.all = np.zeros((steps, rows.shape[1], h), given.dtype)
+        self.all = np.zeros((steps if every else 0, rows.shape[1], h), given.dtype)
         self.kept = []
         for t, k in self.order:
             x, before = given[rows[t, :k]], self.last[:k]
@@ -59,7 +62,9 @@ class Layer:
             after = n + z * (before - n)
             if keep:
                 self.kept.append((before.copy(), r, z, n, a[:, 2 * h :]))
-            self.last[:k] = self.all[t, :k] = after
+            self.last[:k] = after
+            if every:
+                self.all[t, :k] = after
 
     def gradients(self, of_all: np.ndarray | None, of_last: np.ndarray | None, n_given: int) -> tuple[np.ndarray, np.ndarray]:
         """Gradients of `given` and of the state weights."""
@@ -91,12 +96,18 @@ def char_vectors(p: Params, chars: np.ndarray, lens: np.ndarray, keep: bool = Fa
     """What both directions have read of each word's characters (words by PIECE); also what gradients need."""
     order = np.argsort(-lens, kind="stable")
     rows, n = chars[order].T[: int(lens.max(initial=0))], lens[order]
-    both = [Layer(p["chars"] @ p[f"c{w}_in"] + p[f"c{w}_bias"], rows, n, p[f"c{w}_state"], w == "b", keep) for w in "fb"]
+    both = [Layer(p["chars"] @ p[f"c{w}_in"] + p[f"c{w}_bias"], rows, n, p[f"c{w}_state"], w == "b", keep, every=False) for w in "fb"]
     out = np.empty((len(chars), 2 * CHAR_STATE), p["chars"].dtype)
     out[order] = np.concatenate([x.last for x in both], axis=1)
     return out, (order, both)
 
 
+def read_words(p: Params, chars: np.ndarray, lens: np.ndarray, most: int = 1 << 14) -> np.ndarray:
+    """char_vectors of any number of words, `most` at a time, which bounds memory."""
+    parts = [char_vectors(p, chars[i : i + most], lens[i : i + most])[0] for i in range(0, len(chars), most)]
+    return np.concatenate(parts) if parts else np.zeros((0, 2 * CHAR_STATE), p["chars"].dtype)
+
+
 def word_inputs(p: Params, read: np.ndarray, row: np.ndarray) -> np.ndarray:
     return np.concatenate([read, p["words"][row]], axis=1)
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orefall.llm import gated
-from orefall.llm.common import STEP_CHARS, U, crc32_of, highest_level, level, mix, powers, step_texts, word_chars
+from orefall.llm.common import STEP_CHARS, U, crc32_of, highest_level, level, mix, powers, step_texts, steps, word_chars
 
 #: Words in a window, and from one window's begin to the next.
 WINDOW, STRIDE = 32, 16
@@ -56,6 +56,19 @@ def words_of(texts: list[str]) -> Words:
     return Words(np.concatenate([[0], np.searchsorted(a, ends)]), a, b, which, hashes, gated.char_rows(cp[place]), lens)
 
 
+def words_of_all(texts: list[str]) -> Words:
+    """words_of any number of texts, read in steps, which bounds memory; begin and end are left out."""
+    parts = [words_of(texts[i:j]) for i, j in steps(texts)]
+    none = np.zeros(0, dtype=np.int64)
+    if not parts:
+        return words_of([])
+    hashes, first, place = np.unique(np.concatenate([p.hashes for p in parts]), return_index=True, return_inverse=True)
+    stops = np.cumsum([0] + [len(p.hashes) for p in parts])
+    which = np.concatenate([place[a + p.which] for a, p in zip(stops, parts)])
+    at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p.at) for p in parts]))])
+    return Words(at, none, none, which, hashes, np.concatenate([p.chars for p in parts])[first], np.concatenate([p.lens for p in parts])[first])
+
+
 def windows(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All windows of texts whose words begin at `at`: the text, the first word and the number of words of each.
 
@@ -105,7 +118,7 @@ class Model:
         read = np.empty((len(new), 2 * gated.CHAR_STATE), dtype=np.float32)
         read[~new] = self._read[at[~new]]
         if new.any():
-            read[new] = gated.char_vectors(self.params, w.chars[new], w.lens[new])[0]
+            read[new] = gated.read_words(self.params, w.chars[new], w.lens[new])
             if len(self._known) + int(new.sum()) > ROOM:
                 self._known, self._read, new = w.hashes, read, new[:0]
             else:
@@ -121,8 +134,8 @@ class Model:
         order = np.argsort(-lens, kind="stable")
         z = np.empty(len(text))
         x = self.inputs(w)
-        for i in range(0, len(order), 4096):
-            some = order[i : i + 4096]
+        for i in range(0, len(order), 2048):
+            some = order[i : i + 2048]
             z[some] = gated.window_logits(self.params, x if len(x) else np.zeros((1, x.shape[1]), np.float32), _steps(w.which, first[some], lens[some]), lens[some])[0]
         return np.maximum.reduceat(z, np.flatnonzero(np.diff(text, prepend=-1)))
 
@@ -163,7 +176,7 @@ def fit(sample: list[tuple[int, list[str]]], seed: int = 5, there: tuple[int, in
     y = np.array([r[0] for r in sample], dtype=np.float32)
     if len(y) == 0 or y.min() == y.max():
         return Model({}, constant=float(y.mean()) if len(y) else 0.0)
-    w = words_of([t for r in sample for t in r[1]])
+    w = words_of_all([t for r in sample for t in r[1]])
     doc = np.repeat(np.arange(len(sample)), [len(r[1]) for r in sample])
     first, lens = w.at[:-1], np.minimum(np.diff(w.at), WINDOW)
     word_doc = np.unique(np.repeat(doc, np.diff(w.at)) * np.int64(len(w.hashes)) + w.which)
@@ -182,10 +195,10 @@ def fit(sample: list[tuple[int, list[str]]], seed: int = 5, there: tuple[int, in
 
     def all_logits() -> np.ndarray:
         z = np.empty(len(doc))
-        x = gated.word_inputs(p, gated.char_vectors(p, w.chars, w.lens)[0], word_row)
+        x = gated.word_inputs(p, gated.read_words(p, w.chars, w.lens), word_row)
         order = np.argsort(-lens, kind="stable")
-        for i in range(0, len(order), 4096):
-            some = order[i : i + 4096]
+        for i in range(0, len(order), 2048):
+            some = order[i : i + 2048]
             z[some] = gated.window_logits(p, x, _steps(w.which, first[some], lens[some]), lens[some])[0]
         return z
 

@@ -84,6 +84,18 @@ def test_words_are_whole_runs_cut_in_pieces():
     assert w.which[0] == w.which[6] and w.which[2] == w.which[3] != w.which[4]
 
 
+def test_words_read_in_steps_are_the_same(monkeypatch):
+    texts = [t for _, t, _ in planted(60)] + ["", "x" * 5000]
+    whole = toxicity.words_of(texts)
+    monkeypatch.setattr(toxicity, "steps", lambda t: ((i, min(i + 7, len(t))) for i in range(0, len(t), 7)))
+    parts = toxicity.words_of_all(texts)
+    for k in ("at", "which", "hashes", "lens"):
+        assert (getattr(whole, k) == getattr(parts, k)).all(), k
+    inside = np.arange(gated.PIECE) < whole.lens[:, None]
+    assert (whole.chars[inside] == parts.chars[inside]).all()
+    assert len(toxicity.words_of_all([]).at) == 1
+
+
 def test_sampled_windows_are_the_texts_own():
     t = " ".join(f"w{i}" for i in range(400))
     got = toxicity.sampled_windows(t, 5)
