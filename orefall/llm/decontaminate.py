@@ -7,7 +7,8 @@ items are searched by all their shingles, and documents with too few shingles to
 
 The minima of a block of items are a small table that the shingles of each document are looked up in, where they are made: the
 lookup is a broadcast hash join, whose build side is bounded by BLOCK, so that documents are never shuffled and neither a
-frequent passage nor a document that holds many items gathers rows anywhere. A hit is verified in its row by exact containment,
+frequent passage nor a document that holds many items gathers rows anywhere. Items of equal shingles are searched as one, so that
+repeats of a benchmark row add nothing to a block; their keys are joined back to what was found. A hit is verified in its row by exact containment,
 once for each document and item: at the first of the item's minima that the document has. A larger benchmark is searched in
 several blocks, each a pass over the documents; nothing of the items goes to the driver but their number.
 """
@@ -75,9 +76,11 @@ def _hits(docs: DataFrame, items: DataFrame, width: int, share: float) -> DataFr
     return found.where(F.col("n_found") >= F.lit(share) * F.col("n_shingles") - 1e-9)
 
 
-def _found(docs: DataFrame, items: DataFrame, item_key: str, item_text: str, share: float, words: int) -> DataFrame:
-    """_hits of all items. docs: the columns to keep and _text."""
-    index = stash(indexed(items, item_key, item_text, words).withColumn("block", F.xxhash64("item", "shingles")), "items")
+def _found(docs: DataFrame, items: DataFrame, item_key: str, item_text: str, share: float, words: int, named: bool = True) -> DataFrame:
+    """_hits of all items, or (not named) of the distinct sets of shingles, told by digests. docs: the columns to keep and _text."""
+    known = indexed(items, item_key, item_text, words).withColumn("shingles", F.array_sort("shingles"))
+    known = stash(known.withColumn("same", F.sha2(F.concat_ws(",", "width", F.col("shingles").cast("array<string>")), 256)), "items")
+    index = known.dropDuplicates(["same"]).select(F.col("same").alias("item"), "width", "shingles", "minima", F.xxhash64("same").alias("block"))
     sizes = index.groupBy("width").agg(F.sum(F.size("shingles") * F.size("minima") + F.size("minima") * (F.size("minima") + 1)).alias("n")).collect()  # at most `words` rows
     rows = docs.select(*[c for c in docs.columns if c != "_text"], pinned(words_of(F.col("_text"))).alias("_words"))
     out = None
@@ -88,9 +91,11 @@ def _found(docs: DataFrame, items: DataFrame, item_key: str, item_text: str, sha
             hit = _hits(rows, part, width, share)
             out = hit if out is None else out.unionByName(hit)
     if out is None:
-        kind = items.schema[item_key].dataType.simpleString()
-        out = docs.drop("_text").limit(0).select("*", F.lit(None).cast(kind).alias("item"), F.lit(0).alias("n_found"), F.lit(0).alias("n_shingles"))
-    return out
+        out = docs.drop("_text").limit(0).select("*", F.lit("").alias("item"), F.lit(0).alias("n_found"), F.lit(0).alias("n_shingles"))
+    if not named:
+        return out
+    keys = known.select(F.col("same").alias("_same"), F.col("item").alias("_key"))
+    return out.join(keys, F.col("item") == F.col("_same")).drop("item", "_same").withColumnRenamed("_key", "item")
 
 
 def digest_of(text: str) -> Column:
@@ -116,7 +121,7 @@ def drop_leaks(df: DataFrame, items: DataFrame, text: str = "text", item_key: st
     Rows are told by SHA-256 of their text: equal texts hold the same items. Null and empty texts stay, repeated rows stay or go
     together, null keys don't matter; without items all rows stay, and an empty table gives none.
     """
-    found = _found(df.select(F.col(text).alias("_text"), digest_of(text).alias("_digest")), items, item_key, item_text, share, words)
+    found = _found(df.select(F.col(text).alias("_text"), digest_of(text).alias("_digest")), items, item_key, item_text, share, words, named=False)
     gone = stash(found.select("_digest").distinct(), "leaks")
     plain = df.select(whole_row(df), digest_of(text).alias("_digest"))
     return rows_again(plain.join(gone, "_digest", "left_anti"), df.columns)

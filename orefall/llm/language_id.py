@@ -174,10 +174,19 @@ def fit(df: DataFrame, learn: Column, text: str = "text", lang: str = "lang", ke
     most = max(2, min(fit_rows, fit_total // max(len(by_lang), 1)))
     top = df.sparkSession.createDataFrame([(k, highest_level(v, most)) for k, v in by_lang.items()], "_lang string, _top int")
     chosen = rows.join(top, (F.col("lang") == F.col("_lang")) & (level(F.col("h")) <= F.col("_top")))
-    sample = sorted(chosen.select("t", "lang", "h").limit(fit_total).collect(), key=lambda r: (r["h"], r["t"]))
+
+    def counted(batches):
+        for b in batches:
+            x = [v for texts in step_texts(b.column(2)) for v in sparse(texts, idf)]
+            at, v = (pa.array([np.asarray(r[i], dtype=kind).tobytes() for r in x], pa.binary()) for i, kind in ((0, "<i4"), (1, "<f4")))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), at, v], ["h", "lang", "at", "v"])
+
+    # A text goes to the driver as its features, at most FEATURES numbers however long it is.
+    rows = chosen.select("h", "lang", "t").mapInArrow(counted, "h long, lang string, at binary, v binary").limit(max(fit_total, 2 * len(by_lang)))
+    sample = sorted(rows.collect(), key=lambda r: (r["h"], bytes(r["at"]), bytes(r["v"])))
     langs = sorted({r["lang"] for r in sample})
     y = np.array([langs.index(r["lang"]) for r in sample])
-    x = sparse([r["t"] for r in sample], idf)
+    x = [(np.frombuffer(r["at"], dtype="<i4"), np.frombuffer(r["v"], dtype="<f4").astype(np.float64)) for r in sample]
     held = np.arange(len(x)) % 5 == 4
     if len(langs) < 2 or not held.any():
         return Model(langs, idf, np.zeros((len(langs), FEATURES)), np.zeros(len(langs)), 1.0)

@@ -579,3 +579,31 @@ def test_html(spark, none):
     assert [text[i] for i in range(12)] == [f"Unique {i} text & more" for i in range(12)]
     assert text[100] == "Big é\nOne two\nthree" and text[101] == "" and text[102] == "a b\nc < d" and text[103] == "" and text[104] == "deep"
     assert extract(df.where("false")).count() == 0
+
+
+def test_repeated_items_are_searched_once(spark, monkeypatch):
+    """Repeats of a benchmark row fill no block, and have rows of their own in the result."""
+    from orefall.llm import decontaminate
+
+    words = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, f"before {words} after"), (2, "something else")], "doc_id long, text string")
+    items = spark.createDataFrame([(i, words) for i in range(50)] + [(60, words + " tail"), (61, words.upper()), (None, words)], "item_id long, text string")
+    seen = []
+    real = decontaminate._hits
+    monkeypatch.setattr(decontaminate, "_hits", lambda d, part, *a: seen.append(part.count()) or real(d, part, *a))
+    got = decontaminate.find_leaks(docs, items).collect()
+    assert seen == [2] and sorted((r["item_id"] is None, r["item_id"] or 0) for r in got) == sorted([(False, i) for i in range(50)] + [(False, 60), (False, 61), (True, 0)])
+    assert {r["doc_id"] for r in got} == {1}
+
+
+def test_language_sample_sends_features_not_texts(spark, monkeypatch):
+    from orefall.llm import language_id
+
+    long = "ein langer deutscher text mit vielen worten " * 4000
+    rows = [(i, long if i % 2 else "an english text of some other words " * 3, "de" if i % 2 else "en") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sizes = []
+    real = language_id.train
+    monkeypatch.setattr(language_id, "train", lambda x, y, n: sizes.extend(len(k) for k, _ in x) or real(x, y, n))
+    got = {r["doc_id"]: r["lang_pred"] for r in identify(docs).collect()}
+    assert got == {i: lang for i, _, lang in rows} and max(sizes) < 500
