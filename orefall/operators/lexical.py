@@ -95,3 +95,31 @@ def top_by_blocks(terms: DataFrame, index: DataFrame, blocks: DataFrame, total:
     kth = ahead.where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
     rest = places.where(F.col("_place") > first).join(kth, "query_id", "left").where(F.col("kth").isNull() | (F.col("bound") >= F.col("kth") - 1e-6))
     return best(ahead.drop("rank").unionByName(scored(rest)))
+
+
+#: Distinct query terms that a fold looks for by value; for more, an index is the better way.
+FOLD_TERMS = 20_000
+
+
+def fold(nodes: DataFrame, queries: DataFrame, folder: str, identifiers_only: bool = True, key: str = "node_id", text: str = "content") -> DataFrame:
+    """(query_id, key, score) as bm25 gives it, without an index: one pass over the texts counts the queries' terms alone.
+
+    identifiers_only: Latin terms count, as in a stored index; else CJK ones too. The pass writes (key, term, freq, length) of asked terms to
+    `folder`, and for every node a row without a term, from which number and mean length come. Nodes are all that the caller may see.
+    """
+    terms = query_terms(queries, all_tokens=not identifiers_only)
+    asked = [r["term"] for r in terms.select("term").distinct().limit(FOLD_TERMS + 1).collect()]
+    if len(asked) > FOLD_TERMS:
+        raise ValueError(f"more than {FOLD_TERMS} distinct terms; search an index instead")
+    every = nodes.select(key, tokens(F.col(text)).alias("w"))
+    none = F.array().cast("array<string>")
+    hits = F.coalesce(F.filter("w", lambda t: t.isin(asked)), none) if asked else none  # null text has no length, but counts
+    rows = every.select(key, F.size("w").cast("long").alias("length"), F.explode(F.concat(hits, F.array(F.lit(None).cast("string")))).alias("term"))
+    rows.groupBy(key, "term", "length").agg(F.count("*").alias("freq")).write.parquet(folder)
+    held = nodes.sparkSession.read.parquet(folder)
+    total = held.where("term is null").agg(F.count("*").cast("double").alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("avg_len"))
+    found = held.where("term is not null")
+    df = found.groupBy("term").agg(F.count("*").cast("double").alias("df"))
+    scored = terms.join(df, "term").join(found, "term").crossJoin(F.broadcast(total))  # total is one row
+    gain = idf(F.col("n"), F.col("df")) * _gain(F.col("freq"), F.col("length"), F.col("avg_len"), K1, B)
+    return scored.groupBy("query_id", key).agg(F.sum(gain).alias("score")).where("score > 0")

@@ -163,11 +163,6 @@ def g2_bm25_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _keyword(spark, sf_dir, 3).select("query_id", "node_id", "rank")
 
 
-@register("g5_row_cap", "SELECT count(*) AS n FROM (SELECT * FROM lineitem LIMIT 200)")
-def g5_row_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t(spark, sf_dir, "lineitem").limit(200).agg(F.count("*").alias("n"))
-
-
 @register("h1_union_distinct", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
 def h1_union_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).union(t(spark, sf_dir, "supplier").select("s_nationkey")).distinct()
@@ -211,12 +206,6 @@ def i17_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "conversations").select("conv_id", "turn", X.refusal(text).alias("refusal"))
 
 
-@register("j4_index_equals_fold", f"WITH {SEEN}, {QUERY_SET}, {BM25} SELECT query_id, count(*) AS n FROM bm WHERE score > 0 GROUP BY 1")
-def j4_index_equals_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = seen_nodes(spark, sf_dir)
-    return lexical.bm25(lexical.query_terms(query_set(spark, sf_dir)), lexical.postings(base), lexical.stats(base)).groupBy("query_id").agg(F.count("*").alias("n"))
-
-
 @register("j13_lexical_rerank")
 def j13_lexical_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = _keyword(spark, sf_dir, 10).join(nodes(spark, sf_dir).select("node_id", "content"), "node_id")

@@ -51,10 +51,16 @@ def _seq(items) -> list:
 
 def relations(spark: SparkSession, sql: str) -> set[str]:
     """Names of the tables that a statement reads, without those of its common table expressions."""
+    sessions = spark._jvm.org.apache.spark.sql.classic.SparkSession
+    before = sessions.getActiveSession()
+    sessions.setActiveSession(spark._jsparkSession)  # the parser reads the dialect of the active session
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except Exception as e:
-        raise CodedError("sql_failed", f"the statement cannot be parsed: {str(e).splitlines()[0]}") from e
+        raise CodedError("sql_failed", f"the statement cannot be parsed: {(str(e).strip() or 'syntax error').splitlines()[0]}") from e
+    finally:
+        if before.isDefined():
+            sessions.setActiveSession(before.get())
     found: set[str] = set()
     catalog = spark._jsparkSession.sessionState().catalog()
     identifier = spark._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier

@@ -78,7 +78,7 @@ class Retriever:
         asked = terms.select("term").distinct().limit(PUSHED + 1).collect()
         return self.index.part(name) if len(asked) > PUSHED else self.index.postings_of([r["term"] for r in asked], name)
 
-    def _stored_best(self, queries: DataFrame, k: int) -> DataFrame:
+    def keyword(self, queries: DataFrame, k: int) -> DataFrame:
         """The k best of everything the user sees, from the stored blocks and postings."""
         terms, dead = lexical.query_terms(queries), self.index.dead()
         postings, blocks = (visible(self._asked(terms, n), self.user) for n in ("postings", "blocks"))
@@ -91,7 +91,7 @@ class Retriever:
     def _arms(self, base: DataFrame, queries: DataFrame, o: Options, filtered: bool = False) -> dict[str, DataFrame]:
         arms = {}
         if o.mode != "vector" and self.index is not None and not (filtered or o.filename or o.source):
-            arms["keyword"] = self._stored_best(queries, o.fetch).withColumn("rank", F.col("rank").cast("long"))
+            arms["keyword"] = self.keyword(queries, o.fetch).withColumn("rank", F.col("rank").cast("long"))
         elif o.mode != "vector":
             scored = self._scored(base, queries, o, filtered)
             arms["keyword"] = lexical.top(scored.withColumn("sort", F.round("score", 9)), o.fetch, score="sort").select("query_id", "node_id", "score", F.col("rank").cast("long").alias("rank"))

@@ -55,6 +55,18 @@ def test_recall_at_a_tenth_of_the_cells(made, clustered):
     assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(want, got)]) >= 0.9
 
 
+def test_the_share_for_a_recall_is_measured(spark, made, clustered, tmp_path):
+    c, asked = made
+    assert cells.share_for(asked, c, 10) <= 0.1
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((400, 32))  # no clusters
+    flat = cells.build(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], KIND), str(tmp_path / "x"), per_cell=8)
+    q = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x[:40])], "query_id long, embedding array<double>")
+    share = cells.share_for(q, flat, 5)
+    got = got_ids(cells.approximate(q, flat, 5, share), 40)
+    assert share > 0.1 and np.mean([len(set(a) & set(b)) / 5 for a, b in zip(brute(x, list(range(400)), x[:40], 5), got)]) >= 0.88
+
+
 def test_exact_answers_equal_brute_force(made, clustered):
     x, q = clustered
     c, asked = made
