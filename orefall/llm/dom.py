@@ -17,6 +17,7 @@ ATTRIBUTE = re.compile(r"([a-zA-Z_:][-a-zA-Z0-9_:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']
 #: Elements whose content is no text of the page. The first are raw up to the page's end if they never end; a tag of the others
 #: that never ends stands for nothing.
 RAW, HIDDEN = frozenset("script style textarea iframe".split()), frozenset("noscript template svg canvas select".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark math object q rp rt ruby s samp small span strike strong sub sup time tt u var wbr mi mn mo ms mtext mrow msup msub mfrac".split())
 #: A new element of the key ends the innermost open list or table part while that is one of these.
@@ -54,6 +55,7 @@ class Element:
     node: int  # of the chain of styles from the page's root to it
     parent: Element | None
     dropped: bool
+    form: bool  # dropped for nothing but the form that it stands in
     main: bool  # inside a main part
     article: bool  # inside an article
     home: Element | None = None  # the element that text in it belongs to
@@ -76,15 +78,20 @@ def node_of(parent: int, sign: str) -> int:
 def _element(tag: str, raw: str, outer: Element | None) -> Element:
     at = {m[1].lower(): (m[2] or "").strip("\"'") for m in ATTRIBUTE.finditer(raw)} if raw and not raw.isspace() else {}
     tokens = f"{at.get('class', '')} {at.get('id', '')}".split()
+    named = at.get("class", "").split() if tag in HEADINGS else tokens  # a heading's id is made of its text
     sign = tag + "." + re.sub(r"\d+", "", " ".join(sorted(tokens)).lower()) if tokens else tag
     inside = bool(outer and (outer.main or outer.article))
     frame = tag in ("html", "body", "main")
-    dropped = bool(outer and outer.dropped) or not frame and (
-        tag in DROP_TAGS or tag == "header" and not inside or any(map(names_noise, tokens)) or at.get("role", "").lower() in DROP_ROLES
+    role = at.get("role", "").lower()
+    noise = not frame and (
+        tag in DROP_TAGS and tag != "form" or tag == "header" and not inside or any(map(names_noise, named)) or role in DROP_ROLES and role != "form"
         or "hidden" in at or at.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", at.get("style", "")))
     )
+    held = bool(outer and outer.dropped)
+    form = not noise and (bool(outer and outer.form) if held else tag == "form" or role == "form" and not frame)
+    dropped = held or noise or form
     is_main = tag == "main" or at.get("role", "").lower() == "main"
-    e = Element(tag, sign, node_of(outer.node if outer else 0, sign), outer, dropped, is_main or bool(outer and outer.main), tag == "article" or bool(outer and outer.article))
+    e = Element(tag, sign, node_of(outer.node if outer else 0, sign), outer, dropped, form, is_main or bool(outer and outer.main), tag == "article" or bool(outer and outer.article))
     e.home = e if tag not in INLINE or dropped and not (outer and outer.dropped) else outer.home if outer else None
     e.part = e if tag in PARTS else outer.part if outer else None
     e.depth = outer.depth + 1 if outer else 0

@@ -24,13 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orefall.llm.common import discard, stash
-from orefall.llm.dom import Block, Element, blocks_of, node_of
+from orefall.llm.dom import HEADINGS, Block, Element, blocks_of, node_of
 
 #: Noise is below LOW; a text node from HIGH on stays in a noise element; weight of the children of one sequence.
 LOW, HIGH, GAMMA = 0.3, 0.6, 0.9
 #: Below this change of any node's importance it isn't carried further up; GAMMA ** 64 is about as small.
 STILL, ROUNDS = 0.002, 64
 TEXT = "#text"
+PROSE = HEADINGS | {"p", "article", "main"}
 #: Kinds of facts: that a page has the node, a node's child sequence, a child's weight in it, a text of a text node.
 PRESENT, SEQUENCE, CHILD, CONTENT = 0, 1, 2, 3
 #: What a host's tree says of its pages: noise text nodes, those that follow their branch, noise elements, noise texts.
@@ -155,7 +156,9 @@ def low_branches(pages: DataFrame, url: str = "url", html: str = "html") -> Data
 
 
 def kept_blocks(blocks: list[Block], verdicts: dict[str, set[int]]) -> list[Block]:
-    """The blocks that neither their names nor the host's style tree call noise."""
+    """The blocks that neither their names nor the host's style tree call noise. A page that stands in a form as a whole, with
+    paragraphs or headings in it, keeps it."""
+    whole = all(b.place and b.place.dropped for b in blocks) and any(b.place.form and b.place.tag in PROSE for b in blocks)
     branches: dict[int, bool] = {}
 
     def in_noise(e: Element | None) -> bool:
@@ -170,7 +173,7 @@ def kept_blocks(blocks: list[Block], verdicts: dict[str, set[int]]) -> list[Bloc
 
     out = []
     for b in blocks:
-        if b.place and b.place.dropped:
+        if b.place and b.place.dropped and not b.place.form or b.place and b.place.form and not whole:
             continue
         if any(verdicts.values()):
             leaf = text_node(b.place)

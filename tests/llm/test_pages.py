@@ -29,6 +29,9 @@ def text(html):
         ("<article>tease</article><div class=content>The real text of the page is here, and it is long.</div>", "tease\nThe real text of the page is here, and it is long."),
         ("<article>The real text of the page is here.</article><div>tail</div>", "The real text of the page is here."),
         ("<nav>x</nav><footer>y</footer>", ""),
+        ("<article><h2 id='recommendations'>R</h2><p>a</p><h2 id='comments'>C</h2><p>b</p><div id='comments'>x</div></article>", "R\na\nC\nb"),
+        ("<body><form action=x><nav>n</nav><h1>T</h1><p>text</p><button>go</button></form></body>", "T\ntext"),
+        ("<nav>x</nav><form><label>Search</label></form>", ""), ("<p>y</p><form><p>Mail us</p></form>", "y"), ("<nav><form><p>x</p></form></nav>", ""),
         ("x < y <p title='a>b'>q</p> <a href=\"u>v\">l</a> <p title=\"open>then</p> tail", "x < y\nq\nl\nthen\ntail"),
         ("<b>two<i>x</b>y</i><br>z &amp; &eacute;<p hidden>h</p>", "twoxy\nz & é"),
     ],
