@@ -238,6 +238,13 @@ def p6_threshold_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.calibrate(rows)
 
 
+@register("p6_threshold_found", "WITH r AS (SELECT p_retailprice AS score, p_size > 3 AND p_retailprice > 920 AS ok FROM part), m AS (SELECT (s + lead(s) OVER (ORDER BY s)) / 2 AS threshold FROM (SELECT DISTINCT score AS s FROM r)), c AS (SELECT threshold, count(*) FILTER (NOT ok AND score < threshold) AS caught, count(*) FILTER (ok AND score < threshold) AS wrong FROM m, r WHERE threshold IS NOT NULL GROUP BY 1) SELECT caught, threshold FROM c WHERE wrong = 0 AND caught > 0 ORDER BY caught DESC, threshold DESC LIMIT 1")
+def p6_threshold_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As p6_threshold_calibration, on scores of which some lie below all that are answerable."""
+    rows = t(spark, sf_dir, "part").select(F.col("p_retailprice").alias("score"), ((F.col("p_size") > 3) & (F.col("p_retailprice") > 920)).alias("answerable"))
+    return metrics.calibrate(rows)
+
+
 @register("p7_regression_gate", "WITH b AS (SELECT n_name AS task, CASE WHEN n_nationkey % 3 = 0 THEN 'p50' ELSE 'recall' END AS metric, CASE WHEN n_nationkey % 3 = 0 THEN 100.0 ELSE 0.8 END AS base FROM nation WHERE n_nationkey <> 4), c AS (SELECT n_name AS task, CASE WHEN n_nationkey % 3 = 0 THEN 'p50' ELSE 'recall' END AS metric, CASE WHEN n_nationkey % 3 = 0 THEN 90.0 + 5 * n_nationkey ELSE 0.7 + 0.01 * n_nationkey END AS value FROM nation WHERE n_nationkey <> 7) SELECT task, metric, CAST(base AS DOUBLE) AS base, CAST(value AS DOUBLE) AS value, CASE WHEN base IS NULL OR value IS NULL OR (metric = 'p50' AND value > base * 1.5) OR (metric <> 'p50' AND base - value > 0.03 + 1e-12) THEN 'fail' ELSE 'pass' END AS verdict FROM b FULL JOIN c USING (task, metric)")
 def p7_regression_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = t(spark, sf_dir, "nation")
@@ -253,6 +260,12 @@ def p8_candidate_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "labels").where("quality not between 0 and 1 or toxic is null").select("doc_id")
 
 
+@register("p8_contradictory_labels", "SELECT doc_id FROM labels WHERE quality NOT BETWEEN 0 AND 1 OR toxic IS NULL OR (quality = 1 AND toxic = 1)")
+def p8_contradictory_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As p8_candidate_validation, with a rule that some rows break."""
+    return t(spark, sf_dir, "labels").where("quality not between 0 and 1 or toxic is null or (quality = 1 and toxic = 1)").select("doc_id")
+
+
 @register("p10_agreement_report", "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY ALL")
 def p10_agreement_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "labels").groupBy("quality", "toxic").agg(F.count("*").alias("n"))
@@ -307,9 +320,9 @@ def n6_duplicate_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "conversations").withColumn("n", F.row_number().over(by)).where("n > 1").select("conv_id", "turn")
 
 
-@register("n4_truncated_answers", "SELECT conv_id, turn, CASE WHEN right(trim(text), 1) = ':' THEN trim(text) || chr(10) || 'claim' ELSE trim(text) END AS answer FROM (SELECT conv_id, turn, left(text, 40) || CASE WHEN turn % 2 = 0 THEN ':' ELSE '' END AS text FROM conversations)")
+@register("n4_truncated_answers", "SELECT conv_id, turn, CASE WHEN right(trim(text), 1) = ':' THEN trim(text) || chr(10) || 'claim' ELSE trim(text) END AS answer FROM (SELECT conv_id, turn, text || CASE WHEN turn % 2 = 0 THEN ':' ELSE '' END AS text FROM conversations)")
 def n4_truncated_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = t(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.left("text", F.lit(40)), F.when(F.col("turn") % 2 == 0, ":").otherwise("")).alias("text"))
+    c = t(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("text", F.when(F.col("turn") % 2 == 0, ":").otherwise("")).alias("text"))
     a = F.trim("text")
     return c.select("conv_id", "turn", F.when(F.right(a, F.lit(1)) == ":", F.concat_ws("\n", a, F.lit("claim"))).otherwise(a).alias("answer"))
 

@@ -215,6 +215,12 @@ def d8_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "customer").join(t(spark, sf_dir, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
 
 
+@register("d8_anti_join_pending", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
+def d8_anti_join_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pending = t(spark, sf_dir, "orders").where("o_orderstatus = 'P'")
+    return t(spark, sf_dir, "customer").join(pending, F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
+
+
 @register("d9_array_membership", "SELECT p_partkey, p_size FROM part WHERE p_size IN (1, 7, 23, 50)")
 def d9_array_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "part").where(F.col("p_size").isin(1, 7, 23, 50)).select("p_partkey", "p_size")
