@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orefall.functions import text as X
@@ -76,3 +76,40 @@ def assemble(candidates: DataFrame, budget: int = 4000, limit: int = 12, per_cal
 
     kind = candidates.schema["run_id"].dataType.simpleString()
     return candidates.groupBy("run_id").applyInPandas(choose, f"run_id {kind}, call long, rank long, place long, selected boolean, reason string")
+
+
+#: Marks that are taken out before values are looked for, the values themselves, and numbers that prove nothing (fixed values).
+CITATION, MARKDOWN = r"\[\d+\]", r"[*`_#>|]"
+GROUPED, NUMBER = r"\d{1,3}(?:,\d{3})+", r"\d+(?:\.\d+)?"
+IDENTIFIER = r"[A-Za-z][A-Za-z0-9]*(?:[-_.][A-Za-z0-9]+)+|[A-Z]{2,}"
+TRIVIAL = ("0", "1", "2", "3", "4", "5")
+
+
+def unmarked(text: Column) -> Column:
+    """Text without citation marks and Markdown signs."""
+    return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), CITATION, " "), MARKDOWN, "")
+
+
+def _every(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+
+def numbers_said(text: Column) -> Column:
+    """Distinct numbers of a text without thousands separators, grouped ones first; 0 to 5 are left out."""
+    c = unmarked(text)
+    grouped = F.transform(_every(c, GROUPED), lambda x: F.replace(x, F.lit(","), F.lit("")))
+    return F.filter(F.array_distinct(F.concat(grouped, _every(F.regexp_replace(c, GROUPED, " "), NUMBER))), lambda x: ~x.isin(*TRIVIAL))
+
+
+def identifiers_said(text: Column) -> Column:
+    """Identifiers and abbreviations of a text, of those that differ in case alone the first."""
+    found = _every(unmarked(text), IDENTIFIER)
+    upper = F.transform(found, F.upper)
+    return F.filter(found, lambda x, i: F.array_position(upper, F.upper(x)) == i + 1)
+
+
+def traced(answer: Column, evidence: Column) -> tuple[Column, Column, Column, Column]:
+    """Numbers and identifiers of an answer, and those of each that no evidence (one text of all) holds. Sums of evidence count as missing."""
+    hay = F.upper(F.replace(unmarked(evidence), F.lit(","), F.lit("")))
+    numbers, names = numbers_said(answer), identifiers_said(answer)
+    return numbers, names, F.filter(numbers, lambda x: ~F.contains(hay, x)), F.filter(names, lambda x: ~F.contains(hay, F.upper(x)))

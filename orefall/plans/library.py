@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orefall.operators import catalogue, cells, judging, lexical, provenance
+from orefall.operators import catalogue, cells, grounding, judging, lexical, provenance
 from orefall.plans.guard import Guard
 from orefall.plans.index import Index, derived
 from orefall.plans.registry import BM25, CALLER, DENSE, QUERY_SET, SEEN, asked_vectors, nodes, query_set, register, seen_nodes, t, vectors
@@ -54,13 +54,17 @@ def j4_index_equals_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("query_id").agg(F.count_if(F.abs(F.col("score") - F.col("other")) < 1e-9).alias("n"))
 
 
+def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as nodes of an index, each a piece of its own without a parent."""
+    none = {c: F.lit(None).cast("string") for c in ("parent_id", "heading_path", "parent_content")}
+    return nodes(spark, sf_dir).withColumns(none | {"document_id": F.col("node_id"), "parent_ordinal": F.lit(0)})
+
+
 @register("j19_stored_index", f"WITH {SEEN}, {QUERY_SET}, {BM25} SELECT query_id, node_id, round(score, 6) AS score, rank FROM keyword")
 def j19_stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index is published to the shared folder, and searched block by block."""
-    none = {c: F.lit(None).cast("string") for c in ("parent_id", "heading_path", "parent_content")}
-    pieces = nodes(spark, sf_dir).withColumns(none | {"document_id": F.col("node_id"), "parent_ordinal": F.lit(0)})
     index = Index(spark, cells.folder(spark, "index"))
-    index.publish(derived(pieces))
+    index.publish(derived(pieces(spark, sf_dir)))
     best = Retriever.over(index, CALLER).keyword(query_set(spark, sf_dir), 40)
     return best.select("query_id", "node_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
@@ -162,3 +166,30 @@ def p10_blind_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as an answer of the arm that its source stands for."""
     rows = t(spark, sf_dir, "documents").select("doc_id", "lang", "source")
     return judging.blind(rows, "2024", "lang", "doc_id", "source").select(F.col("turn").cast("long").alias("turn"), "form_id", "doc_id", "lang")
+
+
+def _clean(text: str) -> str:
+    return f"regexp_replace(regexp_replace(coalesce({text}, ''), '{grounding.CITATION}', ' ', 'g'), '{grounding.MARKDOWN}', '', 'g')"
+
+
+def _all(text: str, pattern: str) -> str:
+    return f"regexp_extract_all({text}, '{pattern}')"
+
+
+_UNGROUPED = f"regexp_replace(c, '{grounding.GROUPED}', ' ', 'g')"
+
+
+@register(
+    "i7_traced_values",
+    f"WITH r AS (SELECT a.conv_id, a.turn, {_clean('a.text')} AS c, upper(replace({_clean('u.text')}, ',', '')) AS hay FROM conversations a JOIN conversations u ON u.conv_id = a.conv_id AND u.turn = a.turn - 1), "
+    f"s AS (SELECT *, list_concat(list_transform({_all('c', grounding.GROUPED)}, lambda x: replace(x, ',', '')), {_all(_UNGROUPED, grounding.NUMBER)}) AS n, {_all('c', grounding.IDENTIFIER)} AS i FROM r), "
+    "d AS (SELECT conv_id, turn, hay, list_filter(n, lambda x, k: list_position(n, x) = k AND x NOT IN ('0', '1', '2', '3', '4', '5')) AS n, list_filter(i, lambda x, k: list_position(list_transform(i, lambda y: upper(y)), upper(x)) = k) AS i FROM s) "
+    "SELECT conv_id, turn, array_to_string(n, ',') AS numbers, array_to_string(i, ',') AS identifiers, array_to_string(list_filter(n, lambda x: NOT contains(hay, x)), ',') AS numbers_missing, array_to_string(list_filter(i, lambda x: NOT contains(hay, upper(x))), ',') AS identifiers_missing FROM d",
+)
+def i7_traced_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn as an answer, with the turn before it as its evidence."""
+    c = t(spark, sf_dir, "conversations")
+    before = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("evidence"))
+    names = ("numbers", "identifiers", "numbers_missing", "identifiers_missing")
+    found = grounding.traced(F.col("text"), F.col("evidence"))
+    return c.join(before, ["conv_id", "turn"]).select("conv_id", "turn", *[F.array_join(x, ",").alias(n) for n, x in zip(names, found)])

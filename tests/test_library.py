@@ -141,3 +141,17 @@ def test_queries_without_sql(spark):
     span = library.p10_agreement_interval(spark, "/root/testdata/sf0.01").collect()
     point = {r["lang"]: r["cohen_kappa"] for r in library.p10_agreement_by_language(spark, "/root/testdata/sf0.01").collect()}
     assert {r["lang"] for r in span} == set(point) and all(r["kappa_low"] <= point[r["lang"]] <= r["kappa_high"] for r in span)
+
+
+def test_values_of_an_answer_are_traced(spark):
+    from orefall.operators import grounding
+
+    rows = [
+        ("Total **1,234,567** of 12.5 [12] and 8 人, 3, 12.5; PRJ-2026-0142 by SLA, sla v2.3.1 Sla", "we had 1234567 and 8 `sla`\nprj-2026-0142"),
+        (None, "x"), ("[7] no values here", None), ("ABC and 77", None),
+    ]
+    got = [list(r) for r in spark.createDataFrame(rows, "a string, e string").select(*grounding.traced(F.col("a"), F.col("e"))).collect()]
+    numbers, names, no_number, no_name = got[0]
+    assert numbers[:3] == ["1234567", "12.5", "8"] and "12" not in numbers and "3" not in numbers and names == ["PRJ-2026-0142", "SLA", "v2.3.1"]
+    assert "12.5" in no_number and not {"1234567", "8"} & set(no_number) and no_name == ["v2.3.1"]
+    assert got[1:] == [[[], [], [], []], [[], [], [], []], [["77"], ["ABC"], ["77"], ["ABC"]]]
