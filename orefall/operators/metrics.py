@@ -71,7 +71,8 @@ def calibrate(rows: DataFrame, score: str = "score", answerable: str = "answerab
     """The threshold below which most unanswerable questions and no answerable one falls; of equal ones the highest.
 
     No threshold over the least answerable score is allowed, so that only the distinct scores below it matter, and the midpoint
-    between that score and the greatest one below it catches all that any midpoint can catch: two aggregates decide.
+    between that score and the greatest one below it catches all that any midpoint can catch: two aggregates decide. Without an answerable
+    question there is no threshold.
     """
     low = rows.agg(F.min(F.when(F.col(answerable), F.col(score))).alias("floor"))
     below = rows.crossJoin(F.broadcast(low)).where(F.col(score) < F.col("floor"))  # one row

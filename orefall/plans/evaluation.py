@@ -238,10 +238,10 @@ def p6_threshold_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.calibrate(rows)
 
 
-@register("p6_threshold_found", "WITH r AS (SELECT p_retailprice AS score, p_size > 3 AND p_retailprice > 920 AS ok FROM part), m AS (SELECT (s + lead(s) OVER (ORDER BY s)) / 2 AS threshold FROM (SELECT DISTINCT score AS s FROM r)), c AS (SELECT threshold, count(*) FILTER (NOT ok AND score < threshold) AS caught, count(*) FILTER (ok AND score < threshold) AS wrong FROM m, r WHERE threshold IS NOT NULL GROUP BY 1) SELECT caught, threshold FROM c WHERE wrong = 0 AND caught > 0 ORDER BY caught DESC, threshold DESC LIMIT 1")
+@register("p6_threshold_found", "WITH r AS (SELECT p_retailprice AS score, p_size > 3 AND p_retailprice > 905 AS ok FROM part), m AS (SELECT (s + lead(s) OVER (ORDER BY s)) / 2 AS threshold FROM (SELECT DISTINCT score AS s FROM r)), c AS (SELECT threshold, count(*) FILTER (NOT ok AND score < threshold) AS caught, count(*) FILTER (ok AND score < threshold) AS wrong FROM m, r WHERE threshold IS NOT NULL GROUP BY 1) SELECT caught, threshold FROM c WHERE wrong = 0 AND caught > 0 ORDER BY caught DESC, threshold DESC LIMIT 1")
 def p6_threshold_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As p6_threshold_calibration, on scores of which some lie below all that are answerable."""
-    rows = t(spark, sf_dir, "part").select(F.col("p_retailprice").alias("score"), ((F.col("p_size") > 3) & (F.col("p_retailprice") > 920)).alias("answerable"))
+    rows = t(spark, sf_dir, "part").select(F.col("p_retailprice").alias("score"), ((F.col("p_size") > 3) & (F.col("p_retailprice") > 905)).alias("answerable"))
     return metrics.calibrate(rows)
 
 

@@ -148,7 +148,7 @@ def p9_judge_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     "WITH p AS (SELECT lang, quality AS a, 1 - toxic AS b, count(*) AS n FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY ALL), "
     "s AS (SELECT lang, sum(n) AS n, sum(CASE WHEN a = b THEN n ELSE 0 END) AS same FROM p GROUP BY lang), "
     "c AS (SELECT lang, sum(x * y)::DOUBLE AS lr FROM (SELECT lang, a AS v, sum(n) AS x FROM p GROUP BY ALL) JOIN (SELECT lang, b AS v, sum(n) AS y FROM p GROUP BY ALL) USING (lang, v) GROUP BY lang) "
-    "SELECT lang, n::BIGINT AS n, round(same / n, 6) AS exact_agreement, round((same / n - lr / (n::DOUBLE * n)) / (1 - lr / (n::DOUBLE * n)), 6) AS cohen_kappa FROM s JOIN c USING (lang)",
+    "SELECT lang, n::BIGINT AS n, round(same / n, 6) AS exact_agreement, CASE WHEN coalesce(lr, 0) / (n::DOUBLE * n) < 1 THEN round((same / n - coalesce(lr, 0) / (n::DOUBLE * n)) / (1 - coalesce(lr, 0) / (n::DOUBLE * n)), 6) END AS cohen_kappa FROM s LEFT JOIN c USING (lang)",
 )
 def p10_agreement_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = t(spark, sf_dir, "labels").join(t(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").withColumn("fine", 1 - F.col("toxic"))
