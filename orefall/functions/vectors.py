@@ -36,5 +36,21 @@ def truncated(v: Column, n: int) -> Column:
     return unit(F.slice(whole, 1, n))
 
 
+def native(v: Column, n: int | None = None) -> Column:
+    """v at unit length; with n, a vector of another size is an error."""
+    if n is None:
+        return unit(v)
+    return unit(F.when(F.size(v) == n, v).otherwise(F.raise_error(F.lit(f"vector doesn't have {n} dimensions")).cast("array<double>")))
+
+
+def transformed(v: Column, variant: str, n: int | None = None) -> Column:
+    """native_l2 or truncate_l2; the second needs n, and no vector is ever padded."""
+    if variant not in ("native_l2", "truncate_l2"):
+        raise ValueError(f"unknown variant {variant!r}")
+    if variant == "truncate_l2" and n is None:
+        raise ValueError("truncate_l2 needs a number of dimensions")
+    return native(v, n) if variant == "native_l2" else truncated(v, n)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))

@@ -38,6 +38,20 @@ def describe(tables: dict[str, DataFrame], most: int = MOST_VALUES, longest: int
     return columns.join(held, ["table", "column"], "left").select("table", "position", "column", "type", "choices")
 
 
+def listing(tables: dict[str, DataFrame], call: int = 1, most: int | None = None) -> DataFrame:
+    """(evidence_id, location, snippet): what a caller can ask of, one table a row in order of name, as evidence of a call.
+
+    Rows are counted by one aggregate for each table, which reads no column.
+    """
+    parts = []
+    for i, name in enumerate(sorted(tables)[:most], start=1):
+        about = F.concat(F.lit(f"{name}: "), F.count("*"), F.lit(" rows, columns " + ", ".join(tables[name].columns)))
+        parts.append(tables[name].agg(about.alias("snippet")).select(F.lit(f"E{call}.{i}").alias("evidence_id"), F.lit(name).alias("location"), "snippet"))
+    if not parts:
+        raise ValueError("no table to list")
+    return reduce(DataFrame.unionByName, parts)
+
+
 def index(held: DataFrame) -> DataFrame:
     """(word, table, column, value, of): for each word of a value where it occurs, and how many distinct words the value has."""
     w = F.array_distinct(words(F.col("value")))

@@ -103,6 +103,10 @@ class Retriever:
         arms = self._arms(base, queries, o, filtered)
         return arms, fusion.rrf(arms, tie="keyword" if "keyword" in arms else None) if len(arms) > 1 else next(iter(arms.values()))
 
+    def arms(self, queries: DataFrame, o: Options = Options()) -> dict[str, DataFrame]:
+        """The candidates of the mode's arms by name, dense and keyword, before they are fused."""
+        return self._arms(scoped(self.nodes, o.filename, o.source), queries, o)
+
     def plan(self, queries: DataFrame, o: Options = Options()) -> DataFrame:
         """(query_id, node_id, score, rank, filename, content): the evidence of every question.
 
