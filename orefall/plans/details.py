@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from orefall.config import User
 from orefall.functions import text as X
-from orefall.operators import lexical, metrics, providers, wiki
+from orefall.operators import graph, lexical, metrics, providers, wiki
 from orefall.operators.access import visible
 from orefall.plans.evaluation import RELEVANT, RUNS, _ranked, runs
 from orefall.plans.registry import BM25, DENSE, NODES, QUERY_SET, SEEN, TOKENS, nodes, query_set, register, seen_nodes, t, vectors
@@ -223,7 +223,7 @@ def j23_graph_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities near a question, then two hops of the graph; how many nodes each question reaches."""
     e = vectors(spark, sf_dir).select(F.col("node_id").alias("a"), (F.col("label") + 100000).alias("b")).distinct()
     hop = _dense(spark, sf_dir).where("rank <= 3").join(e, F.col("node_id") == F.col("a")).select("query_id", "b").distinct()
-    return hop.join(e, "b").select("query_id", "a").distinct().groupBy("query_id").agg(F.count("*").alias("reached"))
+    return graph.reached(hop, e)
 
 
 @register("l3_catalogue_as_evidence", "SELECT 'E1.' || row_number() OVER (ORDER BY n_name) AS evidence_id, n_name AS snippet FROM nation")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orefall.operators import dense
+from orefall.operators import dense, graph
 
 
 def _vectors(spark, n, seed=3, copies=1):
@@ -49,3 +49,15 @@ def test_dense_search_keeps_queries_and_vectors_as_rows(spark, monkeypatch):
     plans = [d._jdf.queryExecution().executedPlan().toString() for d in (dense.exact(q, v, 3), near)]
     assert all("FlatMapCoGroupsInArrow" in p for p in plans)
     assert "zip_with" not in plans[1].lower()  # no cosine of one pair at a time over joined rows
+
+
+def test_reached_nodes_are_counted_by_their_sets(spark):
+    edges = [(a, a % 3) for a in range(40)] + [(a, 7) for a in range(0, 40, 4)] + [(None, 1), (5, None)]
+    e = spark.createDataFrame(edges, "a long, b long")
+    front = spark.createDataFrame([(1, 0), (1, 7), (1, 7), (2, 1), (3, 9), (4, None)], "query_id long, b long")
+    got = {r["query_id"]: r["reached"] for r in graph.reached(front, e).collect()}
+    asked = {1: {0, 7}, 2: {1}}
+    assert got == {q: len({a for a, b in edges if b in bs}) for q, bs in asked.items()}
+    big = spark.range(200_000).select(F.col("id").alias("a"), F.lit(1).cast("long").alias("b"))
+    many = spark.range(20_000).select(F.col("id").alias("query_id"), F.lit(1).cast("long").alias("b"))
+    assert graph.reached(many, big).agg(F.min("reached")).first()[0] == 200_000  # four thousand million pairs
