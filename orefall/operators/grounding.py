@@ -110,6 +110,6 @@ def identifiers_said(text: Column) -> Column:
 
 def traced(answer: Column, evidence: Column) -> tuple[Column, Column, Column, Column]:
     """Numbers and identifiers of an answer, and those of each that no evidence (one text of all) holds. Sums of evidence count as missing."""
-    hay = F.upper(F.replace(unmarked(evidence), F.lit(","), F.lit("")))
+    hay = X.upper(F.replace(unmarked(evidence), F.lit(","), F.lit("")))
     numbers, names = numbers_said(answer), identifiers_said(answer)
-    return numbers, names, F.filter(numbers, lambda x: ~F.contains(hay, x)), F.filter(names, lambda x: ~F.contains(hay, F.upper(x)))
+    return numbers, names, F.filter(numbers, lambda x: ~F.contains(hay, x)), F.filter(names, lambda x: ~F.contains(hay, X.upper(x)))

@@ -331,6 +331,6 @@ def n4_truncated_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def n9_string_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = t(spark, sf_dir, "conversations")
     a = c.where("role = 'assistant'").select("conv_id", "turn", F.split("text", " ").alias("w"))
-    u = c.select(F.col("conv_id").alias("k"), (F.col("turn") + 1).alias("n"), F.upper("text").alias("p"))
+    u = c.select(F.col("conv_id").alias("k"), (F.col("turn") + 1).alias("n"), X.upper(F.col("text")).alias("p"))
     rows = a.join(u, (F.col("conv_id") == F.col("k")) & (F.col("turn") == F.col("n")))
-    return rows.select("conv_id", "turn", F.round(F.size(F.filter("w", lambda x: F.contains(F.col("p"), F.upper(x)))) / F.size("w"), 6).alias("share"))
+    return rows.select("conv_id", "turn", F.round(F.size(F.filter("w", lambda x: F.contains(F.col("p"), X.upper(x)))) / F.size("w"), 6).alias("share"))

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from orefall.functions import text
 from orefall.operators import dense, graph
 
 
@@ -61,3 +62,21 @@ def test_reached_nodes_are_counted_by_their_sets(spark):
     big = spark.range(200_000).select(F.col("id").alias("a"), F.lit(1).cast("long").alias("b"))
     many = spark.range(20_000).select(F.col("id").alias("query_id"), F.lit(1).cast("long").alias("b"))
     assert graph.reached(many, big).agg(F.min("reached")).first()[0] == 200_000  # four thousand million pairs
+
+
+def test_upper_case_keeps_one_character_one(spark, tmp_path):
+    import duckdb
+
+    from orefall.plans import catalog
+
+    texts = ["Straße SS", "ﬁne FI ﬁ", "ᾳ ᾼ ΑΙ ΐ", "ŉ ǰ É é ı", "SS", "gruß"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(text.upper(F.col("t"))).collect()] == [duckdb.execute("select upper(?)", [t]).fetchall()[0][0] for t in texts]
+    turns = [(1, 0, "user", "Die Straße am Fluß"), (1, 1, "assistant", "SS FI Straße STRASSE straẞe fluß"), (2, 0, "user", "ﬁn"), (2, 1, "assistant", "FI ﬁ")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    for name in ("i7_traced_values", "n9_string_grounding"):
+        got = catalog.QUERIES[name](spark, str(tmp_path))
+        want = con.execute(f"select {', '.join(got.columns)} from ({catalog.ORACLES[name]})").fetchall()
+        assert sorted(map(tuple, got.collect())) == sorted(want)
