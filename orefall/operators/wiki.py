@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from orefall.functions.text import slug, title
 from orefall.operators import lexical
+from orefall.operators.cells import folder
 
 PLAN = "array<struct<title: string, summary: string, related: array<string>>>"
 
@@ -50,6 +51,5 @@ def lint(page: DataFrame, docs: DataFrame, links: DataFrame) -> DataFrame:
 def search(page: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
     """(query_id, document_id, score, rank, reference): BM25 over all tokens with the title counted twice; W1 is the best."""
     text = page.withColumn("body", F.concat_ws(" ", "title", "title", "content"))
-    scored = lexical.bm25(lexical.query_terms(queries, all_tokens=True), lexical.postings(text, "document_id", "body", True), lexical.stats(text, "document_id", "body"), "document_id")
-    best = lexical.top(scored.withColumn("sort", F.round("score", 9)), k, "document_id", "sort")
+    best = lexical.search(queries, text, k, folder(page.sparkSession, "counts"), True, "document_id", "body")
     return best.select("query_id", "document_id", F.round("score", 6).alias("score"), "rank", F.concat(F.lit("W"), "rank").alias("reference"))

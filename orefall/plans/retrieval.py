@@ -14,6 +14,7 @@ from orefall.functions.text import content_hash, latin_tokens, tokens
 from orefall.functions.vectors import cosine, doubles, dot, norm, truncated
 from orefall.operators import dense, fusion, lexical
 from orefall.operators.access import business, scoped, visible
+from orefall.operators.cells import folder
 from orefall.plans.index import Index
 from orefall.plans.registry import BM25, CALLER, COLLAPSED, DENSE, NODES, QUERY_SET, SEEN, TOKENS, asked_vectors, nodes, query_set, register, seen_nodes, t, vectors
 
@@ -63,9 +64,8 @@ class Retriever:
         return cls(index.part("nodes"), user, index)
 
     def _scored(self, base: DataFrame, queries: DataFrame, o: Options, filtered: bool) -> DataFrame:
+        """From the stored index's postings and lengths."""
         terms = lexical.query_terms(queries)
-        if self.index is None:
-            return lexical.bm25(terms, lexical.postings(base), lexical.stats(base))
 
         def part(df: DataFrame) -> DataFrame:
             rows = scoped(visible(df, self.user), o.filename, o.source)
@@ -92,6 +92,9 @@ class Retriever:
         arms = {}
         if o.mode != "vector" and self.index is not None and not (filtered or o.filename or o.source):
             arms["keyword"] = self.keyword(queries, o.fetch).withColumn("rank", F.col("rank").cast("long"))
+        elif o.mode != "vector" and self.index is None:
+            found = lexical.search(queries, base, o.fetch, folder(base.sparkSession, "counts"))
+            arms["keyword"] = found.select("query_id", "node_id", "score", F.col("rank").cast("long").alias("rank"))
         elif o.mode != "vector":
             scored = self._scored(base, queries, o, filtered)
             arms["keyword"] = lexical.top(scored.withColumn("sort", F.round("score", 9)), o.fetch, score="sort").select("query_id", "node_id", "score", F.col("rank").cast("long").alias("rank"))
@@ -181,8 +184,7 @@ def e2_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _keyword(spark: SparkSession, sf_dir: str, k: int = 40) -> DataFrame:
     base = seen_nodes(spark, sf_dir)
-    scored = lexical.bm25(lexical.query_terms(query_set(spark, sf_dir)), lexical.postings(base), lexical.stats(base))
-    return lexical.top(scored.withColumn("sort", F.round("score", 9)), k, score="sort").withColumn("rank", F.col("rank").cast("long"))
+    return lexical.search(query_set(spark, sf_dir), base, k, folder(spark, "counts")).withColumn("rank", F.col("rank").cast("long"))
 
 
 @register("j5_bm25_visible", f"WITH {SEEN}, {QUERY_SET}, {BM25} SELECT query_id, node_id, round(score, 6) AS score, rank FROM keyword")
@@ -265,8 +267,7 @@ def j11_multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = t(spark, sf_dir, "benchmark").select("item_id", w.alias("w"), F.explode(F.array(F.lit(0), F.lit(1))).alias("v"))
     q = both.select((F.col("item_id") * 10 + F.col("v")).alias("query_id"), F.array_join(F.filter("w", lambda x, i: (F.col("v") == 0) | (i % 2 == 0)), " ").alias("text"))
     base = seen_nodes(spark, sf_dir)
-    scored = lexical.bm25(lexical.query_terms(q), lexical.postings(base), lexical.stats(base))
-    k = lexical.top(scored.withColumn("sort", F.round("score", 9)), 40, score="sort")
+    k = lexical.search(q, base, 40, folder(spark, "counts"))
     return k.groupBy(F.expr("query_id div 10").alias("query_id"), "node_id").agg(F.round(F.sum(F.lit(1.0) / (60 + F.col("rank"))), 9).alias("score"))
 
 
@@ -324,8 +325,7 @@ def i10_vector_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j22_wiki_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages whose title counts twice, all tokens indexed; the three best."""
     pages = seen_nodes(spark, sf_dir).withColumn("content", F.concat_ws(" ", "filename", "filename", "content"))
-    scored = lexical.bm25(lexical.query_terms(query_set(spark, sf_dir), all_tokens=True), lexical.postings(pages, all_tokens=True), lexical.stats(pages))
-    return lexical.top(scored.withColumn("sort", F.round("score", 9)), 3, score="sort").select("query_id", "node_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return lexical.search(query_set(spark, sf_dir), pages, 3, folder(spark, "counts"), all_tokens=True).select("query_id", "node_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @register("f4_chunk_to_document", f"WITH {DENSE} SELECT query_id, doc, row_number() OVER (PARTITION BY query_id ORDER BY r, doc) AS rank FROM (SELECT query_id, node_id // 5 AS doc, min(rank) AS r FROM dense GROUP BY ALL)")

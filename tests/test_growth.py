@@ -1,11 +1,13 @@
 """Steps whose size once grew faster than their input, and values that once differed from SQL."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from orefall.functions import text
-from orefall.operators import dense, graph
+from orefall.operators import dense, graph, lexical
 
 
 def _vectors(spark, n, seed=3, copies=1):
@@ -80,3 +82,33 @@ def test_upper_case_keeps_one_character_one(spark, tmp_path):
         got = catalog.QUERIES[name](spark, str(tmp_path))
         want = con.execute(f"select {', '.join(got.columns)} from ({catalog.ORACLES[name]})").fetchall()
         assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("step", [3, 1 << 21])
+def test_search_of_texts_equals_the_index(spark, tmp_path, monkeypatch, step):
+    monkeypatch.setattr(lexical, "STEP", step)
+    words = ["alpha", "beta-1", "gamma", "研发", "delta_x", "omega"]
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(words, rng.integers(0, 9))) for _ in range(40)] + ["alpha gamma"] * 30 + [None, ""]
+    nodes = spark.createDataFrame(list(enumerate(texts)), "node_id long, content string").coalesce(2)
+    q = spark.createDataFrame([(1, "alpha gamma alpha"), (2, "beta 研发"), (3, None), (4, "none")], "query_id long, text string")
+    key = lambda rows: sorted((r["query_id"], r["node_id"], round(r["score"], 9)) for r in rows.collect())
+    for every in (True, False):
+        want = lexical.bm25(lexical.query_terms(q, all_tokens=every), lexical.postings(nodes, all_tokens=every), lexical.stats(nodes))
+        assert key(lexical.search(q, nodes, None, str(tmp_path / f"a{every}"), every)) == key(want) != []
+        best = lexical.search(q, nodes, 4, str(tmp_path / f"b{every}"), every)
+        assert key(best) == key(lexical.top(want.withColumn("sort", F.round("score", 9)), 4, score="sort"))
+    twice = nodes.union(nodes.where("node_id < 5"))  # keys that repeat
+    want = lexical.bm25(lexical.query_terms(q), lexical.postings(twice), lexical.stats(twice))
+    assert key(lexical.search(q, twice, None, str(tmp_path / "c"))) == key(want)
+    assert lexical.search(q.where("query_id = 3"), nodes, 4, str(tmp_path / "d")).count() == 0
+
+
+def test_keyword_scores_are_summed_where_their_nodes_are(spark, tmp_path):
+    """Pairs of queries and postings, many times the postings, were shuffled to be summed."""
+    nodes = spark.range(50).select(F.col("id").alias("node_id"), F.lit("alpha beta gamma").alias("content"))
+    q = spark.createDataFrame([(i, "alpha beta gamma") for i in range(9)], "query_id long, text string")
+    plan = lexical.search(q, nodes, None, str(tmp_path / "a"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
+    plan = lexical.bm25(lexical.query_terms(q), lexical.postings(nodes), lexical.stats(nodes))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(query_id#\d+L?, node_id", plan)
