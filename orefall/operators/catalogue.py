@@ -12,6 +12,9 @@ from orefall.operators.inference import enum_values
 #: A text column with more values, or a longer one, is no list of choices and is described by name and type alone (fixed values).
 MOST_VALUES, LONGEST = 12, 40
 
+#: Rows of an index of values that every task holds at most; a larger one is joined by word.
+HELD_WORDS = 100_000
+
 
 def words(text: Column) -> Column:
     """Lower-cased runs of letters and digits."""
@@ -59,7 +62,12 @@ def index(held: DataFrame) -> DataFrame:
 
 
 def link(questions: DataFrame, inverted: DataFrame, text: str = "text") -> DataFrame:
-    """(query_id, table, column, value): values all of whose words a question has. Only the words of questions are looked up."""
+    """(query_id, table, column, value): values all of whose words a question has. Only the words of questions are looked up.
+
+    A word that many questions have would gather them in one task, so that an index of at most HELD_WORDS rows goes to the questions.
+    """
     asked = questions.select("query_id", F.explode(F.array_distinct(words(F.col(text)))).alias("word"))
+    if inverted.limit(HELD_WORDS + 1).count() <= HELD_WORDS:
+        inverted = F.broadcast(inverted)
     hits = asked.join(inverted, "word").groupBy("query_id", "table", "column", "value").agg(F.count("*").alias("n"), F.first("of").alias("of"))
     return hits.where("n = of").select("query_id", "table", "column", "value")
