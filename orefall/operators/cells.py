@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -17,10 +18,10 @@ from orefall.operators.lexical import top
 PER_CELL, COARSE, FINE = 64, 4096, 2048
 #: Vectors that coarse centres are fitted on at most, and vectors for each fine centre; those whose keys hash lowest.
 SAMPLE, SAMPLE_PER_CELL = 20_000, 16
-#: Vectors of one cell, and queries at it, that meet in one matrix product at most, about.
-VECTORS, QUERIES = 4096, 1024
-#: Coarse cells that a query looks into at least, and queries that recall is measured with.
-SPREAD, MEASURED = 64, 64
+#: Vectors, and queries, that meet in one task's group at most, about, and queries that one step in it holds.
+VECTORS, QUERIES, STEP = 4096, 4096, 256
+#: Steps of distance, from 0 to 2, by which the nearest cells are counted, and queries that recall is measured with.
+BINS, MEASURED = 1024, 64
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -60,13 +61,16 @@ def _distance(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Cells:
-    """coarse: centres, at most COARSE of them. radius: of each, the largest distance of its vectors. The tables lie in `path`.
+    """coarse: centres, at most COARSE of them. radius, reach, size: of each, the largest distance of its vectors and of its fine
+    centres, and the number of its vectors. The tables lie in `path`.
 
     fine: coarse, fine, centre, radius, n. members: key, v (unit length), coarse, fine, part; a vector without length or null is in none.
     """
 
     coarse: np.ndarray
     radius: np.ndarray
+    reach: np.ndarray
+    size: np.ndarray
     fine: DataFrame
     members: DataFrame
     count: int
@@ -98,9 +102,9 @@ def build(vectors: DataFrame, path: str, key: str = "node_id", vector: str = "em
     rows.mapInArrow(placed, f"{key} {kind}, v array<double>, coarse int, far double").write.parquet(f"{path}/placed")
     at = spark.read.parquet(f"{path}/placed")
     sizes = at.groupBy("coarse").agg(F.count("*").alias("size"), F.max("far").alias("radius"))  # a row for each coarse cell
-    radius = np.zeros(len(coarse))
+    radius, reach, size = np.zeros(len(coarse)), np.zeros(len(coarse)), np.zeros(len(coarse), dtype=np.int64)
     for r in sizes.collect():
-        radius[r["coarse"]] = r["radius"]
+        radius[r["coarse"]], size[r["coarse"]] = r["radius"], r["size"]
     wanted = F.least(F.lit(FINE), F.ceil(F.col("size") / per_cell)).cast("int")
     chance = F.pmod(F.xxhash64(key, F.lit("fine")), F.lit(1 << 30)) / float(1 << 30)
     sample = at.join(F.broadcast(sizes.withColumn("k", wanted)), "coarse").where(chance * F.col("size") < F.col("k") * SAMPLE_PER_CELL)
@@ -133,56 +137,66 @@ def build(vectors: DataFrame, path: str, key: str = "node_id", vector: str = "em
     done = spark.read.parquet(f"{path}/assigned")
     stats = done.groupBy("coarse", "fine").agg(F.count("*").alias("n"), F.max("far").alias("radius"))
     own = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(coarse)], "coarse int, own array<double>")
-    named = stats.join(centres, ["coarse", "fine"], "left").join(own, "coarse").withColumn("centre", F.coalesce("centre", "own")).drop("own")
-    named.write.parquet(f"{path}/fine")
+    named = stats.join(centres, ["coarse", "fine"], "left").join(own, "coarse").withColumn("centre", F.coalesce("centre", "own"))
+    away = F.sqrt(F.aggregate(F.zip_with("centre", "own", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x))
+    named.withColumn("away", away).drop("own").write.parquet(f"{path}/fine")
     parts = F.greatest(F.lit(1), F.ceil(F.col("n") / VECTORS))
     done.drop("far").join(stats.select("coarse", "fine", "n"), ["coarse", "fine"]).withColumn("part", F.pmod(F.xxhash64(key), parts).cast("int")).drop("n").repartition("coarse").sortWithinPartitions("coarse", "fine").write.parquet(f"{path}/members")
     fine = spark.read.parquet(f"{path}/fine")
-    return Cells(coarse, radius, fine, spark.read.parquet(f"{path}/members"), fine.count(), key)
+    for r in fine.groupBy("coarse").agg(F.max("away").alias("away")).collect():  # a row for each coarse cell
+        reach[r["coarse"]] = r["away"]
+    return Cells(coarse, radius, reach, size, fine, spark.read.parquet(f"{path}/members"), fine.count(), key)
 
 
-def _near_coarse(queries: DataFrame, cells: Cells, vector: str, most: int) -> DataFrame:
-    """(query_id, q, coarse) for the `most` nearest coarse cells of every query, which stays a row."""
-    kind, centres = queries.schema["query_id"].dataType.simpleString(), cells.coarse
+def _rows(queries: DataFrame, vector: str) -> DataFrame:
+    return queries.select("query_id", doubles(F.col(vector)).alias("v")).where(F.col("v").isNotNull())
 
-    def run(batches):
-        for b in batches:
-            if b.num_rows:
-                x = unit(matrix(b.column(1)))
-                near = np.argsort(_distance(x, centres), axis=1, kind="stable")[:, :most]
-                at = np.repeat(np.arange(len(x)), near.shape[1])
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), lists(x[at]), pa.array(near.ravel(), pa.int32())], ["query_id", "q", "coarse"])
 
-    rows = queries.select("query_id", doubles(F.col(vector)).alias("v")).where(F.col("v").isNotNull())
-    return rows.mapInArrow(run, f"query_id {kind}, q array<double>, coarse int")
+def _parts(rows: int, size: int) -> int:
+    return -(-rows // size) or 1
 
 
-def _fine_of(asked: DataFrame, cells: Cells, best: int | None) -> DataFrame:
-    """(query_id, q, coarse, fine, far, radius): fine cells of the coarse ones asked, of each the `best` nearest or all.
+def _fars(queries: DataFrame, cells: Cells, vector: str, made, kind: str) -> DataFrame:
+    """What `made` gives for the distances of some queries to some fine centres, until every query has met every centre.
 
-    asked may have a column kth; then only cells that can hold a vector of that score or more come back.
+    Both are rows, dealt into parts of bounded size; made(query_id, fine rows, distances) holds STEP queries at a time.
     """
-    kind, bounded = asked.schema["query_id"].dataType.simpleString(), "kth" in asked.columns
-    heat = asked.groupBy("coarse").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("_s"))
-    dealt = asked.join(heat, "coarse").withColumn("salt", F.pmod(F.xxhash64("query_id"), F.col("_s")).cast("int")).drop("_s")
-    copies = cells.fine.join(heat, "coarse").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("_s") - 1))).drop("_s")
+    asked = _rows(queries, vector)
+    qs, fs = _parts(asked.count(), QUERIES), _parts(cells.count, VECTORS)
+    asked = asked.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(qs)).cast("int")).withColumn("_f", F.explode(F.sequence(F.lit(0), F.lit(fs - 1))))
+    held = cells.fine.select("coarse", "fine", "centre", F.pmod(F.xxhash64("coarse", "fine"), F.lit(fs)).cast("int").alias("_f")).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(qs - 1))))
 
     def run(q: pa.Table, c: pa.Table) -> pa.Table:
-        if not len(q) or not len(c):
-            rows, cols, d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 0))
-        else:
-            d = _distance(matrix(q.column("q")), matrix(c.column("centre")))
-            if bounded:
-                reach = _most(d, c.column("radius").to_numpy()[None, :]) >= q.column("kth").to_numpy()[:, None] - 1e-9
-                rows, cols = np.nonzero(reach)
-            else:
-                cols = np.argsort(d, axis=1, kind="stable")[:, : best or d.shape[1]].ravel()
-                rows = np.repeat(np.arange(len(q)), len(cols) // len(q))
-        r, k = pa.array(rows), pa.array(cols)
-        return pa.table({"query_id": q.column("query_id").take(r), "q": q.column("q").take(r), "coarse": q.column("coarse").take(r), "fine": c.column("fine").take(k), "far": pa.array(d[rows, cols] if len(rows) else np.zeros(0), pa.float64())})
-
-    both = dealt.groupBy("coarse", "salt").cogroup(copies.select("coarse", "salt", "fine", "centre", "radius").groupBy("coarse", "salt"))
-    return both.applyInArrow(run, f"query_id {kind}, q array<double>, coarse int, fine int, far double")
+        x, centres = unit(matrix(q.column("v"))), matrix(c.column("centre"))
+        steps = range(0, len(q), STEP) if len(c) else []
+        found = [made(q.column("query_id").slice(at, STEP), c, _distance(x[at : at + STEP], centres)) for at in steps]
+        return pa.concat_tables(found) if found else made(q.column("query_id").slice(0, 0), c, np.zeros((0, len(c))))
+
+    both = asked.groupBy("_q", "_f").cogroup(held.groupBy("_q", "_f"))
+    return both.applyInArrow(run, f"query_id {queries.schema['query_id'].dataType.simpleString()}, {kind}")
+
+
+def _limits(queries: DataFrame, cells: Cells, vector: str, share: float) -> DataFrame:
+    """(query_id, limit): the distance within which the nearest `share` of all fine centres lie, up to the next of BINS steps."""
+    probes = max(1, round(cells.count * share))
+
+    def counts(ids, c, d):
+        at = np.minimum((d * (BINS / 2)).astype(np.int64), BINS - 1) + np.arange(len(d))[:, None] * BINS
+        n = np.bincount(at.ravel(), minlength=len(d) * BINS)
+        return pa.table({"query_id": ids, "bins": pa.ListArray.from_arrays(pa.array(np.arange(len(d) + 1) * BINS, pa.int32()), pa.array(n, pa.int32()))})
+
+    def run(t: pa.Table) -> pa.Table:
+        ids = t.column("query_id").combine_chunks().dictionary_encode()
+        total = np.zeros((len(ids.dictionary), BINS), dtype=np.int64)
+        np.add.at(total, ids.indices.to_numpy(), matrix(t.column("bins")))
+        upto = total.cumsum(axis=1)
+        last = (upto >= np.minimum(probes, upto[:, -1:])).argmax(axis=1)
+        limit = np.where(last == BINS - 1, np.inf, (last + 1) / (BINS / 2))
+        return pa.table({"query_id": ids.dictionary, "limit": pa.array(limit)})
+
+    kind = queries.schema["query_id"].dataType.simpleString()
+    few = F.pmod(F.xxhash64("query_id"), F.lit(_parts(queries.count(), STEP))).cast("int")
+    return _fars(queries, cells, vector, counts, "bins array<int>").groupBy(few.alias("_b")).applyInArrow(run, f"query_id {kind}, limit double")
 
 
 def _most(far: np.ndarray, radius: np.ndarray) -> np.ndarray:
@@ -190,38 +204,100 @@ def _most(far: np.ndarray, radius: np.ndarray) -> np.ndarray:
     return 1 - np.maximum(far - radius, 0) ** 2 / 2
 
 
-def _scores(chosen: DataFrame, cells: Cells, k: int) -> DataFrame:
-    """(query_id, key, score): the k best of each query in each part of a cell that was chosen for it, by matrix products."""
-    key, kind, qkind = cells.key, cells.members.schema[cells.key].dataType.simpleString(), chosen.schema["query_id"].dataType.simpleString()
-    there = cells.members.groupBy("coarse", "fine").agg(F.max("part").alias("_parts"))
-    heat = chosen.groupBy("coarse", "fine").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("_s")).join(there, ["coarse", "fine"])
-    asked = chosen.join(heat, ["coarse", "fine"]).withColumn("salt", F.pmod(F.xxhash64("query_id"), F.col("_s")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts"))))
-    held = cells.members.join(heat, ["coarse", "fine"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)))
-    by = ["coarse", "fine", "part", "salt"]
+def _tiles(cells: Cells) -> tuple[np.ndarray, np.ndarray, int]:
+    """Of each coarse cell its first tile and number of tiles, and how many there are: a tile holds about VECTORS vectors at most,
+    those of some small coarse cells or some fine cells of a large one."""
+    first, many = np.zeros(len(cells.size), dtype=np.int64), np.maximum(1, -(-cells.size // VECTORS))
+    at, held = 0, 0
+    for i, n in enumerate(cells.size):
+        if held and held + n > VECTORS:
+            at, held = at + 1, 0
+        first[i], held = at, held + n
+        if many[i] > 1:
+            at, held = at + many[i], 0
+    return first, many, int((first + many).max())
+
+
+def _scores(rows: DataFrame, cells: Cells, k: int, chosen) -> DataFrame:
+    """(query_id, key, score): the k best of each query in each tile that it meets, by matrix products.
+
+    rows: query_id, v, floor, limit. chosen(distances to coarse centres, floor, limit) marks the coarse cells that a query needs; of
+    the tiles with those it scores the fine cells that are within `limit` and can hold a vector of cosine `floor` or more. So no row
+    is made for a query and a fine cell, and a query's vector is copied once for each tile.
+    """
+    key, kind, qkind = cells.key, cells.members.schema[cells.key].dataType.simpleString(), rows.schema["query_id"].dataType.simpleString()
+    first, many, tiles = _tiles(cells)
+    coarse, at = cells.coarse, np.arange(tiles)
+    within = ((at >= first[:, None]) & (at < (first + many)[:, None])).astype(np.float32)
+    qs = _parts(rows.count(), QUERIES)
+
+    def dealt(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, STEP):
+                part = b.slice(i, STEP)
+                x, floor, limit = unit(matrix(part.column(1))), part.column(2).to_numpy(), part.column(3).to_numpy()
+                row, tile = np.nonzero(chosen(_distance(x, coarse), floor[:, None], limit[:, None]).astype(np.float32) @ within)
+                r = pa.array(row)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(r), lists(x[row]), part.column(2).take(r), part.column(3).take(r), pa.array(tile, pa.int32())], ["query_id", "q", "floor", "limit", "tile"])
+
+    asked = rows.select("query_id", "v", "floor", "limit").mapInArrow(dealt, f"query_id {qkind}, q array<double>, floor double, limit double, tile int")
+    asked = asked.withColumn("salt", F.pmod(F.xxhash64("query_id"), F.lit(qs)).cast("int"))  # the kind of the other side's: cogroup casts none
+    places = rows.sparkSession.createDataFrame([(i, int(a), int(n)) for i, (a, n) in enumerate(zip(first, many))], "coarse int, _first int, _many int")
+    code = (F.col("coarse") * FINE + F.col("fine")).alias("code")
+    members = cells.members.select(key, "v", F.lit(None).cast("double").alias("radius"), "coarse", "fine", "part")
+    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / VECTORS)).cast("int")
+    centres = cells.fine.select(F.lit(None).cast(kind).alias(key), F.col("centre").alias("v"), "radius", "coarse", "fine", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    tile = F.col("_first") + F.pmod(F.xxhash64("fine", "part"), F.col("_many")).cast("int")
+    held = members.unionByName(centres).join(F.broadcast(places), "coarse").select(key, "v", "radius", code, tile.alias("tile"), F.explode(F.sequence(F.lit(0), F.lit(qs - 1))).alias("salt"))
 
     def run(q: pa.Table, x: pa.Table) -> pa.Table:
-        ids, keys = q.column("query_id"), x.column(key)
-        if not len(q) or not len(x):
-            return pa.table({"query_id": ids.slice(0, 0), key: keys.slice(0, 0), "score": pa.array([], pa.float64())})
-        s = matrix(q.column("q")) @ matrix(x.column("v")).T
-        place = np.argsort(np.argsort(np.array(keys.to_pylist())))
-        order = np.lexsort((np.broadcast_to(place, s.shape), -np.round(s, 12)), axis=1)[:, :k]
-        return pa.table({"query_id": ids.take(pa.array(np.repeat(np.arange(len(q)), order.shape[1]))), key: keys.take(pa.array(order.ravel())), "score": pa.array(np.take_along_axis(s, order, axis=1).ravel())})
-
-    both = asked.select("query_id", "q", *by).groupBy(*by).cogroup(held.select(key, "v", *by).groupBy(*by))
+        ids, found = q.column("query_id"), []
+        if len(q) and len(x):
+            is_centre = x.column("radius").is_valid()
+            c, x = x.filter(is_centre), x.filter(pc.invert(is_centre)).sort_by(key)
+            codes, one = np.unique(c.column("code").to_numpy(), return_index=True)
+            centre, radius, v = matrix(c.column("v"))[one], c.column("radius").to_numpy()[one], matrix(x.column("v"))
+            own = np.searchsorted(codes, x.column("code").to_numpy())
+            asks, floor, limit = matrix(q.column("q")), q.column("floor").to_numpy(), q.column("limit").to_numpy()
+            for at in range(0, len(q) if len(x) else 0, STEP):
+                a, low = asks[at : at + STEP], floor[at : at + STEP, None]
+                d = _distance(a, centre)
+                able = (_most(d, radius[None, :]) >= low - 1e-9) & (d <= limit[at : at + STEP, None] + 1e-9)
+                held_ = np.flatnonzero(able.any(axis=0)[own])
+                if len(held_):
+                    row, col, score = _best(a, v if len(held_) == len(v) else v[held_], able[:, own[held_]], low, k)
+                    found.append((row + at, held_[col], score))
+        row, col, score = (np.concatenate(f) for f in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"query_id": ids.take(pa.array(row)), key: x.column(key).take(pa.array(col)), "score": pa.array(score)})
+
+    both = asked.groupBy("tile", "salt").cogroup(held.groupBy("tile", "salt"))
     return both.applyInArrow(run, f"query_id {qkind}, {key} {kind}, score double")
 
 
-def _probed(queries: DataFrame, cells: Cells, vector: str, share: float) -> DataFrame:
-    probes = max(1, round(cells.count * share))
-    spread = min(len(cells.coarse), max(SPREAD, round(len(cells.coarse) * min(1.0, 3 * share)) + 1))
-    fine = _fine_of(_near_coarse(queries, cells, vector, spread), cells, probes)
-    return top(fine.withColumn("_near", -F.col("far")).withColumn("_cell", F.col("coarse") * FINE + F.col("fine")), probes, "_cell", "_near").select("query_id", "q", "coarse", "fine")
+def _best(q: np.ndarray, x: np.ndarray, able: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of q, rows of x and cosine for the k best of every row of q among those that are able to reach `floor`; ties go to the earlier row of x.
+
+    A matrix product picks candidates; their cosines are added in order, so that equal vectors have equal ones.
+    """
+    s = np.where(able, q @ x.T, -np.inf)
+    near = s >= floor - 1e-9
+    if len(x) > k and near.sum() > 4 * k * len(q):
+        near &= s >= np.partition(s, len(x) - k, axis=1)[:, len(x) - k, None] - 1e-9
+    row, col = np.nonzero(near & able)
+    score = np.zeros(len(row))
+    for j in range(q.shape[1]):
+        score += q[row, j] * x[col, j]
+    order = np.lexsort((col, -score, row))
+    kept = order[np.arange(len(row)) - np.searchsorted(row, row) < k]
+    return row[kept], col[kept], score[kept]
 
 
 def approximate(queries: DataFrame, cells: Cells, k: int, share: float = 0.1, vector: str = "embedding") -> DataFrame:
-    """(query_id, key, score, rank): the k best among the vectors of the nearest `share` of all cells. queries: query_id, vector."""
-    return top(_scores(_probed(queries, cells, vector, share), cells, k), k, cells.key)
+    """(query_id, key, score, rank): the k best among the vectors of the nearest `share` of all cells, and of those that are as near to
+    within a step of BINS. queries: query_id, vector."""
+    reach = cells.reach[None, :]
+    rows = _rows(queries, vector).join(_limits(queries, cells, vector, share), "query_id").withColumn("floor", F.lit(-2.0))
+    return top(_scores(rows, cells, k, lambda d, floor, limit: d - reach <= limit + 1e-9), k, cells.key)
 
 
 def share_for(queries: DataFrame, cells: Cells, k: int, target: float = 0.9, vector: str = "embedding") -> float:
@@ -231,9 +307,14 @@ def share_for(queries: DataFrame, cells: Cells, k: int, target: float = 0.9, vec
     """
     few = queries.orderBy(F.xxhash64("query_id")).limit(MEASURED)
     true = exact(few, cells, k, vector=vector).select("query_id", cells.key).join(cells.members.select(cells.key, "coarse", "fine"), cells.key)
-    every = _fine_of(_near_coarse(few, cells, vector, len(cells.coarse)), cells, None)
+
+    def every(ids, c, d):
+        row, col = (pa.array(x.ravel()) for x in np.indices(d.shape))
+        return pa.table({"query_id": ids.take(row), "coarse": c.column("coarse").take(col), "fine": c.column("fine").take(col), "far": pa.array(d.ravel())})
+
     place = F.row_number().over(W.partitionBy("query_id").orderBy("far", "coarse", "fine"))
-    at = true.join(every.select("query_id", "coarse", "fine", place.alias("place")), ["query_id", "coarse", "fine"])
+    fars = _fars(few, cells, vector, every, "coarse int, fine int, far double").withColumn("place", place)
+    at = true.join(fars.select("query_id", "coarse", "fine", "place"), ["query_id", "coarse", "fine"])
     needed = sorted(r["place"] for r in at.select("place").collect())  # MEASURED times k numbers
     return min(1.0, needed[min(len(needed) - 1, int(np.ceil(len(needed) * target)))] / cells.count) if needed else 1.0
 
@@ -241,27 +322,22 @@ def share_for(queries: DataFrame, cells: Cells, k: int, target: float = 0.9, vec
 def exact(queries: DataFrame, cells: Cells, k: int, share: float = 0.1, vector: str = "embedding") -> DataFrame:
     """(query_id, key, score, rank): the k best of all vectors.
 
-    The nearest cells give a k-th score; then those other cells are read whose radius lets a vector reach it. Coarse cells are
-    judged by their radius before their fine ones are looked at.
+    The nearest coarse cells, with `share` of the vectors and k of them at least, give a k-th score; then all cells are read whose
+    radius lets a vector reach it. Coarse cells are judged by their radius before their fine ones are looked at.
     """
-    probed = _probed(queries, cells, vector, share)
-    ahead = top(_scores(probed, cells, k), k, cells.key)
-    kth = queries.select("query_id").join(ahead.where(F.col("rank") == k).select("query_id", F.col("score").alias("kth")), "query_id", "left")
-    bound = kth.select("query_id", F.coalesce("kth", F.lit(-2.0)).alias("kth"))
-    radius, centres, kind = cells.radius, cells.coarse, queries.schema["query_id"].dataType.simpleString()
-
-    def reached(batches):
-        for b in batches:
-            if b.num_rows:
-                x = unit(matrix(b.column(1)))
-                rows, cols = np.nonzero(_most(_distance(x, centres), radius[None, :]) >= b.column(2).to_numpy()[:, None] - 1e-9)
-                r = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(r), lists(x[rows]), pa.array(cols, pa.int32()), b.column(2).take(r)], ["query_id", "q", "coarse", "kth"])
-
-    rows = queries.select("query_id", doubles(F.col(vector)).alias("v")).where(F.col("v").isNotNull()).join(bound, "query_id")
-    able = rows.select("query_id", "v", "kth").mapInArrow(reached, f"query_id {kind}, q array<double>, coarse int, kth double")
-    rest = _fine_of(able, cells, None).join(probed.select("query_id", "coarse", "fine"), ["query_id", "coarse", "fine"], "left_anti")
-    return top(ahead.select("query_id", cells.key, "score").unionByName(_scores(rest.select("query_id", "q", "coarse", "fine"), cells, k)), k, cells.key)
+    size, radius, need = cells.size, cells.radius[None, :], max(k, share * cells.size.sum())
+
+    def nearest(d, floor, limit):
+        order = np.argsort(d, axis=1, kind="stable")
+        ahead = np.cumsum(size[order], axis=1) - size[order]
+        out = np.zeros(d.shape, dtype=bool)
+        np.put_along_axis(out, order, ahead < need, axis=1)
+        return out
+
+    free = _rows(queries, vector).withColumns({"floor": F.lit(-2.0), "limit": F.lit(float("inf"))})
+    ahead = top(_scores(free, cells, k, nearest), k, cells.key).where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
+    rows = free.join(ahead, "query_id", "left").select("query_id", "v", F.coalesce("kth", "floor").alias("floor"), "limit")
+    return top(_scores(rows, cells, k, lambda d, floor, limit: _most(d, radius) >= floor - 1e-9), k, cells.key)
 
 
 def folder(spark: SparkSession, label: str) -> str:

@@ -105,3 +105,44 @@ def test_no_query_reaches_the_driver(made, monkeypatch):
     monkeypatch.setattr(DataFrame, "collect", lambda self: pytest.fail("collected"))
     monkeypatch.setattr(DataFrame, "toPandas", lambda self: pytest.fail("collected"))
     assert cells.exact(asked, c, 3).schema.names == ["query_id", "node_id", "score", "rank"]
+
+
+@pytest.fixture()
+def many_partitions(spark):
+    put = {"spark.sql.shuffle.partitions": "37", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in put}
+    for k, v in put.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in was.items():
+        spark.conf.set(k, v)
+
+
+def test_queries_meet_tiles_and_no_row_holds_a_query_and_a_fine_cell(spark, many_partitions, tmp_path, monkeypatch):
+    """A row for each query and fine cell held the query's vector: without clusters these were many times the input."""
+    monkeypatch.setattr(cells, "VECTORS", 100)
+    monkeypatch.setattr(cells, "QUERIES", 20)
+    monkeypatch.setattr(cells, "STEP", 7)
+    x = np.random.default_rng(4).standard_normal((600, 16))
+    x[500:520] = x[7]  # copies: ties go to the lesser key
+    c = cells.build(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], KIND), str(tmp_path / "x"), per_cell=4)
+    asked = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x[:50])], "query_id long, embedding array<double>")
+    want = brute(x, list(range(600)), x[:50], 10)
+    assert got_ids(cells.exact(asked, c, 10), 50) == want
+    assert got_ids(cells.approximate(asked, c, 10, share=1.0), 50) == want
+    near = got_ids(cells.approximate(asked, c, 10, share=cells.share_for(asked, c, 10)), 50)
+    assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(want, near)]) >= 0.88
+    first, many, tiles = cells._tiles(c)
+    assert c.count > 5 * tiles and int(c.size.sum()) == 600 and 6 <= tiles <= 14
+    rows = cells._rows(asked, "embedding").withColumns({"floor": F.lit(-2.0), "limit": F.lit(9.0)})
+    met = cells._scores(rows, c, 1, lambda d, floor, limit: d < 9)
+    assert met.count() <= 50 * tiles  # the best of each query in each tile, not in each cell
+
+
+def test_limits_hold_the_share_of_cells(spark, made, clustered):
+    c, asked = made
+    x, q = clustered
+    centre = np.array([r["centre"] for r in c.fine.collect()])
+    limit = {r["query_id"]: r["limit"] for r in cells._limits(asked, c, "embedding", 0.2).collect()}
+    d, probes = cells._distance(cells.unit(q), centre), round(c.count * 0.2)
+    assert len(limit) == len(q) and all(probes <= (d[i] <= limit[i]).sum() and limit[i] - np.sort(d[i])[probes - 1] <= 2 / cells.BINS + 1e-9 for i in range(len(q)))
