@@ -11,6 +11,7 @@ import uuid
 from collections import OrderedDict, defaultdict
 from dataclasses import asdict, dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +19,9 @@ from orefall.errors import CodedError
 from orefall.operators import lexical, segmentation
 
 PARTS = ("nodes", "parents", "postings", "blocks", "lengths", "totals")
-#: Columns by which searches are scoped, kept beside postings and lengths as far as the nodes have them.
+#: Columns by which searches are scoped, kept beside lengths as far as the nodes have them.
 SCOPES = ("visibility", "owner_id", "source_name", "filename", "document_id")
-#: The scopes that a block of postings never mixes, by which totals are kept.
+#: The scopes that a block of postings never mixes, by which totals are kept; kept beside postings, too.
 SEEN_BY = ("visibility", "owner_id")
 
 POINTER = "current-"
@@ -203,24 +204,38 @@ class Index:
         df.write.parquet(f"{self.path}/{folder}/{name}")
 
     def _write_segment(self, parts: dict[str, DataFrame]) -> tuple[str, int]:
-        """A folder of its own with all parts; blocks and totals follow from postings and lengths."""
+        """A folder of its own with all parts; blocks and totals follow from postings and lengths, and these from counts if they are given."""
         name = f"v-{uuid.uuid4().hex}"
         mark = F.lit(name).alias("segment")
         for part in ("nodes", "parents"):
             self._write(name, part, parts[part].drop("segment").select("*", mark))
-        lengths = parts["lengths"].drop("segment", "bucket")
+        if "counts" in parts:  # texts are cut into terms once
+            self._write(name, "counts", parts["counts"])
+            counts = self._table([name], "counts")
+            lengths, found = counts.drop("terms", "freqs"), counts.withColumnRenamed("term_count", "node_terms")
+        else:
+            lengths, found = parts["lengths"].drop("segment", "bucket"), parts["postings"]
         by = [c for c in SEEN_BY if c in lengths.columns]
-        many = lengths.groupBy(*by).agg(F.count("*").alias("_n"))
-        several = F.pmod(F.xxhash64("node_id"), F.ceil(F.col("_n") / BLOCK))
-        placed = lengths.join(many, by) if by else lengths.crossJoin(F.broadcast(many))  # without scopes, one row
-        self._write(name, "lengths", placed.withColumn("bucket", F.xxhash64(*by, several)).drop("_n").select("*", mark))
-        lengths = self._table([name], "lengths")
-        self._write(name, "totals", lengths.groupBy(*by).agg(F.count("*").alias("nodes"), F.sum("term_count").alias("terms")).select("*", mark))
+        if not {"node_terms", *by} <= set(found.columns):
+            found = found.select("node_id", "term", "freq").join(lengths.select("node_id", F.col("term_count").alias("node_terms"), *by), "node_id")
+
+        def placed(rows: DataFrame, many: DataFrame) -> DataFrame:
+            """Rows with their node's bucket, which follows from its key and the number of nodes of its scopes: postings meet no lengths."""
+            several = F.pmod(F.xxhash64("node_id"), F.ceil(F.col("_n") / BLOCK))
+            rows = rows.join(many, by) if by else rows.crossJoin(F.broadcast(many))  # without scopes, one row
+            return rows.withColumn("bucket", F.xxhash64(*by, several)).drop("_n")
+
+        self._write(name, "lengths", placed(lengths, lengths.groupBy(*by).agg(F.count("*").alias("_n"))).select("*", mark))
+        self._write(name, "totals", self._table([name], "lengths").groupBy(*by).agg(F.count("*").alias("nodes"), F.sum("term_count").alias("terms")).select("*", mark))
+        found = placed(found, self._table([name], "totals").select(*by, F.col("nodes").alias("_n")))
+        if "counts" in parts:
+            found = found.select("*", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("freqs").alias("freq"))))
         # A term's postings lie together, and files know their least and greatest term; a frequent one has several.
-        found = parts["postings"].select("node_id", "term", "freq").join(lengths.withColumnRenamed("term_count", "node_terms"), "node_id")
-        self._write(name, "postings", found.repartitionByRange(F.col("term"), F.col("bucket")).sortWithinPartitions("term", "bucket", "node_id"))
-        blocks = self._table([name], "postings").groupBy("segment", "term", "bucket", *by).agg(F.count("*").alias("n"), F.max("freq").alias("most"), F.min("node_terms").alias("shortest"))
-        self._write(name, "blocks", blocks.repartitionByRange(F.col("term"), F.col("bucket")).sortWithinPartitions("term", "bucket"))
+        found = found.select("node_id", "term", "freq", "node_terms", "bucket", *by).repartitionByRange(F.col("term"), F.col("bucket"))
+        self._write(name, "postings", found.sortWithinPartitions("term", "bucket", "node_id").select("*", mark))
+        self._write(name, "blocks", _blocks(self._table([name], "postings"), by).sortWithinPartitions("term", "bucket"))
+        if "counts" in parts:
+            self._fs.delete(self._file(f"{self.path}/{name}/counts"), True)
         return name, self._table([name], "nodes").count()
 
     def _write_dead(self, rows: DataFrame) -> list[str]:
@@ -305,13 +320,22 @@ class Index:
 
 
 def derived(nodes: DataFrame) -> dict[str, DataFrame]:
-    by_node = nodes.select("node_id", *[c for c in SCOPES if c in nodes.columns])
-    return {
-        "nodes": nodes,
-        "parents": segmentation.parents(nodes),
-        "postings": lexical.postings(nodes),
-        "lengths": lexical.stats(nodes).join(by_node, "node_id"),
-    }
+    """The parts of nodes; those of their terms follow from counts."""
+    return {"nodes": nodes, "parents": segmentation.parents(nodes), "counts": lexical.counts(nodes, [c for c in SCOPES if c in nodes.columns])}
+
+
+def _blocks(postings: DataFrame, by: list[str]) -> DataFrame:
+    """(segment, term, bucket, *by, n, most, shortest) of sorted postings, as they lie: a block that two batches share has two rows,
+    whose numbers add up and whose bounds both hold."""
+    named = ["segment", "term", "bucket", *by]
+
+    def run(batches):
+        for b in batches:
+            g = pa.Table.from_batches([b]).group_by(named).aggregate([("freq", "count"), ("freq", "max"), ("node_terms", "min")])
+            yield from g.select([*named, "freq_count", "freq_max", "node_terms_min"]).rename_columns([*named, "n", "most", "shortest"]).to_batches()
+
+    kinds = ", ".join(f"`{c}` {postings.schema[c].dataType.simpleString()}" for c in named)
+    return postings.select(*named, "freq", "node_terms").mapInArrow(run, f"{kinds}, n long, most long, shortest long")
 
 
 class Cache:

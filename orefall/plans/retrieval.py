@@ -67,11 +67,13 @@ class Retriever:
         """From the stored index's postings and lengths."""
         terms = lexical.query_terms(queries)
 
-        def part(df: DataFrame) -> DataFrame:
-            rows = scoped(visible(df, self.user), o.filename, o.source)
-            return rows.join(base.select("node_id"), "node_id", "left_semi") if filtered else rows
-
-        return lexical.bm25(terms, part(self._asked(terms, "postings")), part(self.index.part("lengths")))
+        lengths = scoped(visible(self.index.part("lengths"), self.user), o.filename, o.source)
+        postings = visible(self._asked(terms, "postings"), self.user)
+        if filtered:
+            lengths = lengths.join(base.select("node_id"), "node_id", "left_semi")
+        if filtered or o.filename or o.source:
+            postings = postings.join(lengths.select("node_id"), "node_id", "left_semi")
+        return lexical.bm25(terms, postings, lengths)
 
     def _asked(self, terms: DataFrame, name: str) -> DataFrame:
         """Postings or blocks of the asked terms: few of them reach the files' statistics, more are joined."""
@@ -79,10 +81,13 @@ class Retriever:
         return self.index.part(name) if len(asked) > PUSHED else self.index.postings_of([r["term"] for r in asked], name)
 
     def keyword(self, queries: DataFrame, k: int) -> DataFrame:
-        """The k best of everything the user sees, from the stored blocks and postings."""
+        """The k best of everything the user sees, from the stored blocks and postings; for many terms from the postings alone."""
         terms, dead = lexical.query_terms(queries), self.index.dead()
         postings, blocks = (visible(self._asked(terms, n), self.user) for n in ("postings", "blocks"))
         total = visible(self.index.part("totals"), self.user).agg(F.coalesce(F.sum("nodes"), F.lit(0)).cast("double").alias("n"), F.coalesce(F.sum("terms") / F.sum("nodes"), F.lit(0.0)).alias("avg_len"))
+        pairs = lexical.held(terms)
+        if pairs is not None and len({term for _, term in pairs}) > PUSHED:
+            return lexical.top_of_postings(pairs, postings, total, k, queries.schema["query_id"].dataType)
         if dead is not None:
             every = self.index.raw("postings").join(terms.select("term").distinct(), "term", "left_semi")
             dead = visible(every, self.user).join(dead.select("segment", "node_id"), ["segment", "node_id"], "left_semi")

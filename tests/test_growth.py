@@ -138,3 +138,40 @@ def test_a_word_of_all_questions_gathers_none_of_them(spark):
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and not re.search(r"hashpartitioning\(word", plan)
     assert sorted((r["query_id"], r["value"]) for r in rows.collect()) == sorted([(i, "York") for i in range(20)] + [(i, "New York") for i in range(1, 20, 2)])
+
+
+@pytest.mark.parametrize("step", [3, 1 << 21])
+def test_counts_of_a_node_are_its_postings(spark, monkeypatch, step):
+    monkeypatch.setattr(lexical, "STEP", step)
+    texts = ["alpha beta-1 alpha", None, "", "研发 alpha 研", "gamma/x gamma"] * 3
+    nodes = spark.createDataFrame([(i, f"u{i}", t) for i, t in enumerate(texts)], "node_id long, owner_id string, content string").coalesce(2)
+    made = lexical.counts(nodes, ["owner_id"])
+    assert "Exchange hash" not in made._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r["node_id"], t, f) for r in made.collect() for t, f in zip(r["terms"] or [], r["freqs"] or []))
+    assert got == sorted(map(tuple, lexical.postings(nodes).collect()))
+    assert {(r["node_id"], r["term_count"]) for r in made.collect()} == set(map(tuple, lexical.stats(nodes).collect()))
+
+
+def test_many_questions_are_scored_once_from_the_stored_postings(spark, tmp_path, monkeypatch):
+    """Postings were shuffled with all scopes three times to be stored, and for each question and block to be searched."""
+    from orefall.config import User
+    from orefall.plans import index, retrieval
+
+    rng = np.random.default_rng(6)
+    words = np.array([f"w{i}" for i in range(40)] + ["w-1", "w_2"])
+    docs = [(i, f"s{i % 3}", f"u{i % 3}", ("public", "private")[i % 2], f"f{i}.md", " ".join(rng.choice(words, rng.integers(1, 60)))) for i in range(150)]
+    df = spark.createDataFrame(docs, "document_id long, source_name string, owner_id string, visibility string, filename string, text string")
+    ix = index.Index(spark, str(tmp_path / "ix"))
+    ix.build(df.where("document_id < 120"))
+    ix.add(df.where("document_id >= 110"))
+    ix.delete(spark.createDataFrame([(5,), (8,)], "document_id long"))
+    assert set(ix.part("postings").columns) == {"node_id", "term", "freq", "node_terms", "bucket", "visibility", "owner_id", "segment"}
+    q = spark.createDataFrame([(i, " ".join(rng.choice(words, 8))) for i in range(12)] + [(99, None)], "query_id long, text string")
+    found = {}
+    for pushed in (1000, 3):
+        monkeypatch.setattr(retrieval, "PUSHED", pushed)
+        found[pushed] = sorted((r["query_id"], r["rank"], r["node_id"], round(r["score"], 9)) for r in retrieval.Retriever.over(ix, User("u1")).keyword(q, 7).collect())
+    assert found[3] == found[1000] and len(found[3]) == 84
+    blocks = ix.part("blocks").groupBy("segment", "term", "bucket").agg(F.sum("n").alias("n"))
+    every = ix.raw("postings").groupBy("segment", "term", "bucket").agg(F.count("*").alias("n"))
+    assert blocks.exceptAll(every).isEmpty() and every.exceptAll(blocks).isEmpty()
