@@ -175,3 +175,10 @@ def test_many_questions_are_scored_once_from_the_stored_postings(spark, tmp_path
     blocks = ix.part("blocks").groupBy("segment", "term", "bucket").agg(F.sum("n").alias("n"))
     every = ix.raw("postings").groupBy("segment", "term", "bucket").agg(F.count("*").alias("n"))
     assert blocks.exceptAll(every).isEmpty() and every.exceptAll(blocks).isEmpty()
+
+
+def test_pairs_of_terms_and_questions_are_held_in_bounded_steps():
+    many = np.full(3000, lexical.STEP // 100)
+    steps = lexical._steps(many)
+    assert steps[0][0] == 0 and steps[-1][1] == 3000 and all(a[1] == b[0] for a, b in zip(steps, steps[1:]))
+    assert max(many[a:b].sum() for a, b in steps) <= lexical.STEP + many[0]
