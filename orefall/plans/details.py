@@ -208,7 +208,7 @@ def i17_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("j13_lexical_rerank")
 def j13_lexical_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pool = _keyword(spark, sf_dir, 10).join(nodes(spark, sf_dir).select("node_id", "content"), "node_id")
+    pool = lexical.few(_keyword(spark, sf_dir, 10), query_set(spark, sf_dir), 10).join(nodes(spark, sf_dir).select("node_id", "content"), "node_id")
     return providers.reranked(pool.select("query_id", "node_id", "rank", "content"), query_set(spark, sf_dir)).select("query_id", "node_id", "rank")
 
 

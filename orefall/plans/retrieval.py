@@ -127,7 +127,7 @@ class Retriever:
         if filtered and o.fallback:
             missed = queries.join(fused.select("query_id").distinct(), "query_id", "left_anti")
             fused = fused.select("query_id", "node_id", "score", "rank").union(self._fused(base, missed, o)[1].select("query_id", "node_id", "score", "rank"))
-        rows = fused.join(self.nodes, "node_id")
+        rows = lexical.few(fused, queries, 2 * o.fetch).join(self.nodes, "node_id")  # of two arms at most
         one = fusion.keep_first(rows.withColumn("hash", content_hash(F.col("content"))), "hash")
         if o.mmr_weight is not None:
             best = fusion.mmr(one.where(F.col("rank") <= o.fetch), o.top_k, o.mmr_weight).select("query_id", "node_id", F.col("mmr_rank").alias("rank"))
@@ -292,7 +292,7 @@ def j18_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("b16_candidate_snapshot", f"WITH {SEEN}, {QUERY_SET}, {BM25} SELECT query_id, rank, node_id, filename || ' #' || 0 AS location, left({COLLAPSED.format('content')}, 500) AS snippet, round(k.score, 6) AS score FROM keyword k JOIN seen USING (node_id) WHERE rank <= 10")
 def b16_candidate_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _keyword(spark, sf_dir, 10).join(nodes(spark, sf_dir), "node_id")
+    rows = lexical.few(_keyword(spark, sf_dir, 10), query_set(spark, sf_dir), 10).join(nodes(spark, sf_dir), "node_id")
     return rows.select("query_id", "rank", "node_id", F.concat("filename", F.lit(" #0")).alias("location"), F.substring(F.trim(F.regexp_replace("content", r"\s+", " ")), 1, 500).alias("snippet"), F.round("score", 6).alias("score"))
 
 

@@ -113,6 +113,28 @@ def test_searched_texts_are_cut_in_batches(spark, tmp_path, monkeypatch):
     assert sorted(r["length"] for r in spark.read.parquet(str(tmp_path / "a")).where("node_id <> 2").collect()) == [0, 6]  # alpha-1, alpha, 1, alpha, 研发, 发部
 
 
+def test_candidates_go_to_the_nodes(spark, monkeypatch):
+    """Above the size at which Spark broadcasts by itself, every node's content was shuffled to meet a few candidates."""
+    from orefall.plans.registry import CALLER
+    from orefall.plans.retrieval import Options, Retriever
+
+    kinds = "node_id long, filename string, source_name string, owner_id string, visibility string, content string"
+    nodes = spark.createDataFrame([(i, f"{i}.md", "s", "u1", "public", f"alpha beta {i}") for i in range(20)], kinds)
+    q = spark.createDataFrame([(1, "alpha"), (2, "beta 7")], "query_id long, text string")
+    got = []
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most, join in ((lexical.HELD_PAIRS, "BroadcastHashJoin"), (30, "SortMergeJoin")):
+            monkeypatch.setattr(lexical, "HELD_PAIRS", most)
+            found = Retriever(nodes, CALLER).plan(q, Options(top_k=3, mode="keyword"))
+            assert join in found._jdf.queryExecution().executedPlan().toString()
+            got.append(sorted(map(tuple, found.collect())))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert got[0] == got[1] and len(got[0]) == 6
+
+
 def test_tokens_of_a_column_are_those_of_each_text(spark):
     import pyarrow as pa
 
