@@ -154,6 +154,34 @@ def test_tokens_of_a_column_are_those_of_each_text(spark):
         assert [sorted(g) for g in got] == [sorted(r[name] or []) for r in rows]
 
 
+def test_texts_are_put_into_lower_case_in_batches(spark):
+    """Each text was put into lower case by an expression, a sixth of the pass over the texts."""
+    import pyarrow as pa
+
+    from orefall.functions.token_bytes import token_rows
+
+    texts = ["Alpha-1 BETA_x", "İstanbul Kelvin K9-İ ẞ", "研A发"] + [f"A{chr(c)}B" for c in [*range(1, 0x3000), *range(0xA000, 0xAC00), *range(0xF900, 0x10000)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    want = [sorted(r["w"]) for r in df.select("i", text.tokens(F.col("t")).alias("w")).orderBy("i").collect()]
+    got = [[] for _ in texts]
+    row, words = token_rows(pa.array(texts))
+    for i, w in zip(row.tolist(), words.to_pylist()):
+        got[i].append(w)
+    assert [sorted(g) for g in got] == want
+
+
+@pytest.mark.parametrize("step", [30, 1 << 21])
+def test_copies_of_a_text_have_the_same_score(spark, tmp_path, monkeypatch, step):
+    """A node's sum is not cut where a step ends: copies have one score to its last digit."""
+    monkeypatch.setattr(lexical, "STEP", step)
+    words = "one two three four five six seven eight nine ten".split()
+    texts = [" ".join(words) + " two three three seven"] * 60 + [" ".join(words[: i % 11]) for i in range(40)]
+    nodes = spark.createDataFrame(list(enumerate(texts)), "node_id long, content string").coalesce(1)
+    q = spark.createDataFrame([(i, " ".join(words[i:])) for i in (0, 1, 2)], "query_id long, text string")
+    found = lexical.search(q, nodes, None, str(tmp_path / "a")).where("node_id < 60")
+    assert [tuple(r) for r in found.groupBy("query_id").agg(F.count("*"), F.countDistinct("score")).orderBy("query_id").collect()] == [(0, 60, 1), (1, 60, 1), (2, 60, 1)]
+
+
 def test_keyword_scores_are_summed_where_their_nodes_are(spark, tmp_path):
     """Pairs of queries and postings, many times the postings, were shuffled to be summed."""
     nodes = spark.range(50).select(F.col("id").alias("node_id"), F.lit("alpha beta gamma").alias("content"))
